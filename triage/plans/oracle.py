@@ -200,3 +200,90 @@ def alerts_dns() -> str:
            {render(R.MSG['RARE_DNS_QUERY'], proc='proc_name', pid='pid', query='query')} AS description
     FROM j WHERE lower(proc_name) IN {in_sql(R.SUSPICIOUS_DNS_RESOLVERS)} AND query <> ''
     """
+
+
+# ---------------------------------------------------------------------------
+# process + lateral
+# ---------------------------------------------------------------------------
+
+def _proc_resolved(extra_cols: str) -> str:
+    return f"""
+    pr AS (SELECT _row_id, {strip('pid')} AS pid, {strip('name')} AS name, {strip('ppid')} AS ppid,
+                  {strip('parent_name')} AS parent_name {extra_cols} FROM process_v),
+    lk2 AS (SELECT pid, arg_max(name, _row_id) AS name FROM pr WHERE pid <> '' GROUP BY pid),
+    j AS (SELECT pr.*, CASE WHEN pr.parent_name <> '' THEN pr.parent_name ELSE coalesce(lk2.name, '') END AS par
+          FROM pr LEFT JOIN lk2 ON pr.ppid = lk2.pid)"""
+
+
+def _first_match(expr: str, patterns, labels=None, kind="regex") -> str:
+    labels = labels or patterns
+    whens = []
+    for p, lab in zip(patterns, labels):
+        test = f"regexp_matches({expr}, {q(p)}, 'i')" if kind == "regex" else f"contains({expr}, {q(p)})"
+        whens.append(f"WHEN {test} THEN {q(lab)}")
+    return "CASE " + " ".join(whens) + " END"
+
+
+def alerts_process() -> str:
+    crit = [c.lower() for c in R.CRITICAL_NAMES]
+    typo = "CASE " + " ".join(f"WHEN levenshtein(nl, {q(c)}) = 1 THEN {q(c)}" for c in crit) + " END"
+    allowed = "CASE nl " + " ".join(f"WHEN {q(k)} THEN pl IN {in_sql(v)}" for k, v in R.PARENT_RULES.items()) + " END"
+    expected = "CASE nl " + " ".join(
+        f"WHEN {q(k)} THEN {q('[' + ', '.join(repr(x) for x in sorted(v)) + ']')}"
+        for k, v in R.PARENT_RULES.items()) + " END"
+    prefixes = " OR ".join(f"starts_with(pathl, {q(p)})" for p in R.SYSTEM32_PREFIXES)
+    markers = " OR ".join(f"contains(ul, {q(m)})" for m in R.SYSTEM_USER_MARKERS)
+    cols = "pid, name AS process_name, path AS process_path, ppid, par AS parent_name, usr AS \"user\""
+    return f"""
+    WITH {v_process()}, {_proc_resolved(f", {strip('path')} AS path, {strip('\"user\"')} AS usr")},
+    k AS (SELECT *, lower(name) AS nl, lower(par) AS pl, lower(path) AS pathl, lower(usr) AS ul FROM j),
+    t AS (SELECT *, CASE WHEN nl NOT IN {in_sql(crit)} THEN {typo} END AS typo FROM k)
+    SELECT 'PATH_MASQUERADE' AS alert_type, 'HIGH' AS severity, {cols},
+           {render(R.MSG['PATH_MASQUERADE'], name='name', pid='pid', path='path')} AS description
+    FROM t WHERE nl IN {in_sql(R.SYSTEM32_ONLY)} AND path <> '' AND NOT ({prefixes})
+    UNION ALL
+    SELECT 'PARENT_CHILD_MISMATCH', 'HIGH', {cols},
+           {render(R.MSG['PARENT_CHILD_MISMATCH_RULE'], name='name', pid='pid', parent='par', ppid='ppid', expected=expected)}
+    FROM t WHERE nl IN {in_sql(list(R.PARENT_RULES))} AND par <> '' AND NOT ({allowed})
+    UNION ALL
+    SELECT 'PARENT_CHILD_MISMATCH', 'HIGH', {cols},
+           {render(R.MSG['PARENT_CHILD_MISMATCH_OFFICE'], name='name', pid='pid', parent='par', ppid='ppid')}
+    FROM t WHERE nl IN {in_sql(R.SHELL_CHILDREN)} AND pl IN {in_sql(R.OFFICE_PARENTS)}
+    UNION ALL
+    SELECT 'TYPOSQUATTING', 'MEDIUM', {cols},
+           {render(R.MSG['TYPOSQUATTING'], name='name', pid='pid', critical='typo', dist="'1'")}
+    FROM t WHERE typo IS NOT NULL
+    UNION ALL
+    SELECT 'SID_MISMATCH', 'HIGH', {cols},
+           {render(R.MSG['SID_MISMATCH'], name='name', pid='pid', user='usr')}
+    FROM t WHERE nl IN {in_sql(R.SYSTEM_ONLY_PROCESSES)} AND usr <> '' AND NOT ({markers})
+    """
+
+
+def alerts_lateral() -> str:
+    labels = [lab for lab, _ in R.RECON_PATTERNS]
+    pats = [p for _, p in R.RECON_PATTERNS]
+    fw = "CASE pl " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in R.REMOTE_EXEC_PARENTS.items()) + " END"
+    cols = "pid, name AS process_name, ppid, par AS parent_name, cmd AS cmdline"
+    suffix = render(R.MSG["RECON_ESCALATED_SUFFIX"], n="CAST(e.n AS VARCHAR)")
+    return f"""
+    WITH {v_process()}, {_proc_resolved(f", {strip('cmdline')} AS cmd")},
+    k AS (SELECT *, lower(par) AS pl,
+                 CASE WHEN cmd <> '' THEN {_first_match('cmd', R.CRED_DUMP_PATTERNS)} END AS cred,
+                 CASE WHEN cmd <> '' THEN {_first_match('cmd', pats, labels)} END AS recon,
+                 CASE WHEN ppid <> '' THEN ppid ELSE pid END AS pkey FROM j),
+    e AS (SELECT pkey, count(DISTINCT recon) AS n FROM k WHERE recon IS NOT NULL GROUP BY pkey
+          HAVING count(DISTINCT recon) >= {R.RECON_ESCALATION_THRESHOLD})
+    SELECT 'CREDENTIAL_DUMP' AS alert_type, 'CRITICAL' AS severity, {cols},
+           {render(R.MSG['CREDENTIAL_DUMP'], name='name', pid='pid', pattern='cred')} AS description
+    FROM k WHERE cred IS NOT NULL
+    UNION ALL
+    SELECT 'RECON_COMMANDS', CASE WHEN e.n IS NOT NULL THEN 'HIGH' ELSE 'LOW' END, {cols},
+           {render(R.MSG['RECON_COMMANDS'], label='recon', name='name', pid='pid')}
+             || CASE WHEN e.n IS NOT NULL THEN {suffix} ELSE '' END
+    FROM k LEFT JOIN e ON k.pkey = e.pkey WHERE recon IS NOT NULL
+    UNION ALL
+    SELECT 'REMOTE_EXECUTION', 'HIGH', {cols},
+           {render(R.MSG['REMOTE_EXECUTION'], parent='par', ppid='ppid', framework=fw, name='name', pid='pid')}
+    FROM k WHERE lower(name) IN {in_sql(R.REMOTE_EXEC_CHILDREN)} AND pl IN {in_sql(list(R.REMOTE_EXEC_PARENTS))}
+    """

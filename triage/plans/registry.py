@@ -9,7 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from triage.operators import alerts as AL
+from triage.operators import detect_lateral as DL
 from triage.operators import detect_network as DN
+from triage.operators import detect_process as DP
 from triage.plans import derive as D
 from triage.plans import oracle as O
 
@@ -24,14 +26,33 @@ def q_alerts_dns(spark, sf):
     return AL.public(DN.dns_alerts(spark, D.dns(spark, sf), D.process(spark, sf)), "network")
 
 
+def q_alerts_process(spark, sf):
+    return AL.public(DP.process_alerts(spark, D.process(spark, sf)), "process")
+
+
+def q_alias_resolution(spark, sf):
+    """Same process rows under another header dialect -> identical alerts."""
+    return AL.public(DP.process_alerts(spark, D.process_camel(spark, sf)), "process")
+
+
+def q_alerts_lateral(spark, sf):
+    return AL.public(DL.lateral_alerts(spark, D.process(spark, sf)), "lateral")
+
+
 QUERIES: dict[str, Query] = {
     "alerts_network": q_alerts_network,
     "alerts_dns": q_alerts_dns,
+    "alerts_process": q_alerts_process,
+    "alias_resolution": q_alias_resolution,
+    "alerts_lateral": q_alerts_lateral,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
     "alerts_network": O.alerts_network,
     "alerts_dns": O.alerts_dns,
+    "alerts_process": O.alerts_process,
+    "alias_resolution": O.alerts_process,
+    "alerts_lateral": O.alerts_lateral,
 }
 
 

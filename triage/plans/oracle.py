@@ -287,3 +287,99 @@ def alerts_lateral() -> str:
            {render(R.MSG['REMOTE_EXECUTION'], parent='par', ppid='ppid', framework=fw, name='name', pid='pid')}
     FROM k WHERE lower(name) IN {in_sql(R.REMOTE_EXEC_CHILDREN)} AND pl IN {in_sql(list(R.REMOTE_EXEC_PARENTS))}
     """
+
+
+# ---------------------------------------------------------------------------
+# injection / dkom / persistence
+# ---------------------------------------------------------------------------
+
+def _qm(x: str) -> str:
+    return f"CASE WHEN {x} = '' THEN '?' ELSE {x} END"
+
+
+def _name_part(x: str) -> str:
+    return f"CASE WHEN {x} <> '' THEN ' (' || {x} || ')' ELSE '' END"
+
+
+def _mz(x: str) -> str:
+    conds = [f"starts_with({x}, {q(p)})" for p in R.MZ_PREFIXES] + [f"contains({x}, {q(s)})" for s in R.MZ_SUBSTRINGS]
+    return f"({x} <> '' AND ({' OR '.join(conds)}))"
+
+
+def _mem_resolved() -> str:
+    return f"""
+    m AS (SELECT o, n, p, s, {strip('pid')} AS pid, {strip('process')} AS name, {strip('address')} AS address,
+                 {strip('size')} AS size, {strip('protection')} AS prot, {strip('file')} AS file,
+                 {strip('type')} AS typ FROM mem_v),
+    mm AS (SELECT *, lower(file) AS fl, lower(typ) AS tl, lower(name) AS nl,
+                  (prot <> '' AND ({' OR '.join(f"regexp_matches(prot, {q(p)}, 'i')" for p in R.RWX_PATTERNS)})) AS rwx,
+                  lower(file) IN {in_sql(R.UNBACKED_SENTINELS)} AS unb,
+                  coalesce(CASE lower(name) {' '.join(f"WHEN {q(k)} THEN {q(v)}" for k, v in R.EXPECTED_PATHS.items())} END, '') AS exp
+           FROM m)"""
+
+
+INJ_COLS = "pid, name AS process_name, address, size, prot AS protection"
+
+
+def alerts_injection() -> str:
+    src = q("findevil")
+    mismatch = "(exp <> '' AND fl <> '' AND NOT unb AND NOT starts_with(fl, exp))"
+    reason = (f"CASE WHEN unb THEN {q(R.MSG['HOLLOWING_REASON_EMPTY'])} ELSE "
+              f"{render(R.MSG['HOLLOWING_REASON_MISMATCH'], expected='exp', got='fl')} END")
+    return f"""
+    WITH {v_memory()}, {_mem_resolved()}
+    SELECT 'RWX_UNBACKED' AS alert_type, 'CRITICAL' AS severity, {INJ_COLS},
+           CASE WHEN file <> '' THEN file ELSE '<none>' END AS backing_file, {src} AS source_table,
+           {render(R.MSG['RWX_UNBACKED'], address=_qm('address'), size=_qm('size'), pid=_qm('pid'), name_part=_name_part('name'))} AS description
+    FROM mm WHERE rwx AND (unb OR (CASE WHEN tl <> '' THEN contains(tl, 'private') ELSE TRUE END))
+    UNION ALL
+    SELECT 'PROCESS_HOLLOWING', 'CRITICAL', {INJ_COLS},
+           CASE WHEN fl <> '' THEN fl ELSE '<none>' END, {src},
+           {render(R.MSG['PROCESS_HOLLOWING'], name='name', pid=_qm('pid'), reason=reason)}
+    FROM mm WHERE nl IN {in_sql(R.HOLLOWING_TARGETS)} AND (tl = '' OR contains(tl, 'image')) AND (unb OR {mismatch})
+    UNION ALL
+    SELECT 'REFLECTIVE_DLL', 'HIGH', {INJ_COLS}, '<none>', {src},
+           {render(R.MSG['REFLECTIVE_DLL'], address=_qm('address'), pid=_qm('pid'), name_part=_name_part('name'))}
+    FROM mm WHERE ({_mz('tl')} OR {_mz('fl')}) AND unb
+    """
+
+
+def hidden_processes() -> str:
+    src = "findevil"
+    return f"""
+    WITH {v_process()}, {v_memory()}, {_mem_resolved()},
+    act AS (SELECT DISTINCT {strip('pid')} AS pid FROM process_v WHERE {strip('pid')} <> ''),
+    f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY o, n, p, s) AS rn FROM m
+                         WHERE pid <> '' AND pid NOT IN {in_sql(R.DKOM_EXCLUDED_PIDS)}) WHERE rn = 1)
+    SELECT 'DKOM_HIDDEN_PROCESS' AS alert_type, 'CRITICAL' AS severity, f.pid,
+           CASE WHEN name <> '' THEN name ELSE '<hidden>' END AS process_name, address,
+           '' AS size, '' AS protection, '' AS backing_file, {q(src)} AS source_table,
+           {render(R.MSG['DKOM_HIDDEN_PROCESS'], pid='f.pid', name_part=_name_part('name'), source=q(src))} AS description
+    FROM f WHERE f.pid NOT IN (SELECT pid FROM act)
+    """
+
+
+def alerts_persistence() -> str:
+    runkey = " OR ".join(f"regexp_matches(path, {q(p)}, 'i')" for p in R.RUN_KEY_PATTERNS)
+    runpath = " OR ".join(f"contains(lower(data), {q(m)})" for m in R.SUSPICIOUS_RUN_PATHS)
+    marker = _first_match("lower(bin)", R.SERVICE_SUSPICIOUS, kind="contains")
+    task = " OR ".join(f"regexp_matches(action, {q(p)}, 'i')" for p in R.TASK_SUSPICIOUS_PATTERNS)
+    return f"""
+    WITH {v_registry()},
+    r AS (SELECT {strip('path')} AS path, {strip('name')} AS name, {strip('data')} AS data FROM reg_v),
+    sv AS (SELECT {strip('name')} AS name, {strip('binary_path')} AS bin FROM svc_v),
+    svm AS (SELECT *, {marker} AS marker FROM sv),
+    tk AS (SELECT {strip('name')} AS name, {strip('action')} AS action FROM task_v)
+    SELECT 'SUSPICIOUS_RUN_KEY' AS alert_type, 'HIGH' AS severity, {q(R.PERSISTENCE_SOURCES['registry'])} AS source_table,
+           path || ' :: ' || name AS key_or_name, data AS value_or_path,
+           {render(R.MSG['SUSPICIOUS_RUN_KEY'], name='name', path='path', data='data')} AS description
+    FROM r WHERE ({runkey}) AND ({runpath})
+    UNION ALL
+    SELECT 'SERVICE_MASQUERADE', 'HIGH', {q(R.PERSISTENCE_SOURCES['services'])}, name, bin,
+           {render(R.MSG['SERVICE_MASQUERADE'], name='name', path='bin', marker='marker')}
+    FROM svm WHERE marker IS NOT NULL
+    UNION ALL
+    SELECT 'HIDDEN_SCHEDULED_TASK', 'MEDIUM', {q(R.PERSISTENCE_SOURCES['tasks'])}, name, action,
+           {render(R.MSG['HIDDEN_SCHEDULED_TASK'], name='name', action='action')}
+    FROM tk WHERE {task}
+    """

@@ -9,8 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from triage.operators import alerts as AL
+from triage.operators import detect_injection as DI
 from triage.operators import detect_lateral as DL
 from triage.operators import detect_network as DN
+from triage.operators import detect_persistence as DS
 from triage.operators import detect_process as DP
 from triage.plans import derive as D
 from triage.plans import oracle as O
@@ -39,12 +41,29 @@ def q_alerts_lateral(spark, sf):
     return AL.public(DL.lateral_alerts(spark, D.process(spark, sf)), "lateral")
 
 
+def q_alerts_injection(spark, sf):
+    return AL.public(DI.region_alerts(spark, D.memory(spark, sf), "findevil"), "injection")
+
+
+def q_hidden_processes(spark, sf):
+    return AL.public(DI.hidden_processes(spark, D.memory(spark, sf), D.process(spark, sf), "findevil"),
+                     "injection")
+
+
+def q_alerts_persistence(spark, sf):
+    return AL.public(DS.persistence_alerts(spark, D.registry(spark, sf), D.services(spark, sf),
+                                           D.tasks(spark, sf)), "persistence")
+
+
 QUERIES: dict[str, Query] = {
     "alerts_network": q_alerts_network,
     "alerts_dns": q_alerts_dns,
     "alerts_process": q_alerts_process,
     "alias_resolution": q_alias_resolution,
     "alerts_lateral": q_alerts_lateral,
+    "alerts_injection": q_alerts_injection,
+    "hidden_processes": q_hidden_processes,
+    "alerts_persistence": q_alerts_persistence,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
@@ -53,6 +72,9 @@ ORACLES: dict[str, Callable[[], str]] = {
     "alerts_process": O.alerts_process,
     "alias_resolution": O.alerts_process,
     "alerts_lateral": O.alerts_lateral,
+    "alerts_injection": O.alerts_injection,
+    "hidden_processes": O.hidden_processes,
+    "alerts_persistence": O.alerts_persistence,
 }
 
 

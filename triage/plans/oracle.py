@@ -383,3 +383,156 @@ def alerts_persistence() -> str:
            {render(R.MSG['HIDDEN_SCHEDULED_TASK'], name='name', action='action')}
     FROM tk WHERE {task}
     """
+
+
+# ---------------------------------------------------------------------------
+# typed conversion
+# ---------------------------------------------------------------------------
+
+from triage.functions.convert import ERRORS as CONV_ERRORS  # noqa: E402
+from triage.functions.convert import FALSY, TRUTHY, TIMESTAMP_FORMATS, strptime_regex  # noqa: E402
+from triage.functions.convert import FLOAT_RE, FLOAT_SPECIAL_RE  # noqa: E402
+from triage.plans.derive import RAW_ORDERS_SPEC  # noqa: E402
+
+
+def py_repr(s: str) -> str:
+    esc = f"replace({s}, '\\', '\\\\')"
+    return (f"CASE WHEN contains({s}, '''') AND NOT contains({s}, '\"') THEN '\"' || {esc} || '\"' "
+            f"ELSE '''' || replace({esc}, '''', '\\''') || '''' END")
+
+
+def v_raw_orders() -> str:
+    k, c = "o_orderkey", "CAST(o_custkey AS VARCHAR)"
+    cust = (f"CASE {k} % 9 WHEN 0 THEN {c} WHEN 1 THEN ' ' || {c} || ' ' WHEN 2 THEN '+' || {c} "
+            f"WHEN 3 THEN 'BAD' WHEN 4 THEN '' WHEN 5 THEN {c} || '_000' WHEN 6 THEN {c} || '.5' "
+            f"WHEN 7 THEN '-' || {c} ELSE '0' || {c} END")
+    price = (f"CASE WHEN {k} % 5 = 0 THEN CAST({k} AS VARCHAR) || '.' || CAST({k} % 100 AS VARCHAR) "
+             f"ELSE {pick(X.FLOAT_VALUES, f'{k} // 5')} END")
+    ts = (f"CASE WHEN {k} % 4 = 0 THEN '2024-' || lpad(CAST(1 + {k} % 12 AS VARCHAR), 2, '0') || '-' || "
+          f"lpad(CAST(1 + {k} % 28 AS VARCHAR), 2, '0') || ' 10:' || lpad(CAST({k} % 60 AS VARCHAR), 2, '0') "
+          f"|| ':00' ELSE {pick(X.TS_VALUES, f'{k} // 4')} END")
+    return f"""
+    ro AS (SELECT {k} AS row_index, CAST({k} AS VARCHAR) AS o_orderkey, {cust} AS o_custkey,
+                  {pick(X.HEX_VALUES, k)} AS o_address, {price} AS o_price,
+                  {pick(X.BOOL_VALUES, k)} AS o_flag, {ts} AS o_time,
+                  {pick(X.STATUS_VALUES, k)} AS o_status, 'n' || CAST({k} % 7 AS VARCHAR) AS o_note
+           FROM orders)"""
+
+
+def _int_sql(s: str) -> str:
+    return (f"CASE WHEN regexp_full_match({s}, '[+-]?[0-9]+(_[0-9]+)*') "
+            f"THEN TRY_CAST(replace({s}, '_', '') AS HUGEINT) END")
+
+
+def _hex_sql(s: str) -> str:
+    body = f"regexp_replace(replace(regexp_replace({s}, '^[+-]', ''), '_', ''), '^0[xX]', '')"
+    return (f"CASE WHEN regexp_full_match({s}, '[+-]?(0[xX]_?)?[0-9a-fA-F]+(_[0-9a-fA-F]+)*') "
+            f"AND length(ltrim({body}, '0')) <= 16 "
+            f"THEN (CASE WHEN starts_with({s}, '-') THEN -1 ELSE 1 END) * "
+            f"CAST(TRY_CAST('0x' || {body} AS UBIGINT) AS HUGEINT) END")
+
+
+def _float_sql(s: str) -> str:
+    return (f"CASE WHEN regexp_full_match({s}, {q(FLOAT_SPECIAL_RE)}) THEN "
+            f"(CASE WHEN lower({s}) IN ('inf', '+inf', 'infinity', '+infinity') THEN 'inf'::DOUBLE "
+            f"WHEN lower({s}) IN ('-inf', '-infinity') THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END) "
+            f"WHEN regexp_full_match({s}, {q(FLOAT_RE)}) THEN TRY_CAST(replace({s}, '_', '') AS DOUBLE) END")
+
+
+def _fmt_sql(s: str, fmt: str) -> str:
+    rx, fields = strptime_regex(fmt)
+    g = {d: f"regexp_extract({s}, {q(rx)}, {i + 1})" for i, d in enumerate(fields)}
+    num = {d: f"TRY_CAST(trim({g[d]}) AS INTEGER)" for d in g if d != "f"}
+    frac = f"TRY_CAST(rpad({g['f']}, 6, '0') AS INTEGER)" if "f" in g else "0"
+    sec = num.get("S", "0")
+    text = (f"printf('%04d-%02d-%02d %02d:%02d:%02d.%06d', {num['Y']}, {num['m']}, {num['d']}, "
+            f"{num.get('H', '0')}, {num.get('M', '0')}, {sec}, {frac})")
+    return (f"CASE WHEN regexp_full_match({s}, {q(rx)}) AND {num['Y']} >= 1 AND {sec} < 60 "
+            f"THEN TRY_CAST({text} AS TIMESTAMP) END")
+
+
+def _epoch_sql(s: str) -> str:
+    n = _int_sql(s)
+    return (f"(SELECT CASE WHEN x > 1000000000000 THEN (CASE WHEN x / 1000 BETWEEN -62135596800 AND 253402300799 "
+            f"THEN make_timestamp(CAST(x AS BIGINT) * 1000) END) "
+            f"WHEN x BETWEEN -62135596800 AND 253402300799 THEN make_timestamp(CAST(x AS BIGINT) * 1000000) END "
+            f"FROM (SELECT {n} AS x))")
+
+
+def _iso(ts: str) -> str:
+    return (f"strftime({ts}, '%Y-%m-%dT%H:%M:%S') || "
+            f"CASE WHEN strftime({ts}, '%f') <> '000000' THEN '.' || strftime({ts}, '%f') ELSE '' END")
+
+
+def conversion_cte(src: str, spec: dict[str, str], cols: list[str]) -> str:
+    """CTEs cv0..cv3 over ``src``: per converted column c -> c__v, c__e."""
+    conv = {c: t for c, t in spec.items() if t in CONV_ERRORS}
+    l1 = ", ".join([*cols, *[f"{strip(c)} AS {c}__s" for c in conv]])
+    l2 = []
+    for c, t in conv.items():
+        s = f"{c}__s"
+        if t == "int":
+            l2.append(f"{_int_sql(s)} AS {c}__n")
+        elif t == "hex_int":
+            l2.append(f"{_hex_sql(s)} AS {c}__n")
+        elif t == "float":
+            l2.append(f"{_float_sql(s)} AS {c}__n")
+        elif t == "bool":
+            l2.append(f"CASE WHEN lower({s}) IN {in_sql(TRUTHY)} THEN TRUE WHEN lower({s}) IN {in_sql(FALSY)} "
+                      f"THEN FALSE END AS {c}__n")
+        else:
+            l2.append(f"{_epoch_sql(s)} AS {c}__ep")
+            l2.append("coalesce(" + ", ".join(_fmt_sql(s, f) for f in TIMESTAMP_FORMATS) + f") AS {c}__fm")
+    l3 = []
+    for c, t in conv.items():
+        if t == "timestamp":
+            l3.append(f"CASE WHEN {c}__ep IS NOT NULL THEN {_iso(c + '__ep')} || '+00:00' "
+                      f"ELSE {_iso(c + '__fm')} END AS {c}__t")
+            l3.append(f"coalesce(CAST({c}__ep AS VARCHAR), CAST({c}__fm AS VARCHAR)) AS {c}__n")
+        elif t == "bool":
+            l3.append(f"CASE WHEN {c}__n THEN 'True' WHEN NOT {c}__n THEN 'False' END AS {c}__t")
+        else:
+            l3.append(f"CAST({c}__n AS VARCHAR) AS {c}__t")
+    l4 = [*cols]
+    for c, t in spec.items():
+        if t not in CONV_ERRORS:
+            l4 += [f"{c} AS {c}__v", f"CAST(NULL AS VARCHAR) AS {c}__e"]
+            continue
+        s = f"{c}__s"
+        failed = f"({s} <> '' AND {c}__n IS NULL)"
+        shown = s if t in ("int", "hex_int", "float") else f"coalesce({c}, '')"
+        l4.append(f"CASE WHEN {s} = '' OR {failed} THEN {c} ELSE {c}__t END AS {c}__v")
+        l4.append(f"CASE WHEN {failed} THEN {q(CONV_ERRORS[t])} || {py_repr(shown)} END AS {c}__e")
+    return f"""
+    cv1 AS (SELECT {l1} FROM {src}),
+    cv2 AS (SELECT *, {', '.join(l2)} FROM cv1),
+    cv3 AS (SELECT *, {', '.join(l3)} FROM cv2),
+    cv4 AS (SELECT {', '.join(l4)} FROM cv3)"""
+
+
+RAW_COLS = ["row_index", "o_orderkey", "o_custkey", "o_address", "o_price", "o_flag", "o_time",
+            "o_status", "o_note"]
+
+
+def convert_one(col: str) -> str:
+    return f"""
+    WITH {v_raw_orders()}, {conversion_cte('ro', {col: RAW_ORDERS_SPEC[col]}, ['row_index', col])}
+    SELECT row_index, {col} AS raw_value, {col}__v AS value, {col}__e AS error FROM cv4
+    """
+
+
+def typed_table() -> str:
+    sel = ", ".join(["row_index", "o_orderkey"] + [f"{c}__v AS {c}" for c in RAW_ORDERS_SPEC])
+    return f"""
+    WITH {v_raw_orders()}, {conversion_cte('ro', RAW_ORDERS_SPEC, RAW_COLS)}
+    SELECT {sel} FROM cv4
+    """
+
+
+def parse_errors() -> str:
+    parts = [f"SELECT row_index, {q(c)} AS \"column\", {c} AS raw_value, {q(t)} AS expected_type, "
+             f"{c}__e AS error FROM cv4 WHERE {c}__e IS NOT NULL" for c, t in RAW_ORDERS_SPEC.items()]
+    return f"""
+    WITH {v_raw_orders()}, {conversion_cte('ro', RAW_ORDERS_SPEC, RAW_COLS)}
+    {' UNION ALL '.join(parts)}
+    """

@@ -16,6 +16,8 @@ from triage.operators import detect_persistence as DS
 from triage.operators import detect_process as DP
 from triage.plans import derive as D
 from triage.plans import oracle as O
+from triage.operators import typed as TY
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +57,25 @@ def q_alerts_persistence(spark, sf):
                                            D.tasks(spark, sf)), "persistence")
 
 
+def _convert_one(col):
+    def q(spark, sf):
+        t = D.raw_orders(spark, sf)
+        spec = {col: D.RAW_ORDERS_SPEC[col]}
+        conv = TY.converted(t, spec)
+        return conv.select(F.col("_row_index").alias("row_index"), F.col(col).alias("raw_value"),
+                           F.col(f"{col}__cv.value").alias("value"), F.col(f"{col}__cv.error").alias("error"))
+    return q
+
+
+def q_typed_table(spark, sf):
+    t = D.raw_orders(spark, sf)
+    return TY.typed_frame(t, D.RAW_ORDERS_SPEC).withColumnRenamed("_row_index", "row_index").drop("_row_id")
+
+
+def q_parse_errors(spark, sf):
+    return TY.parse_errors(D.raw_orders(spark, sf), D.RAW_ORDERS_SPEC)
+
+
 QUERIES: dict[str, Query] = {
     "alerts_network": q_alerts_network,
     "alerts_dns": q_alerts_dns,
@@ -64,6 +85,13 @@ QUERIES: dict[str, Query] = {
     "alerts_injection": q_alerts_injection,
     "hidden_processes": q_hidden_processes,
     "alerts_persistence": q_alerts_persistence,
+    "convert_int": _convert_one("o_custkey"),
+    "convert_hex": _convert_one("o_address"),
+    "convert_float": _convert_one("o_price"),
+    "convert_bool": _convert_one("o_flag"),
+    "convert_timestamp": _convert_one("o_time"),
+    "typed_table": q_typed_table,
+    "parse_errors": q_parse_errors,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
@@ -75,6 +103,13 @@ ORACLES: dict[str, Callable[[], str]] = {
     "alerts_injection": O.alerts_injection,
     "hidden_processes": O.hidden_processes,
     "alerts_persistence": O.alerts_persistence,
+    "convert_int": lambda: O.convert_one("o_custkey"),
+    "convert_hex": lambda: O.convert_one("o_address"),
+    "convert_float": lambda: O.convert_one("o_price"),
+    "convert_bool": lambda: O.convert_one("o_flag"),
+    "convert_timestamp": lambda: O.convert_one("o_time"),
+    "typed_table": O.typed_table,
+    "parse_errors": O.parse_errors,
 }
 
 

@@ -180,3 +180,8 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> ForensicTable:
         pick(X.STATUS_VALUES, k).alias("o_status"), F.concat(F.lit("n"), _s(k % 7)).alias("o_note"),
     )
     return ForensicTable.of(df, "raw_orders")
+
+
+PROCESS_SPEC = {"pid": "int", "ppid": "int", "name": "raw", "parent_name": "string"}
+NET_SPEC = {"pid": "int", "src-port": "int", "dst-port": "int", "state": "raw"}
+TASKS_SPEC = {"task_name": "raw", "action": "raw"}

@@ -536,3 +536,91 @@ def parse_errors() -> str:
     WITH {v_raw_orders()}, {conversion_cte('ro', RAW_ORDERS_SPEC, RAW_COLS)}
     {' UNION ALL '.join(parts)}
     """
+
+
+# ---------------------------------------------------------------------------
+# validation
+# ---------------------------------------------------------------------------
+
+from triage.plans.derive import NET_SPEC, PROCESS_SPEC, TASKS_SPEC  # noqa: E402
+
+
+def _val_views() -> str:
+    return f"""{v_process()}, {v_net()}, {v_registry()},
+    cnt AS (SELECT 'process' AS t, count(*) AS n FROM process_v UNION ALL SELECT 'net', count(*) FROM net_v
+            UNION ALL SELECT 'raw_orders', count(*) FROM orders UNION ALL SELECT 'tasks', count(*) FROM task_v),
+    man AS (SELECT t || '.csv' AS f, n FROM cnt WHERE t <> 'tasks')"""
+
+
+def validate_parity() -> str:
+    return f"""
+    WITH {_val_views()}
+    SELECT c.t || '.csv' AS "table", 'parity' AS "check",
+           CASE WHEN m.n IS NULL OR m.n <> c.n THEN 'FAIL' ELSE 'PASS' END AS status,
+           CASE WHEN m.n IS NULL THEN 'No manifest entry for ''' || c.t || '.csv''. typed_' || c.t || '.csv has '
+                                      || CAST(c.n AS VARCHAR) || ' rows.'
+                WHEN m.n = c.n THEN 'raw=' || CAST(m.n AS VARCHAR) || ', typed=' || CAST(c.n AS VARCHAR)
+                ELSE 'ROW MISMATCH — raw=' || CAST(m.n AS VARCHAR) || ', typed=' || CAST(c.n AS VARCHAR) END AS detail
+    FROM cnt c LEFT JOIN man m ON m.f = c.t || '.csv'
+    """
+
+
+def _constraint_sql(label: str, src: str, spec: dict[str, str], cols_sql: dict[str, str]) -> str:
+    req = sorted(h for h, ty in spec.items() if ty not in ("raw", "string"))
+    if not req:
+        return (f"SELECT {q(label)} AS \"table\", 'constraint' AS \"check\", 'PASS' AS status, "
+                f"'No typed (non-raw/string) columns to check.' AS detail")
+    counts = ", ".join(f"count(*) FILTER (WHERE {strip(cols_sql[h])} = '') AS c{i}" for i, h in enumerate(req))
+    parts = " || ".join(
+        f"CASE WHEN c{i} > 0 THEN {q(h + ': ')} || CAST(c{i} AS VARCHAR) || ' null(s)' || '\x1f' ELSE '' END"
+        for i, h in enumerate(req))
+    anybad = " OR ".join(f"c{i} > 0" for i in range(len(req)))
+    return f"""
+    SELECT {q(label)} AS "table", 'constraint' AS "check",
+           CASE WHEN {anybad} THEN 'FAIL' ELSE 'PASS' END AS status,
+           CASE WHEN {anybad} THEN 'Null values in typed columns — ' || replace(rtrim({parts}, '\x1f'), '\x1f', '; ')
+                ELSE 'All {len(req)} typed column(s) have non-null values across ' || CAST(n AS VARCHAR) || ' rows.' END AS detail
+    FROM (SELECT count(*) AS n, {counts} FROM {src})"""
+
+
+def validate_constraints() -> str:
+    ro_cols = {c: c for c in RAW_ORDERS_SPEC}
+    return f"""
+    WITH {_val_views()}, {v_raw_orders()}
+    {_constraint_sql('process.csv', 'process_v', PROCESS_SPEC, {'pid': 'pid', 'ppid': 'ppid'})}
+    UNION ALL {_constraint_sql('net.csv', 'net_v', NET_SPEC, {'pid': 'pid', 'src-port': 'src_port', 'dst-port': 'dst_port'})}
+    UNION ALL {_constraint_sql('raw_orders.csv', 'ro', RAW_ORDERS_SPEC, ro_cols)}
+    UNION ALL {_constraint_sql('tasks.csv', 'task_v', TASKS_SPEC, {})}
+    """
+
+
+def validate_relations() -> str:
+    return f"""
+    WITH {_val_views()},
+    pp AS (SELECT DISTINCT {strip('pid')} AS k FROM process_v WHERE {strip('pid')} <> ''),
+    orph AS (SELECT DISTINCT {strip('pid')} AS k FROM net_v WHERE {strip('pid')} <> ''
+             AND {strip('pid')} NOT IN (SELECT k FROM pp)),
+    st AS (SELECT (SELECT count(*) FROM orph) AS n,
+                  (SELECT string_agg(k, ', ' ORDER BY k) FROM (SELECT k FROM orph ORDER BY k LIMIT 20)) AS top,
+                  (SELECT n FROM cnt WHERE t = 'net') AS net_rows, (SELECT n FROM cnt WHERE t = 'process') AS proc_rows)
+    SELECT 'net.csv → process.csv' AS "table", 'relation' AS "check",
+           CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status,
+           CASE WHEN n = 0 THEN 'All PIDs in net.csv (' || CAST(net_rows AS VARCHAR) || ' rows) exist in process.csv ('
+                                || CAST(proc_rows AS VARCHAR) || ' rows).'
+                ELSE CAST(n AS VARCHAR) || ' orphan PID(s) in net.csv not in process.csv: ' || top
+                     || CASE WHEN n > 20 THEN ' …' ELSE '' END END AS detail
+    FROM st
+    """
+
+
+def validate_report() -> str:
+    return (f"SELECT * FROM ({validate_parity()}) UNION ALL SELECT * FROM ({validate_constraints()}) "
+            f"UNION ALL SELECT * FROM ({validate_relations()})")
+
+
+def validate_summary() -> str:
+    return f"""
+    SELECT count(*) FILTER (WHERE status = 'PASS') AS passed, count(*) FILTER (WHERE status = 'FAIL') AS failed,
+           count(*) AS total, CASE WHEN count(*) FILTER (WHERE status = 'FAIL') = 0 THEN 'PASS' ELSE 'FAIL' END AS overall
+    FROM ({validate_report()})
+    """

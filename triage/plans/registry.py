@@ -16,6 +16,7 @@ from triage.operators import detect_persistence as DS
 from triage.operators import detect_process as DP
 from triage.plans import derive as D
 from triage.plans import oracle as O
+from triage.plans import validation as VP
 from triage.operators import typed as TY
 from pyspark.sql import functions as F
 
@@ -92,6 +93,11 @@ QUERIES: dict[str, Query] = {
     "convert_timestamp": _convert_one("o_time"),
     "typed_table": q_typed_table,
     "parse_errors": q_parse_errors,
+    "validate_parity": VP.parity,
+    "validate_constraints": VP.constraints,
+    "validate_relations": VP.relations,
+    "validate_report": VP.report,
+    "validate_summary": VP.report_summary,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
@@ -110,6 +116,11 @@ ORACLES: dict[str, Callable[[], str]] = {
     "convert_timestamp": lambda: O.convert_one("o_time"),
     "typed_table": O.typed_table,
     "parse_errors": O.parse_errors,
+    "validate_parity": O.validate_parity,
+    "validate_constraints": O.validate_constraints,
+    "validate_relations": O.validate_relations,
+    "validate_report": O.validate_report,
+    "validate_summary": O.validate_summary,
 }
 
 

@@ -624,3 +624,39 @@ def validate_summary() -> str:
            count(*) AS total, CASE WHEN count(*) FILTER (WHERE status = 'FAIL') = 0 THEN 'PASS' ELSE 'FAIL' END AS overall
     FROM ({validate_report()})
     """
+
+
+# ---------------------------------------------------------------------------
+# enrichment + summary
+# ---------------------------------------------------------------------------
+
+def process_lineage() -> str:
+    return f"""
+    WITH {v_process()},
+    pr AS (SELECT _row_id, {strip('pid')} AS pid, {strip('ppid')} AS ppid, {strip('name')} AS name FROM process_v),
+    info AS (SELECT pid, arg_max(name, _row_id) AS name, arg_max(ppid, _row_id) AS ppid FROM pr
+             WHERE pid <> '' GROUP BY pid)
+    SELECT pr.pid, pr.ppid, coalesce(p.ppid, '') AS pppid, pr.name, coalesce(p.name, '') AS parent_name,
+           CASE WHEN p.pid IS NOT NULL THEN coalesce(g.name, '') ELSE '' END AS grandparent_name
+    FROM pr LEFT JOIN info p ON pr.ppid = p.pid LEFT JOIN info g ON p.ppid = g.pid
+    """
+
+
+def connection_owner() -> str:
+    return f"""
+    WITH {v_process()}, {v_net()}, {pid_lookup_cte()}
+    SELECT n.pid, coalesce(lk.name, '') AS process_name, n.protocol, n.state, n.src_addr, n.src_port,
+           n.dst_addr, n.dst_port
+    FROM (SELECT {strip('pid')} AS pid, {strip('protocol')} AS protocol, {strip('state')} AS state,
+                 {strip('src_addr')} AS src_addr, {strip('src_port')} AS src_port,
+                 {strip('dst_addr')} AS dst_addr, {strip('dst_port')} AS dst_port FROM net_v) n
+    LEFT JOIN lk ON n.pid = lk.pid
+    """
+
+
+def alert_summary() -> str:
+    fams = [("network", alerts_network()), ("network", alerts_dns()), ("process", alerts_process()),
+            ("lateral", alerts_lateral()), ("injection", alerts_injection()), ("injection", hidden_processes()),
+            ("persistence", alerts_persistence())]
+    u = " UNION ALL ".join(f"SELECT {q(f)} AS family, alert_type, severity FROM ({s})" for f, s in fams)
+    return f"SELECT family, alert_type, severity, count(*) AS alerts FROM ({u}) GROUP BY ALL"

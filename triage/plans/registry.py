@@ -77,6 +77,44 @@ def q_parse_errors(spark, sf):
     return TY.parse_errors(D.raw_orders(spark, sf), D.RAW_ORDERS_SPEC)
 
 
+def q_process_lineage(spark, sf):
+    from triage.operators.lookups import process_lineage
+    return process_lineage(D.process(spark, sf)).drop("_row_id")
+
+
+def q_connection_owner(spark, sf):
+    from triage.operators.aliases import NET, resolve
+    from triage.operators.lookups import pid_name_lookup, with_owner_name
+    df, _ = resolve(D.net(spark, sf), NET)
+    out = with_owner_name(df, pid_name_lookup(D.process(spark, sf)), out="process_name", default="")
+    return out.select("pid", "process_name", "protocol", "state", "src_addr", "src_port", "dst_addr", "dst_port")
+
+
+def all_alerts(spark, sf):
+    """Every detector family over the derived tables, unioned by family."""
+    proc = D.process(spark, sf)
+    mem = D.memory(spark, sf)
+    fams = [
+        ("network", DN.network_alerts(spark, D.net(spark, sf), proc)),
+        ("network", DN.dns_alerts(spark, D.dns(spark, sf), proc)),
+        ("process", DP.process_alerts(spark, proc)),
+        ("lateral", DL.lateral_alerts(spark, proc)),
+        ("injection", DI.injection_alerts(spark, mem, proc, "findevil")),
+        ("persistence", DS.persistence_alerts(spark, D.registry(spark, sf), D.services(spark, sf),
+                                              D.tasks(spark, sf))),
+    ]
+    out = None
+    for fam, df in fams:
+        part = df.select(F.lit(fam).alias("family"), "alert_type", "severity")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def q_alert_summary(spark, sf):
+    return (all_alerts(spark, sf).groupBy("family", "alert_type", "severity")
+            .agg(F.count(F.lit(1)).alias("alerts")))
+
+
 QUERIES: dict[str, Query] = {
     "alerts_network": q_alerts_network,
     "alerts_dns": q_alerts_dns,
@@ -98,6 +136,9 @@ QUERIES: dict[str, Query] = {
     "validate_relations": VP.relations,
     "validate_report": VP.report,
     "validate_summary": VP.report_summary,
+    "process_lineage": q_process_lineage,
+    "connection_owner": q_connection_owner,
+    "alert_summary": q_alert_summary,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
@@ -121,6 +162,9 @@ ORACLES: dict[str, Callable[[], str]] = {
     "validate_relations": O.validate_relations,
     "validate_report": O.validate_report,
     "validate_summary": O.validate_summary,
+    "process_lineage": O.process_lineage,
+    "connection_owner": O.connection_owner,
+    "alert_summary": O.alert_summary,
 }
 
 

@@ -660,3 +660,42 @@ def alert_summary() -> str:
             ("persistence", alerts_persistence())]
     u = " UNION ALL ".join(f"SELECT {q(f)} AS family, alert_type, severity FROM ({s})" for f, s in fams)
     return f"SELECT family, alert_type, severity, count(*) AS alerts FROM ({u}) GROUP BY ALL"
+
+
+# ---------------------------------------------------------------------------
+# CSV sources
+# ---------------------------------------------------------------------------
+
+def csv_roundtrip() -> str:
+    return f"""WITH {v_process()}
+    SELECT pid, ppid, name, parent_name, path, "user", cmdline FROM process_v"""
+
+
+def _malformed_rows() -> str:
+    return """
+    mal AS (SELECT o_orderkey AS k, o_orderkey % 4 AS f,
+                   CASE WHEN o_orderkey % 5 = 0 THEN 'short' WHEN o_orderkey % 7 = 0 THEN 'long'
+                        WHEN o_orderkey % 13 = 0 THEN 'multi' ELSE 'plain' END AS kind FROM orders)"""
+
+
+def csv_malformed() -> str:
+    return f"""WITH {_malformed_rows()}
+    SELECT CAST(k AS VARCHAR) AS a, CASE kind WHEN 'multi' THEN 'multi' || chr(10) || 'line "q"' ELSE 'x' END AS b,
+           CASE kind WHEN 'short' THEN '' ELSE 'y' END AS c
+    FROM mal"""
+
+
+def csv_ingest_errors() -> str:
+    return f"""WITH {_malformed_rows()},
+    pos AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY k) - 1 AS idx FROM mal)
+    SELECT idx + 2 AS line_number, CAST(k AS VARCHAR) || ',x,y,"z,1"' AS raw_line,
+           'Extra columns: expected 3, got 4' AS error
+    FROM pos WHERE kind = 'long'"""
+
+
+def csv_linewise() -> str:
+    # each physical line on its own: the two halves of a quoted multi-line
+    # record are unparsable lines and are dropped
+    return f"""WITH {_malformed_rows()}
+    SELECT CAST(k AS VARCHAR) AS a, 'x' AS b, CASE kind WHEN 'short' THEN '' ELSE 'y' END AS c
+    FROM mal WHERE kind <> 'multi'"""

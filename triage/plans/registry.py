@@ -17,6 +17,7 @@ from triage.operators import detect_process as DP
 from triage.plans import derive as D
 from triage.plans import oracle as O
 from triage.plans import validation as VP
+from triage.plans import files as FP
 from triage.operators import typed as TY
 from pyspark.sql import functions as F
 
@@ -139,6 +140,10 @@ QUERIES: dict[str, Query] = {
     "process_lineage": q_process_lineage,
     "connection_owner": q_connection_owner,
     "alert_summary": q_alert_summary,
+    "csv_roundtrip": FP.roundtrip_process,
+    "csv_malformed": FP.csv_malformed,
+    "csv_ingest_errors": FP.csv_ingest_errors,
+    "csv_linewise": FP.csv_linewise,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
@@ -165,6 +170,10 @@ ORACLES: dict[str, Callable[[], str]] = {
     "process_lineage": O.process_lineage,
     "connection_owner": O.connection_owner,
     "alert_summary": O.alert_summary,
+    "csv_roundtrip": O.csv_roundtrip,
+    "csv_malformed": O.csv_malformed,
+    "csv_ingest_errors": O.csv_ingest_errors,
+    "csv_linewise": O.csv_linewise,
 }
 
 

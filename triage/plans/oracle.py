@@ -699,3 +699,68 @@ def csv_linewise() -> str:
     return f"""WITH {_malformed_rows()}
     SELECT CAST(k AS VARCHAR) AS a, 'x' AS b, CASE kind WHEN 'short' THEN '' ELSE 'y' END AS c
     FROM mal WHERE kind <> 'multi'"""
+
+
+# ---------------------------------------------------------------------------
+# inventory / scaffold
+# ---------------------------------------------------------------------------
+
+CASE_HEADERS = {
+    "process.csv": ["pid", "ppid", "name", "parent_name", "path", "user", "cmdline"],
+    "net.csv": ["pid", "protocol", "state", "src-addr", "src-port", "dst-addr", "dst-port"],
+    "dup.csv": ["X", "Y", "X"],
+    "empty_data.csv": ["A", "B", "C"],
+    "empty.csv": [],
+}
+
+
+def _inventory_sql() -> str:
+    rows = {
+        "process.csv": ("(SELECT count(*) FROM process_v)", "0", ""),
+        "net.csv": ("(SELECT count(*) FROM net_v)", "0", ""),
+        "dup.csv": ("(SELECT count(*) FROM part)", "(SELECT count(*) FROM part WHERE p_partkey % 10 = 9)",
+                    "duplicate_header: X"),
+        "empty_data.csv": ("0", "0", "empty_data"),
+        "empty.csv": ("0", "0", "empty_file"),
+    }
+    parts = [f"SELECT {q(f)} AS filename, {len(h)} AS header_count, {q('|'.join(h))} AS headers, "
+             f"CAST({rows[f][0]} AS BIGINT) AS row_count, CAST({rows[f][1]} AS BIGINT) AS ingest_errors, "
+             f"{q(rows[f][2])} AS anomalies" for f, h in CASE_HEADERS.items()]
+    return f"WITH {v_process()}, {v_net()} " + " UNION ALL ".join(parts)
+
+
+def inventory() -> str:
+    return _inventory_sql()
+
+
+def anomaly_summary() -> str:
+    return ("SELECT CAST(5 AS BIGINT) AS total_files, 'dup.csv' AS duplicate_headers, "
+            "'empty.csv, empty_data.csv' AS empty_files, '' AS locked_files, '' AS read_errors "
+            f"FROM (SELECT count(*) FROM ({_inventory_sql()}))")
+
+
+def _yaml_spec(filename: str, headers: list[str]) -> str:
+    from triage.operators.profile import YAML_SPECIAL
+    lines = [f"table: {filename}", "columns:"]
+    if headers:
+        for h in headers:
+            name = f'"{h}"' if any(ch in h for ch in YAML_SPECIAL) else h
+            lines.append(f'  {name}: {{ type: "raw" }}  # To be filled later')
+    else:
+        lines.append("  {}  # No headers detected")
+    lines += ["validations: []", ""]
+    return "\n".join(lines)
+
+
+def scaffold() -> str:
+    parts = []
+    for f, h in CASE_HEADERS.items():
+        table = f.rsplit(".", 1)[0]
+        if not h:
+            action, spec = "skipped_no_headers", "NULL"
+        elif table == "process":
+            action, spec = "skipped", "NULL"
+        else:
+            action, spec = "created", q(_yaml_spec(f, h))
+        parts.append(f"SELECT {q(table)} AS \"table\", {q(action)} AS action, CAST({spec} AS VARCHAR) AS spec")
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE (SELECT count(*) FROM part) >= 0"

@@ -144,6 +144,10 @@ QUERIES: dict[str, Query] = {
     "csv_malformed": FP.csv_malformed,
     "csv_ingest_errors": FP.csv_ingest_errors,
     "csv_linewise": FP.csv_linewise,
+    "inventory": FP.inventory,
+    "anomaly_summary": FP.anomaly_summary,
+    "scaffold": FP.scaffold,
+    "file_fingerprint": FP.file_fingerprint,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
@@ -174,6 +178,9 @@ ORACLES: dict[str, Callable[[], str]] = {
     "csv_malformed": O.csv_malformed,
     "csv_ingest_errors": O.csv_ingest_errors,
     "csv_linewise": O.csv_linewise,
+    "inventory": O.inventory,
+    "anomaly_summary": O.anomaly_summary,
+    "scaffold": O.scaffold,
 }
 
 

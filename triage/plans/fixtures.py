@@ -121,3 +121,8 @@ TS_VALUES = [
     "31/12/2024 23:59:59", "2024-01- 5", "2024-01-15 10:30:60",
 ]
 STATUS_VALUES = ["O", "F", "P", ""]
+
+NETSTAT_LOCAL = ["0.0.0.0:135", "10.0.0.5:49708", "[::]:445", "127.0.0.1:5357", "*:*", "fe80::1:9",
+                 "192.168.1.20:139"]
+NETSTAT_REMOTE = ["40.67.254.36:443", "0.0.0.0:0", "[::]:0", "*:*", "8.8.8.8:53", "nocolon"]
+NETSTAT_STATES = ["ESTABLISHED", "LISTENING", "CLOSE_WAIT", "TIME_WAIT"]

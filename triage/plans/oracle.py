@@ -764,3 +764,100 @@ def scaffold() -> str:
             action, spec = "created", q(_yaml_spec(f, h))
         parts.append(f"SELECT {q(table)} AS \"table\", {q(action)} AS action, CAST({spec} AS VARCHAR) AS spec")
     return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE (SELECT count(*) FROM part) >= 0"
+
+
+# ---------------------------------------------------------------------------
+# enrichment, text sources, timeline
+# ---------------------------------------------------------------------------
+
+def _doc_stats() -> str:
+    return """
+    dd AS (SELECT doc_id, lang, text FROM documents),
+    byt AS (SELECT doc_id, unnest(regexp_extract_all(hex(text), '..')) AS b FROM dd),
+    bc AS (SELECT doc_id, b, count(*) AS n FROM byt GROUP BY ALL),
+    bt AS (SELECT doc_id, sum(n) AS total FROM bc GROUP BY doc_id),
+    ent AS (SELECT bc.doc_id, round(-sum((n / total) * log2(n / total)), 6) AS e FROM bc JOIN bt USING (doc_id)
+            GROUP BY bc.doc_id),
+    ds AS (SELECT dd.doc_id, dd.lang, printf('%.6f', coalesce(ent.e, 0.0)) AS entropy, md5(text) AS md5,
+                  sha256(text) AS sha256, CAST(octet_length(encode(text)) AS VARCHAR) AS file_size
+           FROM dd LEFT JOIN ent USING (doc_id))"""
+
+
+def file_entropy() -> str:
+    return f"WITH {_doc_stats()} SELECT doc_id, entropy, md5, sha256, file_size FROM ds"
+
+
+def _resolution() -> str:
+    rel = ("CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) || '.txt' "
+           "ELSE lang || '/' || CAST(doc_id AS VARCHAR) || '.txt' END")
+    path = (f"CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 3 = 0 THEN '/forensic/0.txt' "
+            f"WHEN doc_id % 5 = 0 THEN '/forensic/' || {rel} WHEN doc_id % 5 = 1 THEN {rel} "
+            f"WHEN doc_id % 5 = 2 THEN 'C:/' || {rel} "
+            f"WHEN doc_id % 5 = 3 THEN '/elsewhere/dir/' || CAST(doc_id AS VARCHAR) || '.txt' "
+            f"ELSE 'missing/' || CAST(doc_id AS VARCHAR) || '.bin' END")
+    return f"""{_doc_stats()},
+    store AS (SELECT '/forensic/' || {rel} AS path, entropy, md5, sha256, file_size FROM ds),
+    fl AS (SELECT {path} AS file_path, 'F' || CAST(doc_id AS VARCHAR) AS file_id FROM documents),
+    fk AS (SELECT *, file_path AS k1, '/forensic/' || file_path AS k2,
+                  '/forensic/' || (CASE WHEN substr(ltrim(file_path, '/'), 2, 1) = ':'
+                                        THEN ltrim(substr(ltrim(file_path, '/'), 3), '/')
+                                        ELSE ltrim(file_path, '/') END) AS k3,
+                  '/forensic/' || regexp_extract(file_path, '([^/\\\\]*)$', 1) AS k4 FROM fl),
+    res AS (SELECT fk.file_path, fk.file_id,
+                   CASE WHEN fk.file_path = '' THEN NULL
+                        ELSE coalesce(s1.path, s2.path, s3.path, s4.path) END AS hit
+            FROM fk LEFT JOIN store s1 ON s1.path = fk.k1 LEFT JOIN store s2 ON s2.path = fk.k2
+                    LEFT JOIN store s3 ON s3.path = fk.k3 LEFT JOIN store s4 ON s4.path = fk.k4),
+    out AS (SELECT res.file_path, res.file_id, coalesce(s.entropy, '') AS entropy, coalesce(s.md5, '') AS md5,
+                   coalesce(s.sha256, '') AS sha256, coalesce(s.file_size, '') AS file_size,
+                   CASE WHEN s.path IS NULL THEN 'not_found' ELSE 'ok' END AS status
+            FROM res LEFT JOIN store s ON s.path = res.hit)"""
+
+
+def path_resolution() -> str:
+    return f"WITH {_resolution()} SELECT * FROM out"
+
+
+def enrichment_status() -> str:
+    return f"""WITH {_resolution()}
+    SELECT count(*) AS processed, count(*) FILTER (WHERE status = 'ok') AS found,
+           count(*) FILTER (WHERE status <> 'ok') AS not_found,
+           CASE WHEN count(*) FILTER (WHERE status <> 'ok') > 0 THEN 'partial' ELSE 'ok' END AS status FROM out"""
+
+
+def netstat_parse() -> str:
+    k = "o_orderkey"
+    return f"""
+    WITH {v_process()}, {pid_lookup_cte()},
+    nl AS (SELECT {k} % 11 AS m, {pick(X.PROTOCOLS, k)} AS proto, {pick(X.NETSTAT_LOCAL, k)} AS loc,
+                  {pick(X.NETSTAT_REMOTE, f'{k} // 3')} AS rem, {pick(X.NETSTAT_STATES, f'{k} // 5')} AS st,
+                  CASE WHEN {k} % 4 = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS pid FROM orders),
+    r AS (SELECT pid, proto, st,
+                 CASE WHEN contains(loc, ':') THEN regexp_extract(loc, '^(.*):[^:]*$', 1) ELSE loc END AS sa,
+                 CASE WHEN contains(loc, ':') THEN regexp_extract(loc, ':([^:]*)$', 1) ELSE '' END AS sp,
+                 CASE WHEN contains(rem, ':') THEN regexp_extract(rem, '^(.*):[^:]*$', 1) ELSE rem END AS da,
+                 CASE WHEN contains(rem, ':') THEN regexp_extract(rem, ':([^:]*)$', 1) ELSE '' END AS dp
+          FROM nl WHERE m >= 4)
+    SELECT r.pid, coalesce(lk.name, '') AS process_name, proto AS protocol, st AS state, sa AS "src-addr",
+           sp AS "src-port", da AS "dst-addr", dp AS "dst-port"
+    FROM r LEFT JOIN lk ON r.pid = lk.pid
+    """
+
+
+def flagged_ids() -> str:
+    return f"""
+    WITH {v_process()},
+    ev AS (SELECT event_id % 6 AS m, CAST(user_id AS VARCHAR) AS u FROM events)
+    SELECT DISTINCT pid FROM (
+      SELECT u AS pid FROM ev WHERE m IN (0, 2)
+      UNION ALL SELECT '77' FROM ev WHERE m = 4
+      UNION ALL SELECT {strip('pid')} FROM process_v WHERE lower({strip('name')}) = 'lsass.exe'
+                                                    AND regexp_full_match({strip('pid')}, '[0-9]+'))
+    """
+
+
+def timeline_union() -> str:
+    return """
+    SELECT 'timeline_' || event_type || '.csv' AS source, count(*) AS "rows" FROM events GROUP BY 1
+    UNION ALL SELECT 'timeline_all.csv', count(*) FROM events
+    """

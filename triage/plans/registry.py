@@ -18,6 +18,7 @@ from triage.plans import derive as D
 from triage.plans import oracle as O
 from triage.plans import validation as VP
 from triage.plans import files as FP
+from triage.plans import enrichq as EQ
 from triage.operators import typed as TY
 from pyspark.sql import functions as F
 
@@ -148,6 +149,12 @@ QUERIES: dict[str, Query] = {
     "anomaly_summary": FP.anomaly_summary,
     "scaffold": FP.scaffold,
     "file_fingerprint": FP.file_fingerprint,
+    "file_entropy": EQ.file_entropy,
+    "path_resolution": EQ.path_resolution,
+    "enrichment_status": EQ.enrichment_status,
+    "netstat_parse": EQ.netstat_parse,
+    "flagged_ids": EQ.flagged_ids,
+    "timeline_union": EQ.timeline_union,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
@@ -181,6 +188,12 @@ ORACLES: dict[str, Callable[[], str]] = {
     "inventory": O.inventory,
     "anomaly_summary": O.anomaly_summary,
     "scaffold": O.scaffold,
+    "file_entropy": O.file_entropy,
+    "path_resolution": O.path_resolution,
+    "enrichment_status": O.enrichment_status,
+    "netstat_parse": O.netstat_parse,
+    "flagged_ids": O.flagged_ids,
+    "timeline_union": O.timeline_union,
 }
 
 

@@ -59,9 +59,19 @@ def first_regex(c: Column, patterns: Sequence[str], labels: Sequence[str] | None
 
 
 def first_contains(c: Column, markers: Sequence[str]) -> Column:
-    """First marker (list order) that occurs in c, else NULL."""
-    arr = F.array(*[F.lit(m) for m in markers])
-    return F.get(F.filter(arr, lambda m: F.contains(c, m)), 0)
+    """First marker (list order) that occurs in c, else NULL (CASE chain)."""
+    chain = None
+    for m in markers:
+        chain = (F.when(c.contains(m), F.lit(m)) if chain is None
+                 else chain.when(c.contains(m), F.lit(m)))
+    return chain
+
+
+def any_startswith(c: Column, prefixes: Sequence[str]) -> Column:
+    cond = F.lit(False)
+    for p in prefixes:
+        cond = cond | c.startswith(p)
+    return cond
 
 
 def in_list(c: Column, values: Iterable[str]) -> Column:

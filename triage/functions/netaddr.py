@@ -109,9 +109,10 @@ def with_ipv6_hextets(df: DataFrame, addr: str, out: str) -> DataFrame:
         & (F.col("_ip_ndc") <= 1)
         & F.when(F.col("_ip_ndc") == 1, F.col("_ip_fill") >= 1).otherwise(F.size("_ip_plain") == 8)
         & (F.size("_ip_parts") == 8)
-        & F.forall("_ip_parts", lambda h: h.rlike(HEXTET_RE))
+        & F.array_join("_ip_parts", ":").rlike(r"^[0-9a-fA-F]{1,4}(:[0-9a-fA-F]{1,4}){7}$")
     )
-    s = s.withColumn(out, F.when(valid, F.transform("_ip_parts", lambda h: F.conv(h, 16, 10).cast("int"))))
+    hx = [F.conv(F.get(F.col("_ip_parts"), i), 16, 10).cast("int") for i in range(8)]
+    s = s.withColumn(out, F.when(valid, F.array(*hx)))
     return s.drop("_ip_pct", "_ip_body", "_ip_tail", "_ip_tailn", "_ip_b2", "_ip_ndc", "_ip_lp",
                   "_ip_rp", "_ip_plain", "_ip_fill", "_ip_parts")
 
@@ -120,7 +121,7 @@ def _v6_private(h: Column) -> Column:
     h0, h1, h2 = F.get(h, 0), F.get(h, 1), F.get(h, 2)
     external_block = h0.between(0x2000, 0x3FFF) | (h0 >= 0xFEC0)
     in_2001_23 = (h0 == 0x2001) & (h1 < 0x200)
-    middle_zero = F.forall(F.slice(h, 3, 5), lambda x: x == 0)
+    middle_zero = (F.get(h, 2) == 0) & (F.get(h, 3) == 0) & (F.get(h, 4) == 0) & (F.get(h, 5) == 0) & (F.get(h, 6) == 0)
     # inside 2001::/23 these stay globally reachable
     exc_2001 = (((h1 == 1) & middle_zero & F.get(h, 7).isin(1, 2))
                 | (h1 == 3) | ((h1 == 4) & (h2 == 0x112))

@@ -49,10 +49,14 @@ def rule_slot(rule: int, cond: Column, kind: str, values: dict[str, Column]) ->
     return F.when(cond, F.struct(*fields))
 
 
-def explode_slots(df: DataFrame, slots: Sequence[Column], row_id: Column | None = None) -> DataFrame:
+def explode_slots(df: DataFrame, slots: Sequence[Column], row_id: Column | None = None,
+                  keep: Sequence[str] = ()) -> DataFrame:
+    """One output row per non-NULL slot.  explode + filter keeps the whole
+    projection in generated code (a lambda ``filter`` would force the
+    interpreted path for every rule expression)."""
     rid = row_id if row_id is not None else F.col("_row_id")
-    arr = F.filter(F.array(*slots), lambda s: s.isNotNull())
-    return df.select(rid.alias("_row_id"), F.inline(arr))
+    exploded = df.select(rid.alias("_row_id"), *keep, F.explode(F.array(*slots)).alias("_slot"))
+    return exploded.where(F.col("_slot").isNotNull()).select("_row_id", *keep, "_slot.*")
 
 
 def public(df: DataFrame, kind: str) -> DataFrame:

@@ -58,8 +58,7 @@ def lateral_alerts(spark: SparkSession, proc: ForensicTable) -> DataFrame:
             "description": render(R.MSG["REMOTE_EXECUTION"], parent=parent, ppid=ppid,
                                   framework=F.element_at(frameworks, F.col("_pl")), name=name, pid=pid)}),
     ]
-    alerts = (df.select("*", F.struct("_pkey", "_recon").alias("_esc"))
-                .select("_row_id", "_esc", F.inline(F.filter(F.array(*slots), lambda s: s.isNotNull()))))
+    alerts = explode_slots(df.withColumn("_esc", F.struct("_pkey", "_recon")), slots, keep=("_esc",))
     return escalate_recon(alerts)
 
 

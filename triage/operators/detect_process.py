@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triage import rules as R
-from triage.functions.cells import first_contains, py_list_repr, render
+from triage.functions.cells import any_startswith, first_contains, py_list_repr, render
 from triage.operators import aliases as A
 from triage.operators.alerts import empty_alerts, explode_slots, rule_slot
 from triage.operators.lookups import pid_name_lookup, with_parent_name
@@ -41,16 +41,16 @@ def process_alerts(spark: SparkSession, proc: ForensicTable) -> DataFrame:
     })
     nl, pl = F.col("_nl"), F.col("_pl")
     critical = [c.lower() for c in R.CRITICAL_NAMES]
-    df = df.withColumn("_typo", F.when(
-        ~nl.isin(critical),
-        F.get(F.filter(F.array(*[F.lit(c) for c in critical]),
-                       lambda c: F.levenshtein(nl, c, 1) == 1), 0)))
+    typo = None
+    for c in critical:
+        hit = F.levenshtein(nl, F.lit(c), 1) == 1
+        typo = F.when(hit, F.lit(c)) if typo is None else typo.when(hit, F.lit(c))
+    df = df.withColumn("_typo", F.when(~nl.isin(critical), typo))
     allowed = _lit_map({k: sorted(v) for k, v in R.PARENT_RULES.items()})
     expected_text = _lit_map({k: py_list_repr(sorted(v)) for k, v in R.PARENT_RULES.items()})
     common = {"pid": pid, "process_name": name, "process_path": F.col("path"), "ppid": ppid,
               "parent_name": parent, "user": F.col("user")}
-    prefix_ok = F.exists(F.array(*[F.lit(p) for p in R.SYSTEM32_PREFIXES]),
-                         lambda p: F.startswith(F.col("_pathl"), p))
+    prefix_ok = any_startswith(F.col("_pathl"), R.SYSTEM32_PREFIXES)
     is_system_user = first_contains(F.col("_ul"), R.SYSTEM_USER_MARKERS).isNotNull()
     slots = [
         rule_slot(1, nl.isin(R.SYSTEM32_ONLY) & (F.col("path") != "") & ~prefix_ok, KIND, {

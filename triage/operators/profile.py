@@ -85,16 +85,21 @@ def records(spark: SparkSession, root: str, encoding: str = "UTF-8") -> DataFram
            .csv(root)
            .select("_c0", CORRUPT, F.col("_metadata.file_path").alias("path"),
                    F.monotonically_increasing_id().alias("_row_id")))
-    cells = F.when(F.col(CORRUPT).isNull(), F.array(F.coalesce("_c0", F.lit("")))).otherwise(
-        F.transform(F.regexp_extract_all(F.col(CORRUPT), F.lit(FIELD_RE), 1), unquote))
-    return raw.select("path", "_row_id", cells.alias("cells"))
+    # cells stay in their raw (quoted) form; only header rows are unquoted
+    # later, so the per-record work is one regex and no lambda
+    single = F.col(CORRUPT).isNull()
+    cells = F.when(single, F.array(F.coalesce("_c0", F.lit("")))).otherwise(
+        F.regexp_extract_all(F.col(CORRUPT), F.lit(FIELD_RE), 1))
+    return raw.select("path", "_row_id", cells.alias("cells"), single.alias("_single"))
 
 
 def file_stats(spark: SparkSession, root: str) -> DataFrame:
     """Per physical file: headers, data rows, rows wider than the header."""
     rec = records(spark, root)
-    heads = rec.groupBy("path").agg(F.min_by("cells", "_row_id").alias("headers"),
-                                    F.min("_row_id").alias("_hid"))
+    heads = (rec.groupBy("path")
+                .agg(F.min_by(F.struct("cells", "_single"), "_row_id").alias("_h"), F.min("_row_id").alias("_hid"))
+                .select("path", "_hid", F.when(F.col("_h._single"), F.col("_h.cells"))
+                        .otherwise(F.transform("_h.cells", unquote)).alias("headers")))
     widths = heads.select("path", "_hid", F.size("headers").alias("_w"))
     body = (rec.join(F.broadcast(widths), "path")
                .where(F.col("_row_id") != F.col("_hid"))

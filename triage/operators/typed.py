@@ -55,8 +55,8 @@ def parse_errors(t: ForensicTable, spec: dict[str, str], index_col: str = "_row_
         return conv.select(F.col(index_col).cast("long").alias("row_index"), F.lit("").alias("column"),
                            F.lit("").alias("raw_value"), F.lit("").alias("expected_type"),
                            F.lit("").alias("error")).limit(0)
-    return conv.select(F.col(index_col).cast("long").alias("row_index"),
-                       F.inline(F.filter(F.array(*cells), lambda e: e["error"].isNotNull())))
+    ex = conv.select(F.col(index_col).cast("long").alias("row_index"), F.explode(F.array(*cells)).alias("_e"))
+    return ex.where(F.col("_e.error").isNotNull()).select("row_index", "_e.*")
 
 
 def parse_table(t: ForensicTable, spec: dict[str, str], index_col: str = "_row_index"):

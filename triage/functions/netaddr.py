@@ -2,15 +2,20 @@
 with the verdicts of Python 3.13's `ipaddress`, as native Column expressions.
 
 IPv4 is parsed with a strict dotted-quad regex (no leading zeros), turned
-into a BIGINT and tested against the ranges below.  IPv6 is expanded to
-eight hextets with array functions ('::' filled, embedded dotted quad
-converted, '%scope' dropped) and classified by its leading hextets.
+into a BIGINT and tested against the ranges below, all in generated code.
+IPv6 literals (rows containing ':') are classified by Python's ipaddress in
+an Arrow-batched pandas UDF: its validity rules (zone ids, embedded IPv4,
+'::' placement) and reserved/private tables are the reference semantics.
 """
 
 from __future__ import annotations
 
+import ipaddress
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from triage.rules import PRIVATE_LITERAL_ADDRS
 
@@ -64,87 +69,47 @@ def _v4_private(n: Column) -> Column:
     return cond & ~n.isin(exc)
 
 
-HEXTET_RE = r"^[0-9a-fA-F]{1,4}$"
+def _v6_batch(addrs: pd.Series) -> pd.Series:
+    """Verdict for IPv6-looking strings with Python's ipaddress (NULL in ->
+    NULL out); each distinct value in a batch is classified once."""
+    seen: dict[str, bool] = {}
 
+    def one(a):
+        if a is None:
+            return None
+        if a not in seen:
+            try:
+                ip = ipaddress.ip_address(a)
+                seen[a] = bool(ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved)
+            except ValueError:
+                seen[a] = False
+        return seen[a]
 
-def _hex4(n: Column) -> Column:
-    return F.lower(F.conv(n.cast("string"), 10, 16))
+    return addrs.map(one).astype("boolean")
 
 
-def with_ipv6_hextets(df: DataFrame, addr: str, out: str) -> DataFrame:
-    """Add ``out`` = array<int> of 8 hextets for a valid IPv6 literal, else NULL.
+_UDF: dict = {}
 
-    Built as staged projections so that every intermediate value is computed
-    once ('%scope' dropped, trailing dotted quad turned into two hextets,
-    '::' expanded, each group checked).
-    """
-    a = F.col(addr)
-    s = df.withColumn("_ip_pct", F.instr(a, "%"))
-    s = s.withColumn("_ip_body", F.when(F.col("_ip_pct") > 0, F.substring_index(a, "%", 1)).otherwise(a))
-    s = s.withColumn("_ip_tail", F.regexp_extract("_ip_body", r"([^:]*\.[^:]*)$", 1))
-    s = s.withColumn("_ip_tailn", ipv4_int(F.col("_ip_tail")))
-    tailn = F.col("_ip_tailn")
-    s = s.withColumn("_ip_b2", F.when(F.col("_ip_tail") == "", F.col("_ip_body")).otherwise(
-        F.concat(F.regexp_replace("_ip_body", r"[^:]*\.[^:]*$", ""),
-                 _hex4(F.floor(tailn / 65536)), F.lit(":"), _hex4(tailn % 65536))))
-    b2 = F.col("_ip_b2")
-    empty = F.array().cast("array<string>")
-    s = s.withColumns({
-        "_ip_ndc": F.size(F.split(b2, "::")) - 1,
-        "_ip_lp": F.when(F.substring_index(b2, "::", 1) == "", empty)
-                   .otherwise(F.split(F.substring_index(b2, "::", 1), ":")),
-        "_ip_rp": F.when(F.substring_index(b2, "::", -1) == "", empty)
-                   .otherwise(F.split(F.substring_index(b2, "::", -1), ":")),
-        "_ip_plain": F.split(b2, ":"),
-    })
-    s = s.withColumn("_ip_fill", 8 - F.size("_ip_lp") - F.size("_ip_rp"))
-    s = s.withColumn("_ip_parts", F.when(
-        F.col("_ip_ndc") == 1,
-        F.concat("_ip_lp", F.array_repeat(F.lit("0"), F.greatest("_ip_fill", F.lit(0))), "_ip_rp"))
-        .otherwise(F.col("_ip_plain")))
-    valid = (
-        F.col("_ip_body").contains(":")
-        & ((F.col("_ip_pct") == 0) | (F.length(a) > F.col("_ip_pct")))
-        & ((F.col("_ip_tail") == "") | tailn.isNotNull())
-        & (F.col("_ip_ndc") <= 1)
-        & F.when(F.col("_ip_ndc") == 1, F.col("_ip_fill") >= 1).otherwise(F.size("_ip_plain") == 8)
-        & (F.size("_ip_parts") == 8)
-        & F.array_join("_ip_parts", ":").rlike(r"^[0-9a-fA-F]{1,4}(:[0-9a-fA-F]{1,4}){7}$")
-    )
-    hx = [F.conv(F.get(F.col("_ip_parts"), i), 16, 10).cast("int") for i in range(8)]
-    s = s.withColumn(out, F.when(valid, F.array(*hx)))
-    return s.drop("_ip_pct", "_ip_body", "_ip_tail", "_ip_tailn", "_ip_b2", "_ip_ndc", "_ip_lp",
-                  "_ip_rp", "_ip_plain", "_ip_fill", "_ip_parts")
-
-
-def _v6_private(h: Column) -> Column:
-    h0, h1, h2 = F.get(h, 0), F.get(h, 1), F.get(h, 2)
-    external_block = h0.between(0x2000, 0x3FFF) | (h0 >= 0xFEC0)
-    in_2001_23 = (h0 == 0x2001) & (h1 < 0x200)
-    middle_zero = (F.get(h, 2) == 0) & (F.get(h, 3) == 0) & (F.get(h, 4) == 0) & (F.get(h, 5) == 0) & (F.get(h, 6) == 0)
-    # inside 2001::/23 these stay globally reachable
-    exc_2001 = (((h1 == 1) & middle_zero & F.get(h, 7).isin(1, 2))
-                | (h1 == 3) | ((h1 == 4) & (h2 == 0x112))
-                | h1.between(0x20, 0x2F) | h1.between(0x30, 0x3F))
-    private_in_external = (
-        (h0 == 0x2002)
-        | ((h0 == 0x2001) & (h1 == 0xDB8))
-        | (in_2001_23 & ~exc_2001)
-    )
-    return ~external_block | private_in_external
+
+def ipv6_private(addr: Column) -> Column:
+    """Arrow-batched UDF over the rows that contain ':' (others pass NULL)."""
+    if "v6" not in _UDF:
+        _UDF["v6"] = pandas_udf(_v6_batch, "boolean")
+    return _UDF["v6"](F.when(addr.contains(":"), addr))
 
 
 def with_private_ip(df: DataFrame, addr: str, out: str) -> DataFrame:
     """Add boolean ``out``: is the (already stripped) address private?
 
-    Literal wildcards are private; unparsable text is *not* private (so it
-    surfaces for review).
+    Literal wildcards are private; dotted quads are classified natively;
+    IPv6 literals go to ``ipv6_private``; anything else is *not* private
+    (so it surfaces for review).
     """
-    s = df.withColumn("_ip_v4n", ipv4_int(F.col(addr)))
-    s = with_ipv6_hextets(s, addr, "_ip_h")
-    a, v4, h = F.col(addr), F.col("_ip_v4n"), F.col("_ip_h")
+    a = F.col(addr)
+    s = df.withColumns({"_ip_v4n": ipv4_int(a), "_ip_v6": ipv6_private(a)})
+    v4, v6 = F.col("_ip_v4n"), F.col("_ip_v6")
     verdict = (F.when(a.isin(PRIVATE_LITERAL_ADDRS), F.lit(True))
                 .when(v4.isNotNull(), _v4_private(v4))
-                .when(h.isNotNull(), _v6_private(h))
+                .when(a.contains(":"), F.coalesce(v6, F.lit(False)))
                 .otherwise(F.lit(False)))
-    return s.withColumn(out, verdict).drop("_ip_v4n", "_ip_h")
+    return s.withColumn(out, verdict).drop("_ip_v4n", "_ip_v6")

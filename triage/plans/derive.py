@@ -19,9 +19,19 @@ ORPHAN_PID_OFFSET = 1000000000
 DUP_ROW_OFFSET = 1000000000000
 
 
+def sql_str(v: str) -> str:
+    """Spark SQL string literal (backslash escapes on)."""
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+_ARRAYS: dict[tuple, Column] = {}
+
+
 def pick(values: list[str], idx: Column) -> Column:
-    """values[idx % len] as a literal-array lookup (1-based element_at)."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (idx % len(values)).cast("int") + 1)
+    """values[idx % len] as a literal-array lookup (1-based element_at);
+    the literal array is one SQL expression, not one call per value."""
+    arr = F.expr("array(" + ", ".join(sql_str(v) for v in values) + ")")
+    return F.element_at(arr, (idx % len(values)).cast("int") + 1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

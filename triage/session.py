@@ -22,11 +22,15 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # detector projections generate methods above HotSpot's 8 KB JIT limit;
+    # without this flag those methods stay in the bytecode interpreter
+    "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
 }
 
 # Only meaningful for local runs (tests, bench): the driver JVM is the executor.
 LOCAL_CONF = {
     "spark.driver.memory": "16g",
+    "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
     "spark.sql.autoBroadcastJoinThreshold": "32m",
 }
 

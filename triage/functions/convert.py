@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triage.functions.cells import PY_WHITESPACE
+from triage.functions.memo import per_context
 from triage.functions.numbers import parse_dec, parse_hex
 
 TYPES = ("raw", "string", "int", "hex_int", "float", "bool", "timestamp")
@@ -139,9 +140,9 @@ def iso_text(ts: Column) -> Column:
                     F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(F.lit("")))
 
 
-def with_float_text(df: DataFrame, x: str, out: str) -> DataFrame:
-    """Add ``out`` = Python repr() of double column ``x``: shortest digits,
-    fixed notation for 1e-4 <= |x| < 1e16, otherwise d.ddde+XX.
+def float_text_stages(x: str, out: str) -> list:
+    """Stages adding ``out`` = Python repr() of double column ``x``: shortest
+    digits, fixed notation for 1e-4 <= |x| < 1e16, otherwise d.ddde+XX.
 
     Digits come from Java's Double.toString (shortest round-trip for all but
     rare values on Java 17); only the layout is rebuilt, in staged
@@ -149,23 +150,9 @@ def with_float_text(df: DataFrame, x: str, out: str) -> DataFrame:
     """
     t = f"__ft_{out}"
     j = F.col(x).cast("string")
-    s = df.withColumn(t + "b", F.regexp_replace(j, "^-", ""))
     body = F.col(t + "b")
     mant = F.regexp_extract(body, r"^([0-9.]+)", 1)
-    s = s.withColumns({
-        t + "ip": F.substring_index(mant, ".", 1),
-        t + "fp": F.when(mant.contains("."), F.substring_index(mant, ".", -1)).otherwise(F.lit("")),
-        t + "x10": F.coalesce(F.regexp_extract(body, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0)),
-    })
     raw = F.concat(F.col(t + "ip"), F.col(t + "fp"))
-    s = s.withColumns({
-        t + "lead": F.length(raw) - F.length(F.regexp_replace(raw, "^0+", "")),
-        t + "sig": F.regexp_replace(F.regexp_replace(raw, "^0+", ""), "0+$", ""),
-    })
-    s = s.withColumns({
-        t + "e": F.col(t + "x10") + F.length(t + "ip") - 1 - F.col(t + "lead"),
-        t + "n": F.length(t + "sig"),
-    })
     sig, e, n = F.col(t + "sig"), F.col(t + "e"), F.col(t + "n")
     fixed = (F.when(e >= n - 1, F.concat(sig, F.repeat(F.lit("0"), e - n + 1), F.lit(".0")))
               .when(e >= 0, F.concat(F.substring(sig, F.lit(1), e + 1), F.lit("."),
@@ -182,7 +169,28 @@ def with_float_text(df: DataFrame, x: str, out: str) -> DataFrame:
             .when(xv == float("inf"), F.lit("inf"))
             .when(xv == float("-inf"), F.lit("-inf"))
             .otherwise(F.concat(F.when(j.startswith("-"), F.lit("-")).otherwise(F.lit("")), finite)))
-    return s.withColumn(out, txt).drop(*[t + k for k in ("b", "ip", "fp", "x10", "lead", "sig", "e", "n")])
+    return [
+        {t + "b": F.regexp_replace(j, "^-", "")},
+        {t + "ip": F.substring_index(mant, ".", 1),
+         t + "fp": F.when(mant.contains("."), F.substring_index(mant, ".", -1)).otherwise(F.lit("")),
+         t + "x10": F.coalesce(F.regexp_extract(body, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))},
+        {t + "lead": F.length(raw) - F.length(F.regexp_replace(raw, "^0+", "")),
+         t + "sig": F.regexp_replace(F.regexp_replace(raw, "^0+", ""), "0+$", "")},
+        {t + "e": F.col(t + "x10") + F.length(t + "ip") - 1 - F.col(t + "lead"),
+         t + "n": F.length(t + "sig")},
+        {out: txt},
+        [t + k for k in ("b", "ip", "fp", "x10", "lead", "sig", "e", "n")],
+    ]
+
+
+def with_float_text(df: DataFrame, x: str, out: str) -> DataFrame:
+    return _apply(df, float_text_stages(x, out))
+
+
+def _apply(df: DataFrame, stages: list) -> DataFrame:
+    for st in stages:
+        df = df.drop(*st) if isinstance(st, list) else df.withColumns(st)
+    return df
 
 
 # FIXED VALUES: error message prefixes per type (the value's repr follows)
@@ -204,15 +212,22 @@ def with_converted(df: DataFrame, specs: dict[str, str], suffix: str = "__cv",
     Blank cells keep their text without error; failures keep the raw text
     and carry the error message; raw/string/unknown types pass through.
     """
+    return _apply(df, conversion_stages(tuple(specs.items()), suffix, native_suffix))
+
+
+@per_context
+def conversion_stages(items: tuple, suffix: str, native_suffix: str | None) -> list:
+    specs = dict(items)
     conv = {c: t for c, t in specs.items() if t in ERRORS}
     tmp: list[str] = []
+    stages: list = []
 
     def S(c: str, k: str) -> str:
         name = f"__{k}__{c}"
         tmp.append(name)
         return name
 
-    df = df.withColumns({S(c, "s"): _strip(F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c in conv})
+    stages.append({S(c, "s"): _strip(F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c in conv})
     st2 = {}
     for c, t in conv.items():
         s = F.col(f"`__s__{c}`")
@@ -229,10 +244,10 @@ def with_converted(df: DataFrame, specs: dict[str, str], suffix: str = "__cv",
             for i, f in enumerate(TIMESTAMP_FORMATS):
                 st2[S(c, f"f{i}")] = format_ts(s, f)
     if st2:
-        df = df.withColumns(st2)
+        stages.append(st2)
     ts_cols = [c for c, t in conv.items() if t == "timestamp"]
     if ts_cols:
-        df = df.withColumns({
+        stages.append({
             S(c, "n"): F.coalesce(F.col(f"`__ep__{c}`"),
                                   *[F.col(f"`__f{i}__{c}`") for i in range(len(TIMESTAMP_FORMATS))])
             for c in ts_cols})
@@ -240,7 +255,7 @@ def with_converted(df: DataFrame, specs: dict[str, str], suffix: str = "__cv",
     for c, t in conv.items():
         n = F.col(f"`__n__{c}`")
         if t == "float":
-            df = with_float_text(df, f"__n__{c}", S(c, "t"))
+            stages.extend(float_text_stages(f"__n__{c}", S(c, "t")))
         elif t in ("int", "hex_int"):
             st3[S(c, "t")] = n.cast("string")
         elif t == "bool":
@@ -249,7 +264,7 @@ def with_converted(df: DataFrame, specs: dict[str, str], suffix: str = "__cv",
             st3[S(c, "t")] = F.when(F.col(f"`__ep__{c}`").isNotNull(),
                                     F.concat(iso_text(n), F.lit("+00:00"))).otherwise(iso_text(n))
     if st3:
-        df = df.withColumns(st3)
+        stages.append(st3)
     out = {}
     for c, t in specs.items():
         raw = F.col(f"`{c}`")
@@ -267,5 +282,6 @@ def with_converted(df: DataFrame, specs: dict[str, str], suffix: str = "__cv",
             F.when(failed, F.concat(F.lit(ERRORS[t]), py_repr(shown))).alias("error"))
         if native_suffix:
             out[c + native_suffix] = F.col(f"`__n__{c}`")
-    df = df.withColumns(out)
-    return df.drop(*tmp)
+    stages.append(out)
+    stages.append(list(tmp))
+    return stages

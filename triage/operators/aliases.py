@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triage.functions.cells import clean, col_or_empty
+from triage.functions.memo import per_context
 from triage.table import ForensicTable
 
 # ----------------------------------------------------------------------------
@@ -122,11 +123,16 @@ def resolve_indices(t: ForensicTable, spec: dict[str, list[str]], dup: str = "fi
     return {k: find_header(t.headers, v, dup) for k, v in spec.items()}
 
 
+@per_context
+def _logical_columns(phys: tuple) -> list:
+    return [clean(col_or_empty(c)).alias(k) for k, c in phys]
+
+
 def resolve(t: ForensicTable, spec: dict[str, list[str]], keep: tuple[str, ...] = ("_row_id",),
             dup: str = "first") -> tuple[DataFrame, dict[str, bool]]:
     """Project ``t`` onto logical columns.  Returns (df, present-flags)."""
     idx = resolve_indices(t, spec, dup)
-    cols = [clean(col_or_empty(t.column_for(i))).alias(k) for k, i in idx.items()]
+    cols = _logical_columns(tuple((k, t.column_for(i)) for k, i in idx.items()))
     extra = [F.col(c) for c in keep if c in t.df.columns]
     present = {k: i is not None for k, i in idx.items()}
     return t.df.select(*extra, *cols), present

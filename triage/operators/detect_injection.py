@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from triage import rules as R
 from triage.functions.cells import any_regex, render
+from triage.functions.memo import per_context
 from triage.operators import aliases as A
 from triage.operators.alerts import empty_alerts, explode_slots, rule_slot
 from triage.table import ForensicTable
@@ -46,12 +47,19 @@ def _name_part(name):
 def region_alerts(spark: SparkSession, mem: ForensicTable, source_name: str) -> DataFrame:
     """RWX_UNBACKED, PROCESS_HOLLOWING and REFLECTIVE_DLL in one scan."""
     df, present = A.resolve(mem, A.MEMORY)
+    pre, slots = _region_exprs(source_name, present["protection"], present["name"])
+    df = df.withColumns(pre)
+    return explode_slots(df, slots)
+
+
+@per_context
+def _region_exprs(source_name: str, has_protection: bool, has_name: bool):
     pid, name, addr, size = F.col("pid"), F.col("name"), F.col("address"), F.col("size")
     prot, file, typ = F.col("protection"), F.col("file"), F.col("type")
-    df = df.withColumns({
+    pre = {
         "_fl": F.lower(file), "_tl": F.lower(typ), "_nl": F.lower(name),
         "_rwx": (prot != "") & any_regex(prot, R.RWX_PATTERNS),
-    })
+    }
     fl, tl, nl = F.col("_fl"), F.col("_tl"), F.col("_nl")
     unbacked = fl.isin(R.UNBACKED_SENTINELS)
     expected = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in R.EXPECTED_PATHS.items()))
@@ -59,7 +67,7 @@ def region_alerts(spark: SparkSession, mem: ForensicTable, source_name: str) ->
     mismatch = (exp != "") & (fl != "") & ~unbacked & ~F.startswith(fl, exp)
     src = F.lit(source_name)
     slots = []
-    if present["protection"]:
+    if has_protection:
         private = F.when(tl != "", tl.contains("private")).otherwise(F.lit(True))
         slots.append(rule_slot(1, F.col("_rwx") & (unbacked | private), KIND, {
             "alert_type": F.lit("RWX_UNBACKED"), "severity": F.lit("CRITICAL"), "pid": pid,
@@ -67,7 +75,7 @@ def region_alerts(spark: SparkSession, mem: ForensicTable, source_name: str) ->
             "backing_file": F.when(file != "", file).otherwise(F.lit("<none>")), "source_table": src,
             "description": render(R.MSG["RWX_UNBACKED"], address=_qm(addr), size=_qm(size),
                                   pid=_qm(pid), name_part=_name_part(name))}))
-    if present["name"]:
+    if has_name:
         reason = F.when(unbacked, F.lit(R.MSG["HOLLOWING_REASON_EMPTY"])).otherwise(
             render(R.MSG["HOLLOWING_REASON_MISMATCH"], expected=exp, got=fl))
         slots.append(rule_slot(2, nl.isin(R.HOLLOWING_TARGETS) & ((tl == "") | tl.contains("image"))
@@ -82,7 +90,7 @@ def region_alerts(spark: SparkSession, mem: ForensicTable, source_name: str) ->
         "backing_file": F.lit("<none>"), "source_table": src,
         "description": render(R.MSG["REFLECTIVE_DLL"], address=_qm(addr), pid=_qm(pid),
                               name_part=_name_part(name))}))
-    return explode_slots(df, slots)
+    return pre, slots
 
 
 def hidden_processes(spark: SparkSession, mem: ForensicTable, proc: ForensicTable | None,

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from triage import rules as R
 from triage.functions.cells import first_regex, render
+from triage.functions.memo import per_context
 from triage.operators import aliases as A
 from triage.operators.alerts import empty_alerts, explode_slots, rule_slot
 from triage.operators.lookups import pid_name_lookup, with_parent_name
@@ -32,16 +33,24 @@ def lateral_alerts(spark: SparkSession, proc: ForensicTable) -> DataFrame:
     if not (present["pid"] and present["name"]):
         return empty_alerts(spark, KIND)
     df = with_parent_name(df, pid_name_lookup(proc, A.PROCESS_LATERAL))
+    pre, slots = _lateral_exprs()
+    df = df.withColumns(pre)
+    alerts = explode_slots(df.withColumn("_esc", F.struct("_pkey", "_recon")), slots, keep=("_esc",))
+    return escalate_recon(alerts)
+
+
+@per_context
+def _lateral_exprs():
     name, pid, ppid, cmd = F.col("name"), F.col("pid"), F.col("ppid"), F.col("cmdline")
     parent = F.col("parent_name_resolved")
     labels = [lab for lab, _ in R.RECON_PATTERNS]
     pats = [p for _, p in R.RECON_PATTERNS]
-    df = df.withColumns({
+    pre = {
         "_cred": F.when(cmd != "", first_regex(cmd, R.CRED_DUMP_PATTERNS)),
         "_recon": F.when(cmd != "", first_regex(cmd, pats, labels)),
         "_pkey": F.when(ppid != "", ppid).otherwise(pid),
         "_pl": F.lower(parent),
-    })
+    }
     frameworks = F.create_map(*chain.from_iterable(
         (F.lit(k), F.lit(v)) for k, v in R.REMOTE_EXEC_PARENTS.items()))
     common = {"pid": pid, "process_name": name, "ppid": ppid, "parent_name": parent, "cmdline": cmd}
@@ -58,8 +67,7 @@ def lateral_alerts(spark: SparkSession, proc: ForensicTable) -> DataFrame:
             "description": render(R.MSG["REMOTE_EXECUTION"], parent=parent, ppid=ppid,
                                   framework=F.element_at(frameworks, F.col("_pl")), name=name, pid=pid)}),
     ]
-    alerts = explode_slots(df.withColumn("_esc", F.struct("_pkey", "_recon")), slots, keep=("_esc",))
-    return escalate_recon(alerts)
+    return pre, slots
 
 
 def escalate_recon(alerts: DataFrame) -> DataFrame:

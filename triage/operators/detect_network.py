@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from triage import rules as R
 from triage.functions.cells import render
+from triage.functions.memo import per_context
 from triage.functions.netaddr import with_private_ip
 from triage.functions.numbers import int_text, lenient_int
 from triage.operators import aliases as A
@@ -28,7 +29,17 @@ def network_alerts(spark: SparkSession, net: ForensicTable, proc: ForensicTable
     if not present["pid"]:
         return empty_alerts(spark, KIND)
     df = with_owner_name(df, pid_name_lookup(proc))
-    df = with_private_ip(df.withColumn("_dport", lenient_int(F.col("dst_port"))), "dst_addr", "_dst_private")
+    df = with_private_ip(df.withColumn("_dport", _dport()), "dst_addr", "_dst_private")
+    return explode_slots(df, _network_slots())
+
+
+@per_context
+def _dport():
+    return lenient_int(F.col("dst_port"))
+
+
+@per_context
+def _network_slots():
     low = F.lower(F.col("proc_name"))
     dst_port = F.col("_dport")
     common = {
@@ -53,7 +64,7 @@ def network_alerts(spark: SparkSession, net: ForensicTable, proc: ForensicTable
             "description": render(R.MSG["HIGH_PORT_EXTERNAL"], proc=F.col("proc_name"),
                                   pid=F.col("pid"), addr=F.col("dst_addr"), port=port_text)}),
     ]
-    return explode_slots(df, slots)
+    return slots
 
 
 def dns_alerts(spark: SparkSession, dns: ForensicTable, proc: ForensicTable | None) -> DataFrame:

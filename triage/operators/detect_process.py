@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from triage import rules as R
 from triage.functions.cells import any_startswith, first_contains, py_list_repr, render
+from triage.functions.memo import per_context
 from triage.operators import aliases as A
 from triage.operators.alerts import empty_alerts, explode_slots, rule_slot
 from triage.operators.lookups import pid_name_lookup, with_parent_name
@@ -33,19 +34,26 @@ def process_alerts(spark: SparkSession, proc: ForensicTable) -> DataFrame:
     if not (present["pid"] and present["name"]):
         return empty_alerts(spark, KIND)
     df = with_parent_name(df, pid_name_lookup(proc, A.PROCESS_MASQUERADE))
+    pre, pre2, slots = _process_exprs()
+    df = df.withColumns(pre).withColumns(pre2)
+    return explode_slots(df, slots)
+
+
+@per_context
+def _process_exprs():
     name, pid, ppid = F.col("name"), F.col("pid"), F.col("ppid")
     parent = F.col("parent_name_resolved")
-    df = df.withColumns({
+    pre = {
         "_nl": F.lower(name), "_pl": F.lower(parent), "_pathl": F.lower(F.col("path")),
         "_ul": F.lower(F.col("user")),
-    })
+    }
     nl, pl = F.col("_nl"), F.col("_pl")
     critical = [c.lower() for c in R.CRITICAL_NAMES]
     typo = None
     for c in critical:
         hit = F.levenshtein(nl, F.lit(c), 1) == 1
         typo = F.when(hit, F.lit(c)) if typo is None else typo.when(hit, F.lit(c))
-    df = df.withColumn("_typo", F.when(~nl.isin(critical), typo))
+    pre2 = {"_typo": F.when(~nl.isin(critical), typo)}
     allowed = _lit_map({k: sorted(v) for k, v in R.PARENT_RULES.items()})
     expected_text = _lit_map({k: py_list_repr(sorted(v)) for k, v in R.PARENT_RULES.items()})
     common = {"pid": pid, "process_name": name, "process_path": F.col("path"), "ppid": ppid,
@@ -74,4 +82,4 @@ def process_alerts(spark: SparkSession, proc: ForensicTable) -> DataFrame:
             **common, "alert_type": F.lit("SID_MISMATCH"), "severity": F.lit("HIGH"),
             "description": render(R.MSG["SID_MISMATCH"], name=name, pid=pid, user=F.col("user"))}),
     ]
-    return explode_slots(df, slots)
+    return pre, pre2, slots

@@ -10,7 +10,9 @@ through without error.  Native typed values are available separately
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql import functions as F
 
 from triage.functions.cells import PY_WHITESPACE
@@ -120,17 +122,33 @@ def epoch_ts(s: Column) -> Column:
     return ts.cast("timestamp_ntz")
 
 
-def format_ts(s: Column, fmt: str) -> Column:
-    """datetime.strptime(s, fmt) as TIMESTAMP_NTZ, NULL on any failure."""
+SEP = "\u0001"
+
+
+def format_parts(s: Column, fmt: str) -> Column:
+    """array<string> of the strptime fields of ``fmt`` when s matches, else NULL
+    (one regex rewrite + split instead of one extraction per field)."""
     rx, fields = strptime_regex(fmt)
-    g = {d: F.regexp_extract(s, rx, i + 1) for i, d in enumerate(fields)}
+    template = SEP.join(f"${i + 1}" for i in range(len(fields)))
+    return F.when(s.rlike(rx), F.split(F.regexp_replace(s, rx, template), SEP))
+
+
+def parts_ts(parts: Column, fmt: str) -> Column:
+    """datetime.strptime semantics on the matched fields -> TIMESTAMP_NTZ."""
+    _rx, fields = strptime_regex(fmt)
+    g = {d: F.get(parts, i) for i, d in enumerate(fields)}
     num = {d: F.trim(g[d]).try_cast("int") for d in g if d != "f"}
     frac = F.rpad(g["f"], 6, "0").try_cast("int") if "f" in g else F.lit(0)
     sec = num.get("S", F.lit(0))
     secs = sec.cast("decimal(16,6)") + frac.cast("decimal(16,6)") / 1000000
     ts = F.try_make_timestamp_ntz(num["Y"], num["m"], num["d"],
                                   num.get("H", F.lit(0)), num.get("M", F.lit(0)), secs)
-    return F.when(s.rlike(rx), F.when((num["Y"] >= 1) & (sec < 60), ts))
+    return F.when(parts.isNotNull() & (num["Y"] >= 1) & (sec < 60), ts)
+
+
+def format_ts(s: Column, fmt: str) -> Column:
+    """datetime.strptime(s, fmt) as TIMESTAMP_NTZ, NULL on any failure."""
+    return parts_ts(format_parts(s, fmt), fmt)
 
 
 def iso_text(ts: Column) -> Column:
@@ -187,6 +205,22 @@ def with_float_text(df: DataFrame, x: str, out: str) -> DataFrame:
     return _apply(df, float_text_stages(x, out))
 
 
+def _repr_batch(texts: pd.Series) -> pd.Series:
+    """repr(float(t)) per validated text (NULL in -> NULL out)."""
+    return texts.map(lambda t: None if t is None else repr(float(t)))
+
+
+_UDF: dict = {}
+
+
+def float_repr(text: Column) -> Column:
+    """Python's float repr of already-validated float text, Arrow-batched.
+    (Spark's double-to-text on Java 17 is not always the shortest repr.)"""
+    if "repr" not in _UDF:
+        _UDF["repr"] = pandas_udf(_repr_batch, "string")
+    return _UDF["repr"](text)
+
+
 def _apply(df: DataFrame, stages: list) -> DataFrame:
     for st in stages:
         df = df.drop(*st) if isinstance(st, list) else df.withColumns(st)
@@ -242,11 +276,13 @@ def conversion_stages(items: tuple, suffix: str, native_suffix: str | None) -> l
         else:
             st2[S(c, "ep")] = epoch_ts(s)
             for i, f in enumerate(TIMESTAMP_FORMATS):
-                st2[S(c, f"f{i}")] = format_ts(s, f)
+                st2[S(c, f"p{i}")] = format_parts(s, f)
     if st2:
         stages.append(st2)
     ts_cols = [c for c, t in conv.items() if t == "timestamp"]
     if ts_cols:
+        stages.append({S(c, f"f{i}"): parts_ts(F.col(f"`__p{i}__{c}`"), f)
+                       for c in ts_cols for i, f in enumerate(TIMESTAMP_FORMATS)})
         stages.append({
             S(c, "n"): F.coalesce(F.col(f"`__ep__{c}`"),
                                   *[F.col(f"`__f{i}__{c}`") for i in range(len(TIMESTAMP_FORMATS))])
@@ -255,7 +291,7 @@ def conversion_stages(items: tuple, suffix: str, native_suffix: str | None) -> l
     for c, t in conv.items():
         n = F.col(f"`__n__{c}`")
         if t == "float":
-            stages.extend(float_text_stages(f"__n__{c}", S(c, "t")))
+            st3[S(c, "t")] = float_repr(F.when(n.isNotNull(), F.col(f"`__s__{c}`")))
         elif t in ("int", "hex_int"):
             st3[S(c, "t")] = n.cast("string")
         elif t == "bool":

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triage.plans import fixtures as X
+from triage.session import ensure_parallelism
 from triage.table import ForensicTable
 
 HIDDEN_PID_OFFSET = 100000
@@ -35,7 +36,7 @@ def pick(values: list[str], idx: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ensure_parallelism(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _s(c: Column) -> Column:

@@ -82,3 +82,15 @@ def shared_scratch(spark: SparkSession, name: str) -> str:
     if root.startswith("file:"):
         root = root[len("file:"):]
     return os.path.join(root, "triage-scratch", f"{name}-{uuid.uuid4().hex}")
+
+
+def ensure_parallelism(df, min_partitions: int | None = None):
+    """Round-robin repartition when a scan yields fewer partitions than the
+    cluster's default parallelism (e.g. one large row group feeding
+    per-row rule evaluation).  At scale inputs have far more splits than
+    cores and this is a no-op."""
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df

@@ -155,6 +155,7 @@ QUERIES: dict[str, Query] = {
     "netstat_parse": EQ.netstat_parse,
     "flagged_ids": EQ.flagged_ids,
     "timeline_union": EQ.timeline_union,
+    "pipeline_alerts": FP.pipeline_alerts,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {

@@ -35,7 +35,8 @@ def stream_table(spark: SparkSession, folder: str, headers: list[str]) -> Forens
     df = (spark.readStream.schema(schema)
           .options(header=True, escape='"', multiLine=True, emptyValue="")
           .csv(folder)
-          .withColumn("_row_id", F.monotonically_increasing_id()))
+          # row positions are not defined on a stream; per-row rules don't need them
+          .withColumn("_row_id", F.lit(None).cast("long")))
     return ForensicTable(df, list(headers), list(headers))
 
 

@@ -117,9 +117,10 @@ def epoch_ts(s: Column) -> Column:
     ms = n > EPOCH_MILLIS_ABOVE
     secs = F.when(ms, n / 1000).otherwise(n)
     ok = secs.between(MIN_EPOCH_S, MAX_EPOCH_S)
-    ts = (F.when(ok & ms, F.timestamp_millis(n.cast("long")))
-           .when(ok, F.timestamp_seconds(n.cast("long"))))
-    return ts.cast("timestamp_ntz")
+    # added to the NTZ epoch directly: independent of the session time zone
+    epoch0 = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return (F.when(ok & ms, F.timestamp_add("MILLISECOND", n.cast("long"), epoch0))
+             .when(ok, F.timestamp_add("SECOND", n.cast("long"), epoch0)))
 
 
 SEP = "\u0001"

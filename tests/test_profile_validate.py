@@ -78,3 +78,21 @@ def test_path_resolution_priority(spark):
     out = {r.file_id: (r.status, r.file_size) for r in E.enrich_files(files, stats, "/f").collect()}
     assert out == {"1": ("ok", "2"), "2": ("ok", "2"), "3": ("ok", "4"), "4": ("ok", "1"),
                    "5": ("not_found", ""), "6": ("not_found", "")}
+
+
+def test_spec_roundtrip_from_scaffold(spark):
+    from triage.sources.specs import load_spec_text
+    d = tmpdir()
+    write(d, "weird.csv", 'pid,"has:colon",name\n1,2,3\n')
+    spec = P.scaffold(P.inventory(spark, d), []).first().spec
+    table_name, cols = load_spec_text(spec)
+    assert table_name == "weird.csv" and cols == {"pid": "raw", "has:colon": "raw", "name": "raw"}
+    counts = {r.action: r.tables for r in P.scaffold_counts(P.scaffold(P.inventory(spark, d), [])).collect()}
+    assert counts == {"created": 1}
+
+
+def test_report_markdown(spark):
+    res = spark.createDataFrame([("a.csv", "parity", "PASS", "raw=1, typed=1"),
+                                 ("b.csv", "constraint", "FAIL", "x|y")], "table string, check string, status string, detail string")
+    md = V.report_markdown(res)
+    assert "**Overall: FAIL** (1 passed, 1 failed)" in md and "x\\|y" in md

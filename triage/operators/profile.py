@@ -185,3 +185,8 @@ def scaffold(entries: DataFrame, existing: list[str], overwrite: bool = False) -
                .otherwise(F.lit("created")))
     return entries.select(table.alias("table"), action.alias("action"),
                           F.when(action == "created", spec_text(F.col("filename"), F.col("headers"))).alias("spec"))
+
+
+def scaffold_counts(plan: DataFrame) -> DataFrame:
+    """AGG-13: number of tables per scaffold action."""
+    return plan.groupBy("action").agg(F.count(F.lit(1)).alias("tables"))

@@ -136,3 +136,17 @@ def summary(results: DataFrame) -> DataFrame:
                        F.count_if(F.col("status") == "FAIL").alias("failed"),
                        F.count(F.lit(1)).alias("total")).withColumn(
         "overall", F.when(F.col("failed") == 0, "PASS").otherwise("FAIL"))
+
+
+def report_markdown(results: DataFrame, title: str = "Validation report") -> str:
+    """SNK-05: Markdown table of the check rows ('|' escaped) with totals.
+    The result has one row per check, so it is rendered on the driver."""
+    rows = results.select("table", "check", "status",
+                          F.regexp_replace("detail", r"\|", r"\\|").alias("detail")).collect()
+    passed = sum(1 for r in rows if r.status == "PASS")
+    failed = sum(1 for r in rows if r.status == "FAIL")
+    lines = [f"# {title}", "", f"**Overall: {'PASS' if failed == 0 else 'FAIL'}** "
+             f"({passed} passed, {failed} failed)", "", "| Table | Check | Status | Detail |",
+             "|---|---|---|---|"]
+    lines += [f"| {r.table} | {r.check} | {r.status} | {r.detail} |" for r in rows]
+    return "\n".join(lines) + "\n"

@@ -32,11 +32,14 @@ def lateral_alerts(spark: SparkSession, proc: ForensicTable) -> DataFrame:
     df, present = A.resolve(proc, A.PROCESS_LATERAL)
     if not (present["pid"] and present["name"]):
         return empty_alerts(spark, KIND)
-    df = with_parent_name(df, pid_name_lookup(proc, A.PROCESS_LATERAL))
     pre, slots = _lateral_exprs()
-    df = df.withColumns(pre)
+    # the escalation aggregate needs only (parent key, recon label): it is
+    # computed from the resolved rows, without the parent lookup or the
+    # other rules, and joined back to the alert rows
+    labels = df.select(pre["_pkey"].alias("_pkey"), pre["_recon"].alias("_recon"))
+    df = with_parent_name(df, pid_name_lookup(proc, A.PROCESS_LATERAL)).withColumns(pre)
     alerts = explode_slots(df.withColumn("_esc", F.struct("_pkey", "_recon")), slots, keep=("_esc",))
-    return escalate_recon(alerts)
+    return escalate_recon(alerts, labels)
 
 
 @per_context
@@ -70,15 +73,16 @@ def _lateral_exprs():
     return pre, slots
 
 
-def escalate_recon(alerts: DataFrame) -> DataFrame:
+def escalate_recon(alerts: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels: (_pkey, _recon) per process row."""
     is_recon = F.col("_rule") == 2
     keyed = alerts.withColumn(
         "_jk", F.when(is_recon, F.concat(F.lit("r:"), F.col("_esc._pkey")))
                 .otherwise(F.concat(F.lit("x:"), F.col("_row_id").cast("string"), F.lit(":"),
                                     F.col("_rule").cast("string"))))
-    esc = (alerts.where(is_recon)
-                 .groupBy(F.concat(F.lit("r:"), F.col("_esc._pkey")).alias("_ek"))
-                 .agg(F.count_distinct("_esc._recon").alias("_n"))
+    esc = (labels.where(F.col("_recon").isNotNull())
+                 .groupBy(F.concat(F.lit("r:"), F.col("_pkey")).alias("_ek"))
+                 .agg(F.count_distinct("_recon").alias("_n"))
                  .where(F.col("_n") >= R.RECON_ESCALATION_THRESHOLD))
     j = keyed.join(esc, keyed["_jk"] == esc["_ek"], "left")
     hit = is_recon & F.col("_n").isNotNull()

@@ -96,3 +96,14 @@ def test_report_markdown(spark):
                                  ("b.csv", "constraint", "FAIL", "x|y")], "table string, check string, status string, detail string")
     md = V.report_markdown(res)
     assert "**Overall: FAIL** (1 passed, 1 failed)" in md and "x\\|y" in md
+
+
+def test_file_table_column_resolution(spark):
+    from helpers import table
+    store = spark.createDataFrame([("/f/a.txt", b"A")], "path string, content binary")
+    stats = E.content_stats(store)
+    t = table(spark, ["Path", "x", "PATH", "ID"], [["nope", "", "a.txt", "7"]])
+    r = E.enrich_file_table(t, stats, "/f").first()
+    assert (r.file_path, r.file_id, r.status) == ("a.txt", "7", "ok")          # last 'path' wins
+    t2 = table(spark, ["weird"], [["/f/a.txt"]])
+    assert E.enrich_file_table(t2, stats, "/f").first().status == "ok"        # first-column fallback

@@ -100,8 +100,10 @@ TASKS = {
     "status": ["status", "state", "enabled"],
 }
 
-FILE_PATH = ["file_path", "filepath", "path", "file", "filename", "full_path", "name"]
-FILE_ID = ["file_id", "fileid", "id", "object", "address", "offset"]
+# file table (entropy enrichment): duplicates resolve to the LAST occurrence
+FILE_PATH = ["file", "filepath", "file_path", "path", "name", "filename", "file_name", "File", "FilePath",
+             "Path", "Name"]
+FILE_ID = ["file_id", "fileid", "id", "File_ID", "FileID", "ID"]
 
 
 def find_header(headers: list[str], candidates: list[str], dup: str = "first") -> int | None:

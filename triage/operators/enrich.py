@@ -92,3 +92,18 @@ def enrichment_status(enriched: DataFrame) -> DataFrame:
                         F.count_if(F.col("status") == "ok").alias("found"),
                         F.count_if(F.col("status") != "ok").alias("not_found")).withColumn(
         "status", F.when(F.col("not_found") > 0, "partial").otherwise("ok"))
+
+
+def enrich_file_table(t, store_stats: DataFrame, root: str) -> DataFrame:
+    """ENR-01 over a files table: the path column is found by alias (last
+    occurrence on duplicate headers), falling back to the first column; the
+    id column is optional."""
+    from triage.operators.aliases import FILE_ID, FILE_PATH, find_header
+    if not t.headers:
+        return enrich_files(t.df.select(F.lit("").alias("p"), F.lit("").alias("i")).limit(0),
+                            store_stats, root, "p", "i")
+    pi = find_header(t.headers, FILE_PATH, dup="last")
+    ii = find_header(t.headers, FILE_ID, dup="last")
+    path_col = t.columns[pi if pi is not None else 0]
+    id_col = t.columns[ii] if ii is not None else None
+    return enrich_files(t.df, store_stats, root, path_col, id_col)

@@ -102,23 +102,23 @@ def check_relations(spark: SparkSession, process: ForensicTable | None, net: For
     """
     if process is None or net is None or key not in process.headers or key not in net.headers:
         return _empty(spark)
-    strip = lambda df, c: F.btrim(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit(PY_WHITESPACE))
+    strip = lambda c: F.btrim(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit(PY_WHITESPACE))
     pcol = process.columns[process.headers.index(key)]
     ncol = net.columns[net.headers.index(key)]
-    ppids = process.df.select(strip(process.df, pcol).alias("k")).where(F.col("k") != "").distinct()
-    npids = net.df.select(strip(net.df, ncol).alias("k")).where(F.col("k") != "").distinct()
-    orphans = npids.join(ppids, "k", "left_anti")
+    # one aggregate per side: distinct keys with their row counts (blank
+    # keys included, so the sums are the table row counts)
+    nk = net.df.groupBy(strip(ncol).alias("k")).agg(F.count(F.lit(1)).alias("nc"))
+    pk = process.df.groupBy(strip(pcol).alias("k")).agg(F.count(F.lit(1)).alias("pc"))
+    keys = nk.join(pk, "k", "full_outer")
+    orphan = (F.col("k") != "") & F.col("nc").isNotNull() & F.col("pc").isNull()
     typed_null = lambda t: F.lit(None).cast(t)
     stats = reduce(DataFrame.unionByName, [
-        orphans.agg(F.count(F.lit(1)).alias("n"), typed_null("array<string>").alias("top"),
-                    typed_null("long").alias("net_rows"), typed_null("long").alias("proc_rows")),
-        orphans.orderBy("k").limit(limit).agg(typed_null("long").alias("n"),
-                                              F.array_sort(F.collect_list("k")).alias("top"),
-                                              typed_null("long").alias("net_rows"), typed_null("long").alias("proc_rows")),
-        net.df.agg(typed_null("long").alias("n"), typed_null("array<string>").alias("top"),
-                   F.count(F.lit(1)).alias("net_rows"), typed_null("long").alias("proc_rows")),
-        process.df.agg(typed_null("long").alias("n"), typed_null("array<string>").alias("top"),
-                       typed_null("long").alias("net_rows"), F.count(F.lit(1)).alias("proc_rows")),
+        keys.agg(F.count_if(orphan).alias("n"), typed_null("array<string>").alias("top"),
+                 F.coalesce(F.sum("nc"), F.lit(0)).cast("long").alias("net_rows"),
+                 F.coalesce(F.sum("pc"), F.lit(0)).cast("long").alias("proc_rows")),
+        keys.where(orphan).select("k").orderBy("k").limit(limit).agg(
+            typed_null("long").alias("n"), F.array_sort(F.collect_list("k")).alias("top"),
+            typed_null("long").alias("net_rows"), typed_null("long").alias("proc_rows")),
     ]).agg(*[F.max(c).alias(c) for c in ("n", "top", "net_rows", "proc_rows")])
     n = F.col("n")
     detail = F.when(n == 0, F.concat(

@@ -67,17 +67,19 @@ def run(spark: SparkSession, case_dir: str, out_dir: str, specs: dict[str, dict[
     mem_name = next((m for m in memory_sources if m in typed), None)
     fams = []
     if "net" in typed:
-        fams.append(("network", AL.public(DN.network_alerts(spark, typed["net"], proc), "network")))
+        fams.append(("network", AL.ordered(DN.network_alerts(spark, typed["net"], proc), "network")))
     if "dns" in typed:
-        fams.append(("network", AL.public(DN.dns_alerts(spark, typed["dns"], proc), "network")))
+        fams.append(("network", AL.ordered(DN.dns_alerts(spark, typed["dns"], proc), "network")))
     if proc is not None:
-        fams.append(("process", AL.public(DP.process_alerts(spark, proc), "process")))
-        fams.append(("lateral", AL.public(DL.lateral_alerts(spark, proc), "lateral")))
+        fams.append(("process", AL.ordered(DP.process_alerts(spark, proc), "process")))
+        fams.append(("lateral", AL.ordered(DL.lateral_alerts(spark, proc), "lateral")))
     if mem_name:
-        fams.append(("injection", AL.public(DI.injection_alerts(spark, typed[mem_name], proc, mem_name), "injection")))
+        fams.append(("injection", AL.ordered(DI.injection_alerts(spark, typed[mem_name], proc, mem_name), "injection")))
     if any(k in typed for k in ("registry", "services", "tasks")):
-        fams.append(("persistence", AL.public(DS.persistence_alerts(
+        fams.append(("persistence", AL.ordered(DS.persistence_alerts(
             spark, typed.get("registry"), typed.get("services"), typed.get("tasks")), "persistence")))
+    # sinks keep the deterministic order: input row, then rule (SRT-02);
+    # alerts are a small fraction of the input, sorted by range partitions
     for fam, df in fams:
         df.write.mode("append").parquet(f"{out_dir}/alerts_{fam}")
     counts = [spark.read.parquet(f"{out_dir}/alerts_{fam}").groupBy("alert_type", "severity").count()

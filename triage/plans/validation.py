@@ -26,23 +26,27 @@ def manifest(raw: dict[str, ForensicTable]) -> DataFrame:
     return V.table_counts(listed).selectExpr("concat(table, '.csv') AS filename", "row_count")
 
 
-def parity(spark, sf):
-    typed, _, raw = _typed(spark, sf)
+def parity(spark, sf, inputs=None):
+    typed, _, raw = inputs or _typed(spark, sf)
     return V.check_parity(spark, manifest(raw), {k: t.df for k, t in typed.items()})
 
 
-def constraints(spark, sf):
-    typed, specs, _ = _typed(spark, sf)
+def constraints(spark, sf, inputs=None):
+    typed, specs, _ = inputs or _typed(spark, sf)
     return V.check_constraints(spark, typed, specs)
 
 
-def relations(spark, sf):
-    typed, _, _ = _typed(spark, sf)
+def relations(spark, sf, inputs=None):
+    typed, _, _ = inputs or _typed(spark, sf)
     return V.check_relations(spark, typed["process"], typed["net"])
 
 
 def report(spark, sf):
-    return parity(spark, sf).unionByName(constraints(spark, sf)).unionByName(relations(spark, sf))
+    """All checks over one set of typed inputs (one plan per input table, so
+    identical scans and exchanges can be reused within the query)."""
+    inputs = _typed(spark, sf)
+    return (parity(spark, sf, inputs).unionByName(constraints(spark, sf, inputs))
+            .unionByName(relations(spark, sf, inputs)))
 
 
 def report_summary(spark, sf):

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triage.plans import fixtures as X
+from triage.functions.memo import per_context
 from triage.session import ensure_parallelism
 from triage.table import ForensicTable
 
@@ -36,7 +37,15 @@ def pick(values: list[str], idx: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ensure_parallelism(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A given table (read-only input), one DataFrame per path and context:
+    every derived view of a query shares the same scan subtree."""
+    return _table(f"{sf_dir}/{name}.parquet")
+
+
+@per_context
+def _table(path: str) -> DataFrame:
+    from pyspark.sql import SparkSession as _S
+    return ensure_parallelism(_S.getActiveSession().read.parquet(path))
 
 
 def _s(c: Column) -> Column:

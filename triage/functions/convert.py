@@ -1,11 +1,12 @@
 """Typed conversion of string cells with Python-identical results, as Column
-expressions (no UDF).
+expressions; only the canonical text of floats (Python's repr) comes from a
+small Arrow-batched UDF.
 
 Every converter returns a struct ``(value string, error string)``:
 ``value`` is the canonical text (the raw cell when conversion fails) and
 ``error`` is NULL on success.  Blank cells and raw/string/unknown types pass
-through without error.  Native typed values are available separately
-(``native_*``) for Parquet sinks.
+through without error.  Native typed values are available on request
+(``native_suffix``) for Parquet sinks.
 """
 
 from __future__ import annotations
@@ -159,53 +160,6 @@ def iso_text(ts: Column) -> Column:
                     F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(F.lit("")))
 
 
-def float_text_stages(x: str, out: str) -> list:
-    """Stages adding ``out`` = Python repr() of double column ``x``: shortest
-    digits, fixed notation for 1e-4 <= |x| < 1e16, otherwise d.ddde+XX.
-
-    Digits come from Java's Double.toString (shortest round-trip for all but
-    rare values on Java 17); only the layout is rebuilt, in staged
-    projections so each piece is computed once.
-    """
-    t = f"__ft_{out}"
-    j = F.col(x).cast("string")
-    body = F.col(t + "b")
-    mant = F.regexp_extract(body, r"^([0-9.]+)", 1)
-    raw = F.concat(F.col(t + "ip"), F.col(t + "fp"))
-    sig, e, n = F.col(t + "sig"), F.col(t + "e"), F.col(t + "n")
-    fixed = (F.when(e >= n - 1, F.concat(sig, F.repeat(F.lit("0"), e - n + 1), F.lit(".0")))
-              .when(e >= 0, F.concat(F.substring(sig, F.lit(1), e + 1), F.lit("."),
-                                     F.substring(sig, e + 2, F.lit(400))))
-              .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), sig)))
-    sci = F.concat(F.substring(sig, 1, 1),
-                   F.when(n > 1, F.concat(F.lit("."), F.substring(sig, 2, 400))).otherwise(F.lit("")),
-                   F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")),
-                   F.lpad(F.abs(e).cast("string"), 2, "0"))
-    finite = F.when(sig == "", F.lit("0.0")).when((e >= -4) & (e < 16), fixed).otherwise(sci)
-    xv = F.col(x)
-    txt = (F.when(xv.isNull(), F.lit(None).cast("string"))
-            .when(F.isnan(xv), F.lit("nan"))
-            .when(xv == float("inf"), F.lit("inf"))
-            .when(xv == float("-inf"), F.lit("-inf"))
-            .otherwise(F.concat(F.when(j.startswith("-"), F.lit("-")).otherwise(F.lit("")), finite)))
-    return [
-        {t + "b": F.regexp_replace(j, "^-", "")},
-        {t + "ip": F.substring_index(mant, ".", 1),
-         t + "fp": F.when(mant.contains("."), F.substring_index(mant, ".", -1)).otherwise(F.lit("")),
-         t + "x10": F.coalesce(F.regexp_extract(body, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))},
-        {t + "lead": F.length(raw) - F.length(F.regexp_replace(raw, "^0+", "")),
-         t + "sig": F.regexp_replace(F.regexp_replace(raw, "^0+", ""), "0+$", "")},
-        {t + "e": F.col(t + "x10") + F.length(t + "ip") - 1 - F.col(t + "lead"),
-         t + "n": F.length(t + "sig")},
-        {out: txt},
-        [t + k for k in ("b", "ip", "fp", "x10", "lead", "sig", "e", "n")],
-    ]
-
-
-def with_float_text(df: DataFrame, x: str, out: str) -> DataFrame:
-    return _apply(df, float_text_stages(x, out))
-
-
 def _repr_batch(texts: pd.Series) -> pd.Series:
     """repr(float(t)) per validated text (NULL in -> NULL out)."""
     return texts.map(lambda t: None if t is None else repr(float(t)))

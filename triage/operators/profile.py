@@ -4,9 +4,9 @@ SRC-04/06, AGG-01/06/07/13).
 One CSV pass parses every record of every file under the case directory:
 Spark's multi-line reader splits records, each record's cells are recovered
 from its verbatim text with a quote-aware field pattern, the first record
-of a file is its header.  Per-file statistics are aggregates; only one row
-per file ever meets another row (a broadcast of the per-file header widths,
-bounded by the number of files).
+of a file is its header.  Per-file statistics are aggregates; records meet
+only a one-row-per-file table of header widths (broadcast by AQE when its
+runtime size allows).
 
 A top-level entry ``X.csv`` may be a plain file or a directory of part files
 (how Spark writes tables); parts of one entry are folded together.
@@ -101,7 +101,7 @@ def file_stats(spark: SparkSession, root: str) -> DataFrame:
                 .select("path", "_hid", F.when(F.col("_h._single"), F.col("_h.cells"))
                         .otherwise(F.transform("_h.cells", unquote)).alias("headers")))
     widths = heads.select("path", "_hid", F.size("headers").alias("_w"))
-    body = (rec.join(F.broadcast(widths), "path")
+    body = (rec.join(widths, "path")
                .where(F.col("_row_id") != F.col("_hid"))
                .groupBy("path")
                .agg(F.count(F.lit(1)).alias("row_count"),

@@ -19,7 +19,11 @@ def per_context(fn):
     @functools.wraps(fn)
     def wrapper(*args):
         sc = SparkContext._active_spark_context
-        key = (id(sc), args)
+        if sc is None:
+            return fn(*args)
+        # application id + start time identify a context even after a restart
+        # (Python may reuse the id() of a stopped context's object)
+        key = (sc.applicationId, sc.startTime, args)
         if key not in cache:
             if len(cache) > 512:
                 cache.clear()

@@ -1,10 +1,11 @@
-"""Session construction and shared-storage helpers."""
+"""Session construction, package shipping and shared-storage helpers."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -31,7 +32,6 @@ BASE_CONF = {
 LOCAL_CONF = {
     "spark.driver.memory": "16g",
     "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
-    "spark.sql.autoBroadcastJoinThreshold": "32m",
 }
 
 
@@ -58,30 +58,51 @@ def get_spark(master: str | None = None, app: str = "triage",
     return spark
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+def is_local(spark: SparkSession) -> bool:
+    """True when driver and executors are one process (local[...])."""
+    m = spark.sparkContext.master
+    return m == "local" or m.startswith("local[")
+
 
-    On a cluster this is set by the operator (HDFS / object store).  Only
-    when it is unset (local tests) do we choose one ourselves.
-    """
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``, with
+    its URI scheme.  Unset on a cluster: an error, since a folder of the
+    driver's machine is not visible to executors.  Unset in a local session
+    (tests): a temporary folder."""
     sc = spark.sparkContext
-    d = sc.getCheckpointDir()
-    if not d:
-        d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="triage-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+    return d
 
 
 def shared_scratch(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
-    root = checkpoint_root(spark)
-    if root.startswith("file:"):
-        root = root[len("file:"):]
-    return os.path.join(root, "triage-scratch", f"{name}-{uuid.uuid4().hex}")
+    return f"{checkpoint_root(spark).rstrip('/')}/triage-scratch/{name}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors (once per SparkContext), so that
+    functions which run in Python workers can be imported there without the
+    repository on the workers' path."""
+    sc = spark.sparkContext
+    if is_local(spark) or getattr(sc, "_triage_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="triage-ship-"), "triage_pkg.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for top, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(top, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    sc.addPyFile(target)
+    sc._triage_shipped = True
 
 
 def ensure_parallelism(df, min_partitions: int | None = None):

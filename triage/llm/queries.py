@@ -6,22 +6,44 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from triage.llm import packing, token_counts
+from triage.llm import decontam, langid, packing, quality, token_counts
 from triage.llm.common import table
 
 
+def held_out(doc_id, divisor: int, remainder: int):
+    """crc32(doc_id as text) mod divisor = remainder; false without a doc_id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % divisor == remainder, F.lit(False))
+
+
+def q_op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = langid.predict(docs, langid.train(docs), ["doc_id"])
+    return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def q_op4(spark, sf_dir):
+    return decontam.digest(decontam.decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"]))
+
+
 def q_op6(spark, sf_dir):
     out = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return out.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def q_op7(spark, sf_dir):
+    return quality.judged(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def q_op8(spark, sf_dir):
     cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(cut)
 
 
 QUERIES = {
+    "op3_langid": q_op3,
+    "op4_decontamination": q_op4,
     "op6_token_counts": q_op6,
+    "op7_quality": q_op7,
     "op8_packing": q_op8,
 }
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from triage.llm import decontam, langid, packing, quality, token_counts
+from triage.llm import decontam, jaccard, langid, packing, quality, token_counts
 from triage.llm.common import table
 
 
@@ -25,6 +25,11 @@ def q_op4(spark, sf_dir):
     return decontam.digest(decontam.decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"]))
 
 
+def q_op5(spark, sf_dir):
+    found = jaccard.Jaccard(words=4, percent=85).documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def q_op6(spark, sf_dir):
     out = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return out.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -42,6 +47,7 @@ def q_op8(spark, sf_dir):
 QUERIES = {
     "op3_langid": q_op3,
     "op4_decontamination": q_op4,
+    "op5_jaccard_join": q_op5,
     "op6_token_counts": q_op6,
     "op7_quality": q_op7,
     "op8_packing": q_op8,

@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from triage.llm import decontam, jaccard, langid, packing, quality, token_counts
+from triage.llm import decontam, jaccard, langid, packing, pitman_yor, quality, token_counts
 from triage.llm.common import table
 
 
@@ -15,6 +15,10 @@ def held_out(doc_id, divisor: int, remainder: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % divisor == remainder, F.lit(False))
 
 
+def q_op2(spark, sf_dir):
+    return pitman_yor.score(table(spark, sf_dir, "documents"), held_out("doc_id", 5, 1))
+
+
 def q_op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = langid.predict(docs, langid.train(docs), ["doc_id"])
@@ -45,6 +49,7 @@ def q_op8(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_pitman_yor": q_op2,
     "op3_langid": q_op3,
     "op4_decontamination": q_op4,
     "op5_jaccard_join": q_op5,

@@ -6,8 +6,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from triage.llm import decontam, jaccard, langid, packing, pitman_yor, quality, token_counts
-from triage.llm.common import table
+from triage.llm import (decontam, jaccard, langid, merkle, packing, pitman_yor, quality,
+                        token_counts, training_order, url_trees)
+from triage.llm.common import saved, table
 
 
 def held_out(doc_id, divisor: int, remainder: int):
@@ -15,6 +16,11 @@ def held_out(doc_id, divisor: int, remainder: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % divisor == remainder, F.lit(False))
 
 
+def q_op1(spark, sf_dir):
+    pages, fields = table(spark, sf_dir, "pages"), ["url", "html"]
+    return merkle.audit(merkle.records(pages, "page_id", fields), merkle.records(merkle.damaged(pages), "page_id", fields))
+
+
 def q_op2(spark, sf_dir):
     return pitman_yor.score(table(spark, sf_dir, "documents"), held_out("doc_id", 5, 1))
 
@@ -48,7 +54,18 @@ def q_op8(spark, sf_dir):
     return packing.pack(cut)
 
 
+def q_op9(spark, sf_dir):
+    """Writes the shards and reads them back from slot 0."""
+    shards = training_order.materialised(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return training_order.read_from(saved(shards, "training-order")).drop("ids")
+
+
+def q_op10(spark, sf_dir):
+    return url_trees.verdicts(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_merkle_audit": q_op1,
     "op2_pitman_yor": q_op2,
     "op3_langid": q_op3,
     "op4_decontamination": q_op4,
@@ -56,7 +73,9 @@ QUERIES = {
     "op6_token_counts": q_op6,
     "op7_quality": q_op7,
     "op8_packing": q_op8,
+    "op9_training_order": q_op9,
+    "op10_url_trees": q_op10,
 }
 
 #: DuckDB SQL where SQL can express the result.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_merkle_audit": merkle.SQL}

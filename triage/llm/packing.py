@@ -46,8 +46,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         table = word_ids(tokenizer)
         for b in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, t in enumerate(b.column("text")):
-                whole = table.encode(t.as_py()) + end
+            texts = b.column("text").to_pylist()
+            table.learn(texts)
+            for i, t in enumerate(texts):
+                whole = table.encode(t) + end
                 for p in range(0, len(whole), 4 * capacity):
                     part = whole[p:p + 4 * capacity]
                     row.append(i)

@@ -1,6 +1,9 @@
 """Token ids of texts under a `tokenizers` vocabulary whose pre-tokens never
 hold a space or a line break: every such word is encoded once per worker and
 kept as its ids' bytes (unsigned 32-bit, little-endian), in a bounded cache.
+The unknown plain words of a batch are encoded together, as one text, and told
+apart by the vocabulary's end-of-word tokens: that takes under half the time of
+single calls.
 """
 
 from __future__ import annotations
@@ -9,10 +12,12 @@ import re
 
 import numpy as np
 
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 800_000
+TOGETHER = 10_000
 LONGEST = 64
-#: A word of ASCII letters, then marks: its letters and its marks are pre-tokens of their own.
-PLAIN = re.compile(r"([A-Za-z]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
+#: A word of ASCII or Latin-1 letters (for which neither normalisation nor lower-casing changes the number
+#: of letters), then ASCII marks: its letters and its marks are pre-tokens of their own.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
 
 _tables: dict[str, "WordIds"] = {}
 
@@ -22,11 +27,34 @@ class WordIds(dict):
         from tokenizers import Tokenizer
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def learn(self, texts: list[str | None]) -> None:
+        """Encodes the plain words of the texts that are not known yet."""
+        words: set[str] = set()
+        for t in texts:
+            if t:
+                words.update(t.replace("\n", " ").split(" "))
+        words -= self.keys()
+        new = list({m[1].lower() for m in map(PLAIN.fullmatch, words) if m} - self.keys())
+        if len(self) + len(new) > CACHE_ENTRIES:
+            self.clear()
+        for at in range(0, len(new), TOGETHER):
+            part = new[at:at + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            whole, lo = ids.tobytes(), 0
+            for w, hi in zip(part, (4 * ends).tolist(), strict=True):
+                if len(w) <= LONGEST:
+                    self[w] = whole[lo:hi]
+                lo = hi
+
     def __missing__(self, word: str) -> bytes:
         m = PLAIN.fullmatch(word)
         if m and (m[2] or not word.islower()):

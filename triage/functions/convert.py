@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from triage.functions.cells import PY_WHITESPACE
 from triage.functions.memo import per_context
-from triage.functions.numbers import parse_dec, parse_hex
+from triage.functions.numbers import as_number, dec_text, hex_text, parse_dec
 
 TYPES = ("raw", "string", "int", "hex_int", "float", "bool", "timestamp")
 
@@ -221,9 +221,9 @@ def conversion_stages(items: tuple, suffix: str, native_suffix: str | None) -> l
     for c, t in conv.items():
         s = F.col(f"`__s__{c}`")
         if t == "int":
-            st2[S(c, "n")] = parse_dec(s)
+            st2[S(c, "n")] = dec_text(s)
         elif t == "hex_int":
-            st2[S(c, "n")] = parse_hex(s)
+            st2[S(c, "n")] = hex_text(s)
         elif t == "float":
             st2[S(c, "n")] = native_float(s)
         elif t == "bool":
@@ -248,7 +248,7 @@ def conversion_stages(items: tuple, suffix: str, native_suffix: str | None) -> l
         if t == "float":
             st3[S(c, "t")] = float_repr(F.when(n.isNotNull(), F.col(f"`__s__{c}`")))
         elif t in ("int", "hex_int"):
-            st3[S(c, "t")] = n.cast("string")
+            st3[S(c, "t")] = n
         elif t == "bool":
             st3[S(c, "t")] = F.when(n, F.lit("True")).when(~n, F.lit("False"))
         else:
@@ -272,7 +272,8 @@ def conversion_stages(items: tuple, suffix: str, native_suffix: str | None) -> l
             F.when(blank | failed, raw).otherwise(F.col(f"`__t__{c}`")).alias("value"),
             F.when(failed, F.concat(F.lit(ERRORS[t]), py_repr(shown))).alias("error"))
         if native_suffix:
-            out[c + native_suffix] = F.col(f"`__n__{c}`")
+            n = F.col(f"`__n__{c}`")
+            out[c + native_suffix] = as_number(n) if t in ("int", "hex_int") else n
     stages.append(out)
     stages.append(list(tmp))
     return stages

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 ORDER_COLS = ["_row_id", "_rule"]
 
+# FIXED VALUES: output columns of each alert table
 SCHEMAS = {
     "network": ["alert_type", "severity", "pid", "process_name", "src_addr", "src_port",
                 "dst_addr", "dst_port", "protocol", "state", "description"],
@@ -65,5 +66,7 @@ def public(df: DataFrame, kind: str) -> DataFrame:
 
 
 def ordered(df: DataFrame, kind: str) -> DataFrame:
-    """Deterministic sink order: input row, then rule order."""
-    return df.orderBy(*ORDER_COLS).select(*SCHEMAS[kind])
+    """Deterministic sink order: input row, then rule; injection and
+    persistence rules run one after another, each over all rows."""
+    cols = ["_rule", "_row_id"] if kind in ("injection", "persistence") else ORDER_COLS
+    return df.orderBy(*cols).select(*SCHEMAS[kind])

@@ -15,7 +15,7 @@ from triage import rules as R
 from triage.functions.cells import render
 from triage.functions.memo import per_context
 from triage.functions.netaddr import with_private_ip
-from triage.functions.numbers import int_text, lenient_int
+from triage.functions.numbers import as_number, lenient_text
 from triage.operators import aliases as A
 from triage.operators.alerts import empty_alerts, explode_slots, rule_slot
 from triage.operators.lookups import pid_name_lookup, with_owner_name
@@ -29,13 +29,14 @@ def network_alerts(spark: SparkSession, net: ForensicTable, proc: ForensicTable
     if not present["pid"]:
         return empty_alerts(spark, KIND)
     df = with_owner_name(df, pid_name_lookup(proc))
-    df = with_private_ip(df.withColumn("_dport", _dport()), "dst_addr", "_dst_private")
+    df = df.withColumn("_dport_text", _dport()).withColumn("_dport", as_number(F.col("_dport_text")))
+    df = with_private_ip(df, "dst_addr", "_dst_private")
     return explode_slots(df, _network_slots())
 
 
 @per_context
 def _dport():
-    return lenient_int(F.col("dst_port"))
+    return lenient_text(F.col("dst_port"))
 
 
 @per_context
@@ -48,7 +49,7 @@ def _network_slots():
         "dst_addr": F.col("dst_addr"), "dst_port": F.col("dst_port"),
         "protocol": F.col("protocol"), "state": F.col("state"),
     }
-    port_text = int_text(dst_port)
+    port_text = F.col("_dport_text")
     listen_port = F.when(F.col("src_port") != "", F.col("src_port")).otherwise(F.col("dst_port"))
     slots = [
         rule_slot(1, dst_port.isin(R.WEB_PORTS) & ~low.isin(R.BROWSERS), KIND, {

@@ -4,8 +4,8 @@ Content statistics are computed once per stored file (entropy, md5,
 sha256, size) and joined to the rows that reference the file.  A raw path
 resolves through prioritised candidate keys (as given, relative to the
 store root, stripped of leading separators / drive letter, basename); the
-candidates are exploded, equi-joined to the store and the best-ranked hit
-wins (``min_by`` per row) — a hash join, never a per-row file lookup.
+candidates of each distinct path are exploded, equi-joined to the store and
+the best-ranked hit wins (``min_by`` per path) — a hash join, never a per-row file lookup.
 """
 
 from __future__ import annotations
@@ -68,16 +68,19 @@ def candidate_keys(raw: Column, root: str) -> Column:
 
 def enrich_files(files: DataFrame, store_stats: DataFrame, root: str, path_col: str = "file_path",
                  id_col: str | None = "file_id") -> DataFrame:
-    """ENR-01: file_path, file_id, entropy, md5, sha256, file_size, status."""
-    rows = files.select(F.monotonically_increasing_id().alias("_fid"),
-                        F.coalesce(F.col(f"`{path_col}`"), F.lit("")).alias("file_path"),
+    """ENR-01: file_path, file_id, entropy, md5, sha256, file_size, status.
+
+    Each distinct path is resolved once and joined back on the path itself,
+    so a file that many rows reference is one row of the resolution."""
+    rows = files.select(F.coalesce(F.col(f"`{path_col}`"), F.lit("")).alias("file_path"),
                         (F.coalesce(F.col(f"`{id_col}`"), F.lit("")) if id_col else F.lit("")).alias("file_id"))
-    cands = rows.select("_fid", F.explode(candidate_keys(F.col("file_path"), root)).alias("c")) \
-                .select("_fid", "c.prio", "c.key")
+    cands = (rows.select("file_path").distinct()
+             .select("file_path", F.explode(candidate_keys(F.col("file_path"), root)).alias("c"))
+             .select(F.col("file_path").alias("_raw"), "c.prio", "c.key"))
     hits = (cands.join(store_stats, cands["key"] == store_stats["path"])
-                 .groupBy("_fid")
+                 .groupBy("_raw")
                  .agg(F.min_by(F.struct("entropy", "md5", "sha256", "file_size"), "prio").alias("s")))
-    j = rows.join(hits, "_fid", "left")
+    j = rows.join(hits, rows["file_path"] == hits["_raw"], "left")
     found = F.col("s").isNotNull()
     return j.select(
         "file_path", "file_id",

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from triage.sources.csv import FIELD_RE
+from triage.sources.csv import fields_of
 
 CORRUPT = "_corrupt"
 # FIXED VALUES: characters that make a column name need YAML quoting
@@ -89,7 +89,7 @@ def records(spark: SparkSession, root: str, encoding: str = "UTF-8") -> DataFram
     # later, so the per-record work is one regex and no lambda
     single = F.col(CORRUPT).isNull()
     cells = F.when(single, F.array(F.coalesce("_c0", F.lit("")))).otherwise(
-        F.regexp_extract_all(F.col(CORRUPT), F.lit(FIELD_RE), 1))
+        fields_of(F.col(CORRUPT)))
     return raw.select("path", "_row_id", cells.alias("cells"), single.alias("_single"))
 
 

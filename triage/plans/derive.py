@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triage.plans import fixtures as X
-from triage.functions.memo import per_context
-from triage.session import ensure_parallelism
+from triage.session import ship_package
 from triage.table import ForensicTable
 
 HIDDEN_PID_OFFSET = 100000
@@ -26,9 +25,6 @@ def sql_str(v: str) -> str:
     return "'" + v.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
-_ARRAYS: dict[tuple, Column] = {}
-
-
 def pick(values: list[str], idx: Column) -> Column:
     """values[idx % len] as a literal-array lookup (1-based element_at);
     the literal array is one SQL expression, not one call per value."""
@@ -37,15 +33,9 @@ def pick(values: list[str], idx: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table (read-only input), one DataFrame per path and context:
-    every derived view of a query shares the same scan subtree."""
-    return _table(f"{sf_dir}/{name}.parquet")
-
-
-@per_context
-def _table(path: str) -> DataFrame:
-    from pyspark.sql import SparkSession as _S
-    return ensure_parallelism(_S.getActiveSession().read.parquet(path))
+    """A given table (read-only input)."""
+    ship_package(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _s(c: Column) -> Column:
@@ -182,7 +172,7 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> ForensicTable:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
     k, c = F.col("k"), _s(F.col("c"))
     m9 = k % 9
-    cust = (F.when(m9 == 0, c).when(m9 == 1, F.concat(F.lit(" "), c, F.lit(" ")))
+    cust = (F.when(k % 23 == 0, pick(X.WIDE_INTS, F.floor(k / 23))).when(m9 == 0, c).when(m9 == 1, F.concat(F.lit(" "), c, F.lit(" ")))
              .when(m9 == 2, F.concat(F.lit("+"), c)).when(m9 == 3, F.lit("BAD"))
              .when(m9 == 4, F.lit("")).when(m9 == 5, F.concat(c, F.lit("_000")))
              .when(m9 == 6, F.concat(c, F.lit(".5"))).when(m9 == 7, F.concat(F.lit("-"), c))

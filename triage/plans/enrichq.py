@@ -58,6 +58,14 @@ def path_resolution(spark, sf):
     return E.enrich_files(doc_files(spark, sf), stats, STORE_ROOT)
 
 
+def path_resolution_ids(spark, sf):
+    """The same files under an id that comes from other columns than the path."""
+    d = doc_files(spark, sf).withColumn("doc_id", F.substring("file_id", 2, 30).cast("long"))
+    other = D.table(spark, sf, "documents").select("doc_id", F.concat("source", F.lit(":"), F.col("n_chars").cast("string")).alias("other"))
+    files = d.join(other, "doc_id").select("file_path", F.col("other").alias("file_id"))
+    return E.enrich_files(files, E.content_stats(doc_store(spark, sf)), STORE_ROOT)
+
+
 def enrichment_status(spark, sf):
     return E.enrichment_status(path_resolution(spark, sf))
 
@@ -119,7 +127,7 @@ def timeline_union(spark, sf):
         F.col("props").alias("description"))
     fam = (ev.withColumn("source", F.concat(F.lit("timeline_"), F.col("type"), F.lit(".csv")))
              .unionByName(ev.withColumn("source", F.lit("timeline_all.csv")))
-             .unionByName(ev.limit(0).withColumn("source", F.lit("process.csv"))))
+             .unionByName(ev.withColumn("source", F.lit("process.csv"))))
     fam.write.mode("overwrite").partitionBy("source").options(**K.CSV_OPTIONS).csv(root)
     t = (spark.read.options(header=True, multiLine=True, escape='"').csv(root)
          .where(F.col("source").startswith("timeline_")))

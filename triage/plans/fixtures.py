@@ -60,7 +60,7 @@ DST_ADDRS = [
     "2001:1::1", "2001::5", "1.2.3", "300.1.1.1", "2a00:1450:4001:81c::200e", "0",
 ]
 DST_PORTS = ["443", "80", "4444", "0x50", "1f90", "", "53", "8443", "1E5", "-1", "65535",
-             "1_000", "0", "3389", "abc", "+8080", "0443"]
+             "1_000", "0", "3389", "abc", "+8080", "0443", "9" * 40, "0x" + "a" * 20]
 
 DNS_NAMES = ["powershell.exe", "chrome.exe", "cmd.exe", "", "svchost.exe", "mshta.exe",
              "CertUtil.exe", "rundll32.exe"]
@@ -108,7 +108,12 @@ TASK_ACTIONS = [
 ]
 
 HEX_VALUES = ["0xFF", "ff", "0x1A", "0xGG", "0x7fffffffffffffff", "-0x10", "0x_1f", "", "deadbeef",
-              "0xffffffffffffffff", "12", "  0xBEEF  ", "zz", "0X10"]
+              "0xffffffffffffffff", "12", "  0xBEEF  ", "zz", "0X10", "0x10000000000000000",
+              "-fffffffffffffffff", "0x" + "f" * 32, "0x" + "123456789abcdef0" * 4, "0x1_0000_0000_0000_0000_0000",
+              "0000000000000000000000ff", "0x" + "0" * 40]
+# integers beyond 64 and 128 bits
+WIDE_INTS = ["123456789012345678901", "-" + "9" * 38, "1" + "0" * 38, "+" + "7" * 45, "0" * 50 + "42", "-0" + "3_1" * 15,
+             "9" * 60]
 FLOAT_VALUES = ["3.14", "42", "1e5", "-0.0", "inf", "-Infinity", "nan", "1_000.5", ".5", "5.", "abc",
                 "12345678.9", "0.0001", "0.00001", "1e16", "123456789012345678", " 2.5 ", "", "1.5.2",
                 "2.5e-3"]

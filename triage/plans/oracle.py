@@ -15,6 +15,7 @@ import string
 from triage import rules as R
 from triage.plans import fixtures as X
 from triage.plans.derive import DUP_ROW_OFFSET, HIDDEN_PID_OFFSET, ORPHAN_PID_OFFSET
+from triage.plans.files import FILE_KEYS
 
 
 def q(s: str) -> str:
@@ -58,15 +59,34 @@ def py_private(addr: str) -> bool:
     return ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved
 
 
+def int_text(v: str) -> str:
+    """Canonical decimal text: the digits without sign, underscores, leading zeros."""
+    d = f"regexp_replace(regexp_replace({v}, '[+_-]', '', 'g'), '^0+([0-9])', '\\1')"
+    return (f"CASE WHEN regexp_full_match({v}, '[+-]?[0-9]+(_[0-9]+)*') "
+            f"THEN CASE WHEN starts_with({v}, '-') AND {d} <> '0' THEN '-' ELSE '' END || {d} END")
+
+
+def hex_text(v: str) -> str:
+    """Up to 16 hex digits by UBIGINT; the wider literals of the fixtures by
+    their values, computed here with Python integers."""
+    body = f"ltrim(regexp_replace(replace(regexp_replace({v}, '^[+-]', ''), '_', ''), '^0[xX]', ''), '0')"
+    wide = {h.strip(): str(int(h.strip(), 16)) for h in [*X.HEX_VALUES, *X.DST_PORTS]
+            if len(h) > 16 and set(h.strip().lower()) <= set("0123456789abcdefx_-")}
+    known = " ".join(f"WHEN {q(h)} THEN {q(t)}" for h, t in wide.items())
+    return (f"CASE {v} {known} ELSE CASE WHEN regexp_full_match({v}, '[+-]?(0[xX]_?)?[0-9a-fA-F]+(_[0-9a-fA-F]+)*') "
+            f"AND length({body}) <= 16 THEN CASE WHEN starts_with({v}, '-') AND {body} <> '' THEN '-' ELSE '' END || "
+            f"CASE WHEN {body} = '' THEN '0' ELSE CAST(TRY_CAST('0x' || {body} AS UBIGINT) AS VARCHAR) END END END")
+
+
+def lenient_text(v: str) -> str:
+    return f"coalesce({int_text(v)}, {hex_text(v)})"
+
+
 def lenient_int(v: str) -> str:
-    dec = (f"CASE WHEN regexp_full_match({v}, '[+-]?[0-9]+(_[0-9]+)*') "
-           f"THEN TRY_CAST(replace({v}, '_', '') AS HUGEINT) END")
-    body = f"regexp_replace(replace(regexp_replace({v}, '^[+-]', ''), '_', ''), '^0[xX]', '')"
-    hexv = (f"CASE WHEN regexp_full_match({v}, '[+-]?(0[xX]_?)?[0-9a-fA-F]+(_[0-9a-fA-F]+)*') "
-            f"AND length(ltrim({body}, '0')) <= 16 "
-            f"THEN (CASE WHEN starts_with({v}, '-') THEN -1 ELSE 1 END) * "
-            f"CAST(TRY_CAST('0x' || {body} AS UBIGINT) AS HUGEINT) END")
-    return f"coalesce({dec}, {hexv})"
+    """For comparisons, saturated beyond 37 digits."""
+    t = lenient_text(v)
+    return (f"CASE WHEN length({t}) <= 37 THEN TRY_CAST({t} AS HUGEINT) WHEN starts_with({t}, '-') THEN -(10::HUGEINT ** 37)::HUGEINT "
+            f"WHEN {t} IS NOT NULL THEN TRY_CAST('{'9' * 37}' AS HUGEINT) END")
 
 
 # ---------------------------------------------------------------------------
@@ -163,7 +183,7 @@ NET_COLS = ("pid, proc_name AS process_name, src_addr, src_port, dst_addr, dst_p
 
 
 def alerts_network() -> str:
-    port = "CAST(dport AS VARCHAR)"
+    port = "dport_text"
     listen = "CASE WHEN src_port <> '' THEN src_port ELSE dst_port END"
     return f"""
     WITH {v_process()}, {v_net()}, {pid_lookup_cte()}, {ip_verdicts()},
@@ -171,7 +191,7 @@ def alerts_network() -> str:
                  {strip('src_addr')} AS src_addr, {strip('src_port')} AS src_port,
                  {strip('dst_addr')} AS dst_addr, {strip('dst_port')} AS dst_port FROM net_v),
     j AS (SELECT n.*, coalesce(lk.name, '<unknown>') AS proc_name,
-                 {lenient_int('n.dst_port')} AS dport, coalesce(ipv.priv, FALSE) AS priv
+                 {lenient_int('n.dst_port')} AS dport, {lenient_text('n.dst_port')} AS dport_text, coalesce(ipv.priv, FALSE) AS priv
           FROM n LEFT JOIN lk ON n.pid = lk.pid LEFT JOIN ipv ON n.dst_addr = ipv.addr)
     SELECT 'PROCESS_PORT_MISMATCH' AS alert_type, 'MEDIUM' AS severity, {NET_COLS},
            {render(R.MSG['PROCESS_PORT_MISMATCH'], proc='proc_name', pid='pid', port=port)} AS description
@@ -403,9 +423,9 @@ def py_repr(s: str) -> str:
 
 def v_raw_orders() -> str:
     k, c = "o_orderkey", "CAST(o_custkey AS VARCHAR)"
-    cust = (f"CASE {k} % 9 WHEN 0 THEN {c} WHEN 1 THEN ' ' || {c} || ' ' WHEN 2 THEN '+' || {c} "
+    cust = (f"CASE WHEN {k} % 23 = 0 THEN {pick(X.WIDE_INTS, f'{k} // 23')} ELSE CASE {k} % 9 WHEN 0 THEN {c} WHEN 1 THEN ' ' || {c} || ' ' WHEN 2 THEN '+' || {c} "
             f"WHEN 3 THEN 'BAD' WHEN 4 THEN '' WHEN 5 THEN {c} || '_000' WHEN 6 THEN {c} || '.5' "
-            f"WHEN 7 THEN '-' || {c} ELSE '0' || {c} END")
+            f"WHEN 7 THEN '-' || {c} ELSE '0' || {c} END END")
     price = (f"CASE WHEN {k} % 5 = 0 THEN CAST({k} AS VARCHAR) || '.' || CAST({k} % 100 AS VARCHAR) "
              f"ELSE {pick(X.FLOAT_VALUES, f'{k} // 5')} END")
     ts = (f"CASE WHEN {k} % 4 = 0 THEN '2024-' || lpad(CAST(1 + {k} % 12 AS VARCHAR), 2, '0') || '-' || "
@@ -419,19 +439,6 @@ def v_raw_orders() -> str:
            FROM orders)"""
 
 
-def _int_sql(s: str) -> str:
-    return (f"CASE WHEN regexp_full_match({s}, '[+-]?[0-9]+(_[0-9]+)*') "
-            f"THEN TRY_CAST(replace({s}, '_', '') AS HUGEINT) END")
-
-
-def _hex_sql(s: str) -> str:
-    body = f"regexp_replace(replace(regexp_replace({s}, '^[+-]', ''), '_', ''), '^0[xX]', '')"
-    return (f"CASE WHEN regexp_full_match({s}, '[+-]?(0[xX]_?)?[0-9a-fA-F]+(_[0-9a-fA-F]+)*') "
-            f"AND length(ltrim({body}, '0')) <= 16 "
-            f"THEN (CASE WHEN starts_with({s}, '-') THEN -1 ELSE 1 END) * "
-            f"CAST(TRY_CAST('0x' || {body} AS UBIGINT) AS HUGEINT) END")
-
-
 def _float_sql(s: str) -> str:
     return (f"CASE WHEN regexp_full_match({s}, {q(FLOAT_SPECIAL_RE)}) THEN "
             f"(CASE WHEN lower({s}) IN ('inf', '+inf', 'infinity', '+infinity') THEN 'inf'::DOUBLE "
@@ -452,7 +459,7 @@ def _fmt_sql(s: str, fmt: str) -> str:
 
 
 def _epoch_sql(s: str) -> str:
-    n = _int_sql(s)
+    n = f"CASE WHEN length({int_text(s)}) <= 37 THEN TRY_CAST({int_text(s)} AS HUGEINT) END"
     return (f"(SELECT CASE WHEN x > 1000000000000 THEN (CASE WHEN x / 1000 BETWEEN -62135596800 AND 253402300799 "
             f"THEN make_timestamp(CAST(x AS BIGINT) * 1000) END) "
             f"WHEN x BETWEEN -62135596800 AND 253402300799 THEN make_timestamp(CAST(x AS BIGINT) * 1000000) END "
@@ -472,9 +479,9 @@ def conversion_cte(src: str, spec: dict[str, str], cols: list[str]) -> str:
     for c, t in conv.items():
         s = f"{c}__s"
         if t == "int":
-            l2.append(f"{_int_sql(s)} AS {c}__n")
+            l2.append(f"{int_text(s)} AS {c}__n")
         elif t == "hex_int":
-            l2.append(f"{_hex_sql(s)} AS {c}__n")
+            l2.append(f"{hex_text(s)} AS {c}__n")
         elif t == "float":
             l2.append(f"{_float_sql(s)} AS {c}__n")
         elif t == "bool":
@@ -672,15 +679,17 @@ def csv_roundtrip() -> str:
 
 
 def _malformed_rows() -> str:
-    return """
-    mal AS (SELECT o_orderkey AS k, o_orderkey % 4 AS f,
+    return f"""
+    mal AS (SELECT o_orderkey AS k, o_orderkey // {FILE_KEYS} AS f,
                    CASE WHEN o_orderkey % 5 = 0 THEN 'short' WHEN o_orderkey % 7 = 0 THEN 'long'
+                        WHEN o_orderkey % 11 = 0 THEN 'first' WHEN o_orderkey % 17 = 0 THEN 'firstlong'
                         WHEN o_orderkey % 13 = 0 THEN 'multi' ELSE 'plain' END AS kind FROM orders)"""
 
 
 def csv_malformed() -> str:
     return f"""WITH {_malformed_rows()}
-    SELECT CAST(k AS VARCHAR) AS a, CASE kind WHEN 'multi' THEN 'multi' || chr(10) || 'line "q"' ELSE 'x' END AS b,
+    SELECT CASE WHEN kind IN ('first', 'firstlong') THEN '' ELSE CAST(k AS VARCHAR) END AS a,
+           CASE kind WHEN 'multi' THEN 'multi' || chr(10) || 'line "q"' ELSE 'x' END AS b,
            CASE kind WHEN 'short' THEN '' ELSE 'y' END AS c
     FROM mal"""
 
@@ -688,19 +697,32 @@ def csv_malformed() -> str:
 def csv_ingest_errors() -> str:
     return f"""WITH {_malformed_rows()},
     pos AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY k) - 1 AS idx FROM mal)
-    SELECT idx + 2 AS line_number, CAST(k AS VARCHAR) || ',x,y,"z,1"' AS raw_line,
+    SELECT idx + 2 AS line_number,
+           CASE kind WHEN 'long' THEN CAST(k AS VARCHAR) || ',x,y,"z,1"' ELSE ',x,y,' || CAST(k AS VARCHAR) END AS raw_line,
            'Extra columns: expected 3, got 4' AS error
-    FROM pos WHERE kind = 'long'"""
+    FROM pos WHERE kind IN ('long', 'firstlong')"""
 
 
 def csv_linewise() -> str:
     # each physical line on its own: the two halves of a quoted multi-line
     # record are unparsable lines and are dropped
     return f"""WITH {_malformed_rows()}
-    SELECT CAST(k AS VARCHAR) AS a, 'x' AS b, CASE kind WHEN 'short' THEN '' ELSE 'y' END AS c
+    SELECT CASE WHEN kind IN ('first', 'firstlong') THEN '' ELSE CAST(k AS VARCHAR) END AS a, 'x' AS b,
+           CASE kind WHEN 'short' THEN '' ELSE 'y' END AS c
     FROM mal WHERE kind <> 'multi'"""
 
 
+def file_fingerprint() -> str:
+    return f"""
+    SELECT 'f=' || f AS entry, CAST(octet_length(encode(body)) AS BIGINT) AS size, sha256(body) AS sha256, md5(body) AS md5
+    FROM (SELECT o_orderkey // {FILE_KEYS} AS f, string_agg(o_orderkey || ',' || o_custkey, chr(10) ORDER BY o_orderkey) || chr(10) AS body
+          FROM orders GROUP BY 1)"""
+
+
+def lookup_part_files() -> str:
+    return "SELECT CAST(c_custkey AS VARCHAR) AS pid, 'p' || (c_custkey % 7) AS name FROM customer"
+
+
 # ---------------------------------------------------------------------------
 # inventory / scaffold
 # ---------------------------------------------------------------------------
@@ -818,6 +840,12 @@ def path_resolution() -> str:
     return f"WITH {_resolution()} SELECT * FROM out"
 
 
+def path_resolution_ids() -> str:
+    return f"""WITH {_resolution()}
+    SELECT out.file_path, source || ':' || n_chars AS file_id, entropy, md5, sha256, file_size, status
+    FROM out JOIN documents ON out.file_id = 'F' || doc_id"""
+
+
 def enrichment_status() -> str:
     return f"""WITH {_resolution()}
     SELECT count(*) AS processed, count(*) FILTER (WHERE status = 'ok') AS found,

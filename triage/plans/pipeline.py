@@ -54,10 +54,10 @@ def run(spark: SparkSession, case_dir: str, out_dir: str, specs: dict[str, dict[
         r = C.read_csv_lossless(spark, f"{case_dir}/{e['filename']}", headers=list(e["headers"]), name=name)
         typed_df, errors = TY.parse_table(r.table, spec)
         typed_df.write.mode("overwrite").parquet(f"{out_dir}/typed_{name}")
-        errors.withColumn("source_file", F.lit(e["filename"])).write.mode("append").parquet(
-            f"{out_dir}/parse_errors")
+        errors.withColumn("source_file", F.lit(e["filename"])).write.mode("overwrite").parquet(
+            f"{out_dir}/parse_errors/table={name}")
         typed[name] = _read_typed(spark, out_dir, name, r.table.headers, r.table.columns)
-        status_rows.append((name, "parse", STATUS_OK, 0, "converted"))
+        status_rows.append((name, "parse", STATUS_OK, typed[name].df.count(), "converted"))
     status = spark.createDataFrame(status_rows, "table string, stage string, status int, rows long, detail string")
     manifest = K.manifest_frame(entries).select("filename", F.col("row_count").cast("long").alias("row_count"))
     results = V.check_parity(spark, manifest, {k: t.df for k, t in typed.items()}) \
@@ -78,10 +78,11 @@ def run(spark: SparkSession, case_dir: str, out_dir: str, specs: dict[str, dict[
     if any(k in typed for k in ("registry", "services", "tasks")):
         fams.append(("persistence", AL.ordered(DS.persistence_alerts(
             spark, typed.get("registry"), typed.get("services"), typed.get("tasks")), "persistence")))
-    # sinks keep the deterministic order: input row, then rule (SRT-02);
-    # alerts are a small fraction of the input, sorted by range partitions
-    for fam, df in fams:
-        df.write.mode("append").parquet(f"{out_dir}/alerts_{fam}")
+    # sinks keep the deterministic order (SRT-02); alerts are a small fraction
+    # of the input, sorted by range partitions.  A family is written whole, so
+    # a second run replaces the first
+    for fam in sorted({f for f, _ in fams}):
+        reduce(DataFrame.unionByName, [df for f, df in fams if f == fam]).write.mode("overwrite").parquet(f"{out_dir}/alerts_{fam}")
     counts = [spark.read.parquet(f"{out_dir}/alerts_{fam}").groupBy("alert_type", "severity").count()
               .withColumn("family", F.lit(fam)) for fam in sorted({f for f, _ in fams})]
     summary = reduce(DataFrame.unionByName, counts) if counts else None

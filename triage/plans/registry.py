@@ -151,6 +151,8 @@ QUERIES: dict[str, Query] = {
     "file_fingerprint": FP.file_fingerprint,
     "file_entropy": EQ.file_entropy,
     "path_resolution": EQ.path_resolution,
+    "path_resolution_ids": EQ.path_resolution_ids,
+    "lookup_part_files": FP.lookup_part_files,
     "enrichment_status": EQ.enrichment_status,
     "netstat_parse": EQ.netstat_parse,
     "flagged_ids": EQ.flagged_ids,
@@ -191,6 +193,10 @@ ORACLES: dict[str, Callable[[], str]] = {
     "scaffold": O.scaffold,
     "file_entropy": O.file_entropy,
     "path_resolution": O.path_resolution,
+    "path_resolution_ids": O.path_resolution_ids,
+    "lookup_part_files": O.lookup_part_files,
+    "file_fingerprint": O.file_fingerprint,
+    "pipeline_alerts": O.alert_summary,
     "enrichment_status": O.enrichment_status,
     "netstat_parse": O.netstat_parse,
     "flagged_ids": O.flagged_ids,

@@ -91,7 +91,7 @@ def ship_package(spark: SparkSession) -> None:
     functions which run in Python workers can be imported there without the
     repository on the workers' path."""
     sc = spark.sparkContext
-    if is_local(spark) or getattr(sc, "_triage_shipped", False):
+    if getattr(sc, "_triage_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
     target = os.path.join(tempfile.mkdtemp(prefix="triage-ship-"), "triage_pkg.zip")
@@ -103,15 +103,3 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(here)))
     sc.addPyFile(target)
     sc._triage_shipped = True
-
-
-def ensure_parallelism(df, min_partitions: int | None = None):
-    """Round-robin repartition when a scan yields fewer partitions than the
-    cluster's default parallelism (e.g. one large row group feeding
-    per-row rule evaluation).  At scale inputs have far more splits than
-    cores and this is a no-op."""
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df

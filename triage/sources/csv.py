@@ -7,8 +7,8 @@
   Windows paths with backslashes are read verbatim;
 * each file's header is its first record; the table keeps the header list
   as-is (duplicates included) and maps it to positional columns;
-* rows carry _source_file, _row_id (file order) and _row_index (0-based,
-  contiguous per file).
+* rows carry _source_file, _row_index (0-based, contiguous per file) and
+  _row_id = (file, _row_index), which orders a table of several files.
 
 The header line is parsed on the driver with Python's csv module (one line
 per table, like Spark's own header inference); all data parsing happens in
@@ -22,7 +22,7 @@ import csv
 import io
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +30,8 @@ from triage.table import ForensicTable
 
 NULL_SENTINEL = "\u0000<missing>\u0000"
 CORRUPT = "_corrupt"
-# a CSV field: quoted (with "" escapes) or anything up to the next comma
-FIELD_RE = r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'
+# a CSV field behind its comma: quoted (with "" escapes) or anything up to the next comma
+FIELD_RE = r',("(?:[^"]|"")*"|[^,]*)'
 MID_SHIFT = 1 << 33          # monotonically_increasing_id = partition << 33 | record
 
 
@@ -47,13 +47,20 @@ def parse_header(line: str) -> list[str]:
     return rows[0] if rows else []
 
 
+def fields_of(record: Column) -> Column:
+    """The fields of a record, quotes included; a comma goes in front, so that
+    an empty first field is a field like any other."""
+    return F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(FIELD_RE), 1)
+
+
 def first_line(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str | None:
-    rows = (spark.read.option("encoding", encoding).text(path)
-            .select("value", F.col("_metadata.file_path").alias("f"))
-            .orderBy("f").limit(1).collect())
-    if not rows:
-        return None
-    return rows[0]["value"].lstrip("﻿")
+    """First line of the first file by name that has one.  ``head`` of a single
+    file reads its first split alone, which begins the file."""
+    for f in sorted(spark.read.text(path).inputFiles()):
+        rows = spark.read.option("encoding", encoding).text(f).head(1)
+        if rows:
+            return rows[0]["value"].lstrip("﻿")
+    return None
 
 
 def with_row_index(df: DataFrame, by: str, mid: str = "_row_id", out: str = "_row_index") -> DataFrame:
@@ -86,7 +93,7 @@ def read_csv_lossless(spark: SparkSession, path: str | list[str], headers: list[
     schema = T.StructType([T.StructField(c, T.StringType()) for c in cols]
                           + [T.StructField(CORRUPT, T.StringType())])
     if n == 0:
-        empty = spark.createDataFrame([], "_row_id long, _row_index long, _source_file string")
+        empty = spark.createDataFrame([], "_row_id struct<file: string, at: bigint>, _row_index long, _source_file string")
         errs = spark.createDataFrame([], "_source_file string, line_number long, raw_line string, error string")
         return CsvRead(ForensicTable(empty, [], [], name), errs)
     raw = (spark.read.schema(schema)
@@ -97,12 +104,11 @@ def read_csv_lossless(spark: SparkSession, path: str | list[str], headers: list[
            .csv(paths)
            .select("*", F.col("_metadata.file_path").alias("_source_file"),
                    F.monotonically_increasing_id().alias("_row_id")))
-    raw = with_row_index(raw, "_source_file")
+    raw = _file_order(with_row_index(raw, "_source_file"))
     # (the first-cell test keeps a data column in every plan: Spark rejects
     # scans that reference only the corrupt-record column)
-    nfields = F.when(F.col(CORRUPT).isNotNull() & (F.length(F.col(cols[0])) >= 0),
-                     F.size(F.regexp_extract_all(F.regexp_replace(F.col(CORRUPT), "\r?\n$", ""),
-                                                 F.lit(FIELD_RE), 1)))
+    nfields = F.when(F.col(CORRUPT).isNotNull() & (F.coalesce(F.length(F.col(cols[0])), F.lit(0)) >= 0),
+                     F.size(fields_of(F.regexp_replace(F.col(CORRUPT), "\r?\n$", ""))))
     raw = raw.withColumn("_nfields", nfields)
     data = raw.select("_source_file", "_row_id", "_row_index",
                       *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in cols])
@@ -119,7 +125,13 @@ def read_lines(spark: SparkSession, path: str | list[str], encoding: str = "UTF-
     df = (spark.read.option("encoding", encoding).text(path)
           .select(F.col("value"), F.col("_metadata.file_path").alias("_source_file"),
                   F.monotonically_increasing_id().alias("_row_id")))
-    return with_row_index(df, "_source_file", out="_line_index")
+    return _file_order(with_row_index(df, "_source_file", out="_line_index"), "_line_index")
+
+
+def _file_order(df: DataFrame, index: str = "_row_index") -> DataFrame:
+    """``_row_id`` := (file, position in the file): Spark packs splits by size,
+    so the read order of a table's files is not their order."""
+    return df.withColumn("_row_id", F.struct(F.col("_source_file").alias("file"), F.col(index).alias("at")))
 
 
 def read_csv_linewise(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8",
@@ -132,7 +144,7 @@ def read_csv_linewise(spark: SparkSession, path: str | list[str], encoding: str
     n = len(headers)
     cols = [f"_c{i}" for i in range(n)]
     body = lines.where((F.col("_line_index") > 0) & (F.trim(F.col("value")) != ""))
-    body = body.withColumn("_fields", F.regexp_extract_all(F.col("value"), F.lit(FIELD_RE), 1))
+    body = body.withColumn("_fields", fields_of(F.col("value")))
     well_formed = F.col("value").rlike(r'^(?:"(?:[^"]|"")*"|[^,"]*)(?:,(?:"(?:[^"]|"")*"|[^,"]*))*$')
     unq = lambda f: F.when(f.startswith('"'), F.regexp_replace(F.substring(f, F.lit(2), F.length(f) - 2), '""', '"')).otherwise(f)  # noqa: E731,E501
     data = body.where(well_formed).select(

@@ -37,7 +37,10 @@ def lateral_alerts(spark: SparkSession, proc: ForensicTable) -> DataFrame:
     # computed from the resolved rows, without the parent lookup or the
     # other rules, and joined back to the alert rows
     labels = df.select(pre["_pkey"].alias("_pkey"), pre["_recon"].alias("_recon"))
-    df = with_parent_name(df, pid_name_lookup(proc, A.PROCESS_LATERAL)).withColumns(pre)
+    own = {k: v for k, v in pre.items() if k != "_pl"}
+    df = df.withColumns(own).where(F.col("_cred").isNotNull() | F.col("_recon").isNotNull()
+                                   | F.lower(F.col("name")).isin(R.REMOTE_EXEC_CHILDREN))
+    df = with_parent_name(df, pid_name_lookup(proc, A.PROCESS_LATERAL)).withColumn("_pl", pre["_pl"])
     alerts = explode_slots(df.withColumn("_esc", F.struct("_pkey", "_recon")), slots, keep=("_esc",))
     return escalate_recon(alerts, labels)
 

@@ -1,9 +1,9 @@
 """Network detectors: PROCESS_PORT_MISMATCH, LISTENER_TRAP,
 HIGH_PORT_EXTERNAL (connection table) and RARE_DNS_QUERY (DNS table).
 
-Plan: resolve logical columns -> left join the PID->name lookup (AQE picks
-broadcast or skew-split sort-merge at runtime) -> one projection building
-the rule array -> inline.
+Plan: resolve logical columns -> keep the rows that a rule can still hit ->
+join the PID->name lookup (AQE picks broadcast or skew-split sort-merge at
+runtime) -> one projection building the rule array -> explode.
 """
 
 from __future__ import annotations
@@ -28,10 +28,15 @@ def network_alerts(spark: SparkSession, net: ForensicTable, proc: ForensicTable
     df, present = A.resolve(net, A.NET)
     if not present["pid"]:
         return empty_alerts(spark, KIND)
-    df = with_owner_name(df, pid_name_lookup(proc))
     df = df.withColumn("_dport_text", _dport()).withColumn("_dport", as_number(F.col("_dport_text")))
-    df = with_private_ip(df, "dst_addr", "_dst_private")
-    return explode_slots(df, _network_slots())
+    # state, port and address decide most rows: only those that some rule can
+    # still hit are joined with their owner's name
+    web = F.coalesce(F.col("_dport").isin(R.WEB_PORTS), F.lit(False))
+    listen = F.upper(F.col("state")).contains("LISTEN")
+    high = F.coalesce(F.col("_dport") > R.WELL_KNOWN_PORT_CEILING, F.lit(False))
+    df = with_private_ip(df.where(web | listen | high), "dst_addr", "_dst_private")
+    df = df.where(web | listen | (high & ~F.col("_dst_private")))
+    return explode_slots(with_owner_name(df, pid_name_lookup(proc)), _network_slots())
 
 
 @per_context
@@ -70,13 +75,17 @@ def _network_slots():
 
 def dns_alerts(spark: SparkSession, dns: ForensicTable, proc: ForensicTable | None) -> DataFrame:
     df, _ = A.resolve(dns, A.DNS)
-    df = with_owner_name(df, pid_name_lookup(proc), out="_lk")
-    # own name first; PID lookup only when the PID is non-empty
-    name = (F.when(F.col("name") != "", F.col("name"))
-             .when(F.col("pid") != "", F.col("_lk"))
-             .otherwise(F.lit("")))
-    df = df.withColumn("proc_name", name)
-    cond = F.lower(F.col("proc_name")).isin(R.SUSPICIOUS_DNS_RESOLVERS) & (F.col("query") != "")
+    df = df.where(F.col("query") != "")
+    suspicious = lambda c: F.lower(F.col(c)).isin(R.SUSPICIOUS_DNS_RESOLVERS)
+    # a row's own name decides; only nameless rows need the PID lookup, and
+    # only its suspicious names can match
+    named = df.where((F.col("name") != "") & suspicious("name")).withColumn("proc_name", F.col("name"))
+    lookup = pid_name_lookup(proc)
+    if lookup is not None:
+        lookup = lookup.where(suspicious("name")).select(F.col("pid").alias("_lk_pid"), F.col("name").alias("proc_name"))
+        nameless = df.where((F.col("name") == "") & (F.col("pid") != ""))
+        named = named.unionByName(nameless.join(lookup, nameless["pid"] == lookup["_lk_pid"]).drop("_lk_pid"))
+    df, cond = named, F.lit(True)
     slot = rule_slot(1, cond, KIND, {
         "alert_type": F.lit("RARE_DNS_QUERY"), "severity": F.lit("HIGH"),
         "pid": F.col("pid"), "process_name": F.col("proc_name"),

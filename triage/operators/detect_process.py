@@ -33,9 +33,13 @@ def process_alerts(spark: SparkSession, proc: ForensicTable) -> DataFrame:
     df, present = A.resolve(proc, A.PROCESS_MASQUERADE)
     if not (present["pid"] and present["name"]):
         return empty_alerts(spark, KIND)
-    df = with_parent_name(df, pid_name_lookup(proc, A.PROCESS_MASQUERADE))
     pre, pre2, slots = _process_exprs()
-    df = df.withColumns(pre).withColumns(pre2)
+    own = {k: v for k, v in pre.items() if k != "_pl"}
+    df = df.withColumns(own).withColumns(pre2)
+    # every rule names its processes: only their rows need a parent's name
+    names = sorted({*R.SYSTEM32_ONLY, *R.PARENT_RULES, *R.SHELL_CHILDREN, *R.SYSTEM_ONLY_PROCESSES})
+    df = df.where(F.col("_nl").isin(names) | F.col("_typo").isNotNull())
+    df = with_parent_name(df, pid_name_lookup(proc, A.PROCESS_MASQUERADE)).withColumn("_pl", pre["_pl"])
     return explode_slots(df, slots)
 
 

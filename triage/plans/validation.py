@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from triage.operators import typed as TY
 from triage.operators import validate as V
 from triage.plans import derive as D
+from triage.session import shared_scratch
 from triage.table import ForensicTable
 
 
@@ -42,9 +43,14 @@ def relations(spark, sf, inputs=None):
 
 
 def report(spark, sf):
-    """All checks over one set of typed inputs (one plan per input table, so
-    identical scans and exchanges can be reused within the query)."""
-    inputs = _typed(spark, sf)
+    """All checks over one set of typed inputs, converted once: the typed
+    tables are written to the shared scratch folder and read by every check."""
+    typed, specs, raw = _typed(spark, sf)
+    for k, t in typed.items():
+        path = shared_scratch(spark, f"typed-{k}")
+        t.df.write.parquet(path)
+        typed[k] = ForensicTable(spark.read.schema(t.df.schema).parquet(path), t.headers, t.columns, k)
+    inputs = typed, specs, raw
     return (parity(spark, sf, inputs).unionByName(constraints(spark, sf, inputs))
             .unionByName(relations(spark, sf, inputs)))
 

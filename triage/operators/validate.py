@@ -130,6 +130,13 @@ def check_relations(spark: SparkSession, process: ForensicTable | None, net: For
                         F.when(n == 0, "PASS").otherwise("FAIL").alias("status"), detail.alias("detail"))
 
 
+def orphans(process: ForensicTable, net: ForensicTable, key: str = "pid") -> DataFrame:
+    """Every orphan of ``check_relations``: key, number of rows that use it."""
+    strip = lambda t: F.btrim(F.coalesce(F.col(f"`{t.columns[t.headers.index(key)]}`"), F.lit("")), F.lit(PY_WHITESPACE))
+    used = net.df.groupBy(strip(net).alias(key)).agg(F.count(F.lit(1)).alias("rows")).where(F.col(key) != "")
+    return used.join(process.df.select(strip(process).alias(key)), key, "left_anti")
+
+
 def summary(results: DataFrame) -> DataFrame:
     """passed, failed, total, overall status."""
     return results.agg(F.count_if(F.col("status") == "PASS").alias("passed"),

@@ -195,7 +195,7 @@ def alerts_network() -> str:
           FROM n LEFT JOIN lk ON n.pid = lk.pid LEFT JOIN ipv ON n.dst_addr = ipv.addr)
     SELECT 'PROCESS_PORT_MISMATCH' AS alert_type, 'MEDIUM' AS severity, {NET_COLS},
            {render(R.MSG['PROCESS_PORT_MISMATCH'], proc='proc_name', pid='pid', port=port)} AS description
-    FROM j WHERE dport IN (80, 443) AND lower(proc_name) NOT IN {in_sql(R.BROWSERS)}
+    FROM j WHERE dport IN ({', '.join(map(str, R.WEB_PORTS))}) AND lower(proc_name) NOT IN {in_sql(R.BROWSERS)}
     UNION ALL
     SELECT 'LISTENER_TRAP', 'HIGH', {NET_COLS},
            {render(R.MSG['LISTENER_TRAP'], proc='proc_name', pid='pid', port=listen)}
@@ -889,3 +889,33 @@ def timeline_union() -> str:
     SELECT 'timeline_' || event_type || '.csv' AS source, count(*) AS "rows" FROM events GROUP BY 1
     UNION ALL SELECT 'timeline_all.csv', count(*) FROM events
     """
+
+
+# ---------------------------------------------------------------------------
+# rule files, encodings, sinks
+# ---------------------------------------------------------------------------
+
+def alerts_network_rules() -> str:
+    from triage import ruleset
+    from triage.plans.evidence import CHANGED_RULES
+    with ruleset.using(CHANGED_RULES):
+        return alerts_network()
+
+
+def encoding_fallback() -> str:
+    return "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, 'naïve é ' || c_custkey AS name FROM customer"
+
+
+def manifest_load() -> str:
+    return f"SELECT filename, row_count FROM ({_inventory_sql()})"
+
+
+def error_sink() -> str:
+    return f"""SELECT source_file, "column", expected_type, count(*) AS errors
+    FROM ({parse_errors()}), (SELECT unnest(['a.csv', 'b.csv']) AS source_file) GROUP BY ALL"""
+
+
+def orphan_pids() -> str:
+    return f"""WITH {v_process()}, {v_net()}
+    SELECT pid, count(*) AS "rows" FROM (SELECT {strip('pid')} AS pid FROM net_v)
+    WHERE pid <> '' AND pid NOT IN (SELECT {strip('pid')} FROM process_v) GROUP BY pid"""

@@ -19,6 +19,7 @@ from triage.plans import oracle as O
 from triage.plans import validation as VP
 from triage.plans import files as FP
 from triage.plans import enrichq as EQ
+from triage.plans import evidence as EV
 from triage.operators import typed as TY
 from pyspark.sql import functions as F
 
@@ -158,6 +159,12 @@ QUERIES: dict[str, Query] = {
     "flagged_ids": EQ.flagged_ids,
     "timeline_union": EQ.timeline_union,
     "pipeline_alerts": FP.pipeline_alerts,
+    "alerts_network_rules": EV.alerts_network_rules,
+    "encoding_fallback": EV.encoding_fallback,
+    "manifest_load": EV.manifest_load,
+    "typed_sink": EV.typed_sink,
+    "error_sink": EV.error_sink,
+    "orphan_pids": EV.orphan_pids,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
@@ -201,6 +208,12 @@ ORACLES: dict[str, Callable[[], str]] = {
     "netstat_parse": O.netstat_parse,
     "flagged_ids": O.flagged_ids,
     "timeline_union": O.timeline_union,
+    "alerts_network_rules": O.alerts_network_rules,
+    "encoding_fallback": O.encoding_fallback,
+    "manifest_load": O.manifest_load,
+    "typed_sink": O.typed_table,
+    "error_sink": O.error_sink,
+    "orphan_pids": O.orphan_pids,
 }
 
 

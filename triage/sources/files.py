@@ -46,7 +46,7 @@ def recovered_files(listing: DataFrame, path: str = "path") -> DataFrame:
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:
     """filename -> row_count (unparsable -> 0), last entry per filename wins."""
     m = (spark.read.options(header=True, multiLine=True, escape='"').csv(path)
-         .withColumn("_row_id", F.monotonically_increasing_id()))
+         .withColumn("_row_id", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))))
     if "filename" not in m.columns:
         return spark.createDataFrame([], "filename string, row_count long, sha256 string")
     cnt = F.coalesce(F.col("row_count").try_cast("long"), F.lit(0)) if "row_count" in m.columns else F.lit(0)

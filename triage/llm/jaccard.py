@@ -5,30 +5,32 @@ shingles reaches a threshold.  Documents with equal sets form one class; only
 classes are compared.
 
 A class x of n shingles can miss at most a = n - ceil(threshold * n) of them
-in any partner.  Steps:
+in any partner, and at most b = n - ceil(2 * threshold * n / (1 + threshold))
+in a partner of n shingles or more; for two sizes, both must share the
+overlap o = ceil(threshold * (n + m) / (1 + threshold)).  Steps:
 
 1. Every class gives its shingles whose hash lies under ``tau`` (somewhat more
    than a of them on average) as rows (shingle, class), dealt by shingle and
-   sorted.  A shingle that no other class has is in no partner; only shared
-   ones go on, with the number of their rows (which stops at ``COUNTED``) as
-   rarity.  A class with more than a unshared shingles has no partner at all,
-   and nearly all classes without near copies end here.
-2. With u unshared shingles, r = a - u + 1 of the shared ones under any global
-   order must contain one that a partner has among its own first r.  Three
-   orders are used: rarity then hash, and two independent hashes.  Pairs come
-   from a common shingle under the first order and must share one under each
-   of the others, and their sizes must allow the threshold, before they are
-   verified on the whole sets.
-3. First every class is compared with the smallest class key of each of its
-   groups (a star, linear in the group), and linked classes get a common
-   label; then only pairs of a group that have different labels are compared.
-   Groups of near copies are thus not expanded into all pairs, and no link
-   between different components is lost.
-
-The few classes with at most a shingles under ``tau`` give all their shingles
-at a second level, where they meet each other (two such classes are compared
-there; against other classes the first level suffices, since one side there
-has more than a shingles).
+   sorted.  A shingle that no other class has is in no partner.  A class with
+   more than a such shingles has no partner at all, and nearly all classes
+   without near copies end here.  (The few classes with at most a shingles
+   under tau give all their shingles at a second level, where they meet each
+   other; against other classes the first level suffices, since one side there
+   has more than a shingles.)
+2. The remaining classes give all their shingles, again dealt and sorted.  Of u
+   shingles that no other one has, and with the number of rows of a shared one
+   (which stops at ``COUNTED``) as its rarity: of the shared shingles under any
+   global order, a class's first b - u + 1 and a partner's of its size or more
+   first a - u + 1 have one in common.  Three orders are used: rarity then
+   hash, and two independent hashes.  Pairs come from a common shingle under
+   the first order; their sizes and unshared shingles must leave room for the
+   overlap, and they must share a prefix shingle under each further order,
+   before they are verified on the whole sets.
+3. First every class is compared with the class of fewest unshared shingles in
+   each of its groups (a star, linear in the group), and linked classes get a
+   common label; then only pairs of a group that have different labels are
+   compared.  Groups of near copies are thus not expanded into all pairs, and
+   no link between different components is lost.
 
 Sets are identified by a 64-bit hash of their content, shingles by 64-bit
 hashes: the chance that any two of n different sets collide is below
@@ -164,31 +166,58 @@ class Jaccard:
 
     # ------------------------------------------------------------ candidates
 
-    def prefixes(self, docs: DataFrame, classes: DataFrame) -> DataFrame:
-        """(key, n, p1, p2, p3) of the classes that may have a partner: the
-        shared shingles that come first under each order."""
-        dealt = self.shingle_rows(docs).repartition("t").sortWithinPartitions("t")
-        shared = dealt.mapInArrow(_shared, "t long, key long, c int")
-        allowed = F.expr(f"n - (({self.percent} * n + 99) div 100)")
-        level = F.col("t").bitwiseAND(1)
-        rows = (shared.groupBy("key", level.alias("level")).agg(F.collect_set(F.struct("c", "t")).alias("s"))
-                .join(classes.select("key", "n", "low"), "key")
-                .withColumn("r", (allowed - F.when(F.col("level") == 0, F.col("low")).otherwise(F.col("n")) + F.size("s") + 1).cast("int"))
-                .where("r > 0"))
+    def remaining(self, docs: DataFrame, classes: DataFrame) -> DataFrame:
+        """key, n of the classes with at most a unshared shingles (step 1)."""
+        shared = _dealt(self.shingle_rows(docs))
+        rows = (shared.groupBy("key", F.col("t").bitwiseAND(1).alias("level")).agg(F.count_distinct("t").alias("k"))
+                .join(classes.select("key", "n", "low"), "key"))
+        unshared = F.when(F.col("level") == 0, F.col("low")).otherwise(F.col("n")) - F.col("k")
+        return rows.where(unshared <= F.expr(self.a)).select("key", "n").distinct()
+
+    @property
+    def a(self) -> str:
+        return f"n - (({self.percent} * n + 99) div 100)"
+
+    @property
+    def b(self) -> str:
+        return f"n - ((2 * {self.percent} * n + {99 + self.percent}) div {100 + self.percent})"
+
+    def prefixes(self, whole: DataFrame) -> DataFrame:
+        """(key, n, u, rb, p1, p2, p3): the shared shingles that come first
+        under each order, a - u + 1 of them; the first rb = b - u + 1 are the
+        prefix against partners of n shingles or more (step 2)."""
+        size = F.expr("octet_length(h) div 8").cast("long")
+
+        def run(batches):
+            for b in batches:
+                for k, h in zip(b.column("key").to_pylist(), b.column("h")):
+                    t = np.frombuffer(h.as_py(), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.full(len(t), k, np.int64))], ["t", "key"])
+
+        shared = _dealt(whole.select("key", "h").mapInArrow(run, "t long, key long"))
+        rows = (shared.groupBy("key").agg(F.collect_list(F.struct("c", "t")).alias("s"))
+                .join(whole.select("key", size.alias("n")), "key").withColumn("u", F.col("n") - F.size("s"))
+                .withColumn("ra", F.expr(f"cast({self.a} - u + 1 as int)")).withColumn("rb", F.expr(f"cast({self.b} - u + 1 as int)"))
+                .where("ra > 0"))
 
         def first(order):
-            return F.slice(F.array_sort(F.transform("s", order)), F.lit(1), F.col("r"))["t"]
+            return F.slice(F.array_sort(F.transform("s", order)), F.lit(1), F.col("ra"))["t"]
 
-        rows = rows.select("key", "n", first(lambda x: F.struct(x["c"], F.xxhash64(x["t"]), x["t"].alias("t"))).alias("p1"),
+        return rows.select("key", "n", "u", F.greatest("rb", F.lit(0)).alias("rb"),
+                           first(lambda x: F.struct(x["c"], F.xxhash64(x["t"]), x["t"].alias("t"))).alias("p1"),
                            first(lambda x: F.struct(F.xxhash64(x["t"], F.lit(2)), x["t"].alias("t"))).alias("p2"),
                            first(lambda x: F.struct(F.xxhash64(x["t"], F.lit(3)), x["t"].alias("t"))).alias("p3"))
-        return rows.groupBy("key").agg(F.first("n").alias("n"), *(F.flatten(F.collect_list(p)).alias(p) for p in ("p1", "p2", "p3")))
+
+    def room(self, x: str, y: str) -> str:
+        """Sizes and unshared shingles leave room for the overlap (SQL)."""
+        o = f"(({self.percent} * (n_{x} + n_{y}) + {99 + self.percent}) div {100 + self.percent})"
+        return f"u_{x} + {o} <= n_{x} and u_{y} + {o} <= n_{y}"
 
     def filtered(self, pairs: DataFrame, pre: DataFrame) -> DataFrame:
-        """Distinct (a, b) whose sizes and further orders allow a link."""
-        side = lambda x: pre.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("p2").alias(f"p2_{x}"), F.col("p3").alias(f"p3_{x}"))
-        return (pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-                .where(F.expr(f"100 * least(n_a, n_b) >= {self.percent} * greatest(n_a, n_b)"))
+        """Distinct (a, b) that share a prefix shingle under the further orders too."""
+        side = lambda x: pre.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("u").alias(f"u_{x}"),
+                                    F.col("p2").alias(f"p2_{x}"), F.col("p3").alias(f"p3_{x}"))
+        return (pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(self.room("a", "b"))
                 .where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b"))
 
     def verified(self, pairs: DataFrame, whole: DataFrame) -> DataFrame:
@@ -213,20 +242,24 @@ class Jaccard:
 
     def links(self, docs: DataFrame, classes: DataFrame) -> DataFrame:
         """(a, b): links that connect exactly the linked classes."""
-        pre = C.saved(self.prefixes(docs, classes), "jaccard-prefixes")
-        rows = pre.select(F.explode("p1").alias("t"), "key")
-        centre = rows.groupBy("t").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a < z").select("t", "a")
-        stars = rows.join(centre, "t").where("key > a").select("a", F.col("key").alias("b"))
-        whole = C.saved(self.whole_sets(docs, pre.select("key")), "jaccard-sets")
+        left = C.saved(self.remaining(docs, classes), "jaccard-remaining")
+        whole = C.saved(self.whole_sets(docs, left.select("key")), "jaccard-sets")
+        pre = C.saved(self.prefixes(whole), "jaccard-prefixes")
+        rows = C.saved(pre.select("key", "n", "u", "rb", F.posexplode("p1").alias("at", "t")), "jaccard-rows")
+        centre = rows.groupBy("t").agg(F.min(F.struct("u", "key")).alias("c"), F.min("key").alias("x"), F.max("key").alias("z"))
+        centre = centre.where("x < z").select("t", F.col("c.key").alias("c"))
+        stars = rows.join(centre, "t").where("key <> c").select(F.least("key", "c").alias("a"), F.greatest("key", "c").alias("b"))
         one = C.saved(self.filtered(stars, pre), "jaccard-stars")
         linked = C.saved(self.verified(one, whole), "jaccard-links")
         label = components(linked)
         known = rows.join(label.select(F.col("v").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         mixed = known.groupBy("t").agg(F.min("label").alias("x"), F.max("label").alias("z")).where("x < z").select("t")
         open_ = C.saved(known.join(mixed, "t", "left_semi"), "jaccard-open")
-        left = open_.select("t", F.col("key").alias("a"), F.col("label").alias("la"))
-        right = open_.select("t", F.col("key").alias("b"), F.col("label").alias("lb"))
-        cross = left.join(right, "t").where("a < b and la <> lb").select("a", "b").distinct().join(one, ["a", "b"], "left_anti")
+        side = lambda x: open_.select("t", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "u", "rb", "at", "label")))
+        cross = (side("x").where("at_x < rb_x").join(side("y"), "t")
+                 .where(f"label_x <> label_y and (n_x < n_y or n_x = n_y and key_x < key_y and at_y < rb_y) and {self.room('x', 'y')}")
+                 .select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b"))
+                 .distinct().join(one, ["a", "b"], "left_anti"))
         more = self.verified(C.saved(self.filtered(cross, pre), "jaccard-cross"), whole)
         return C.saved(linked.union(more), "jaccard-links")
 
@@ -265,6 +298,11 @@ class Jaccard:
             kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_key"]).select(*columns))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """(t, key, c): rows (t, key) of shingles that two classes have."""
+    return rows.repartition("t").sortWithinPartitions("t").mapInArrow(_shared, "t long, key long, c int")
+
+
 def _shared(batches):
     """From rows sorted by t: those whose t has two different keys, with the
     number of its rows, which stops at COUNTED.  Holds one group's rows up to

@@ -13,7 +13,19 @@ EDGE = ["", "*", "0", "::", "0.0.0.0", "8.8.8.8", "10.1.2.3", "100.64.0.1", "192
         "01.2.3.4", "1.2.3", "256.1.1.1", "255.255.255.255", "224.0.0.1", "240.0.0.1", "::1",
         "fe80::1%eth0", "::ffff:8.8.8.8", "2001:db8::1", "2001::1", "2001:1::1", "2001:1::3", "2002::1",
         "2a00:1450::200e", "ff02::1", "fec0::1", "fc00::1", "1::2::3", ":1:2", "gggg::1", "not-an-ip",
-        "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:9", "::1.2.3.4", "64:ff9b:1::1", "100::1"]
+        "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:9", "::1.2.3.4", "64:ff9b:1::1", "100::1", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8",
+        "1:2:3:4:5:6:7:8::", "1::2:3:4:5:6:7:8", ":::", "1:::2", "::%", "::1%a%b", "fe80::%1", "::ffff:10.0.0.1", "::ffff:1.2.3.256",
+        "::ffff:01.2.3.4", "1.2.3.4::", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "12345::", "::g", ":", "1:", ":1", "::1:", "FE80::A",
+        "2001:4:112::9", "2001:4:113::9", "2001:2f:ffff::1", "2001:200::1", "fdff::1", "fbff::1", "fe7f::1", "febf::1", "1 ::2", "2606:4700::1111"]
+
+#: Verdicts as literals, for the rules' sake independent of any library.
+KNOWN = {"10.1.2.3": True, "8.8.8.8": False, "192.0.0.9": False, "::1": True, "fe80::1%eth0": True, "2001:db8::1": True,
+         "2606:4700::1111": False, "fc00::1": True, "2001:1::1": False, "not-an-ip": False, "1::2::3": False, "*": True}
+
+
+def test_known_verdicts(spark):
+    df = spark.createDataFrame([(a,) for a in KNOWN], "a string")
+    assert {r.a: r.p for r in with_private_ip(df, "a", "p").collect()} == KNOWN
 
 
 def _check(spark, addrs):

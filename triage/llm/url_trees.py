@@ -91,10 +91,10 @@ def _bin(feature: str, cuts: list[float]) -> Column:
     return sum((F.when(F.col(feature) > c, 1).otherwise(0) for c in cuts), F.lit(0))
 
 
-def _leaf_sums(data: DataFrame, margin: Column, node: Column):
+def _leaf_sums(data: DataFrame, node: Column):
     """Sums of gradients and curvatures by node, feature and bin; bounded by
-    2^DEPTH x features x BINS rows."""
-    p = 1 / (1 + F.exp(-margin))
+    2^DEPTH x features x BINS rows.  ``margin`` holds the trees so far."""
+    p = 1 / (1 + F.exp(-F.col("margin")))
     cells = F.explode(F.array(*(F.struct(F.lit(k).alias("f"), F.col(f"b{k}").alias("b")) for k in range(len(FEATURES)))))
     rows = data.withColumn("_p", p).withColumn("_node", node)
     return (rows.select("_node", cells.alias("x"), (F.col("pos") - F.col("_p") * F.col("n")).alias("g"), (F.col("_p") * (1 - F.col("_p")) * F.col("n")).alias("h"))
@@ -177,13 +177,14 @@ class UrlTrees:
         edges = rows.agg(*(F.percentile_approx(f, at, 5000).alias(f) for f in FEATURES)).first()
         self.cuts = [sorted(set(edges[f])) for f in FEATURES]
         bins = self.with_bins(rows).groupBy(*(f"b{k}" for k in range(len(FEATURES)))).agg(F.count("*").alias("n"), F.sum("_y").alias("pos"))
-        data = saved(bins, "url-bins")
         self.base = math.log(self.prior / (1 - self.prior))
+        data = saved(bins.withColumn("margin", F.lit(self.base)), "url-bins")
         for _ in range(TREES):
             levels: list[dict] = []
             for _ in range(DEPTH):
-                levels.append(_splits(_leaf_sums(data, self.margin(), _descend(levels))))
+                levels.append(_splits(_leaf_sums(data, _descend(levels))))
             self.trees.append(levels)
+            data = saved(data.withColumn("margin", F.col("margin") + _value(levels)), "url-bins")
 
     def with_statistics(self, df: DataFrame) -> DataFrame:
         for table, key, name in zip(self.statistics, ("_tail", "_segment"), ("tail", "segment")):

@@ -47,9 +47,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         for b in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             texts = b.column("text").to_pylist()
-            table.learn(texts)
-            for i, t in enumerate(texts):
-                whole = table.encode(t) + end
+            for i, ids_of in enumerate(table.encoded(texts)):
+                whole = ids_of + end
                 for p in range(0, len(whole), 4 * capacity):
                     part = whole[p:p + 4 * capacity]
                     row.append(i)

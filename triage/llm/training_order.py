@@ -71,9 +71,8 @@ def sequences(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
         for b in batches:
             records = []
             texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
-            table.learn(texts)
-            for i, t in enumerate(texts):
-                whole = np.frombuffer(table.encode(t) + end, "<u4").astype("<u2")
+            for i, ids_of in enumerate(table.encoded(texts)):
+                whole = np.frombuffer(ids_of + end, "<u4").astype("<u2")
                 head = np.array([ids[i] or 0], "<i8").tobytes() + np.array([ids[i] is None], "<u2").tobytes()
                 for p in range(0, len(whole), SEQUENCE):
                     part = whole[p:p + SEQUENCE]

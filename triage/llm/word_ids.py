@@ -9,11 +9,13 @@ single calls.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 600_000
 TOGETHER = 10_000
+CHARS_AT_ONCE = 1_500_000
 LONGEST = 64
 #: A word of ASCII or Latin-1 letters (for which neither normalisation nor lower-casing changes the number
 #: of letters), then ASCII marks: its letters and its marks are pre-tokens of their own.
@@ -35,16 +37,18 @@ class WordIds(dict):
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, texts: list[str | None]) -> None:
-        """Encodes the plain words of the texts that are not known yet."""
-        words: set[str] = set()
-        for t in texts:
-            if t:
-                words.update(t.replace("\n", " ").split(" "))
-        words -= self.keys()
-        new = list({m[1].lower() for m in map(PLAIN.fullmatch, words) if m} - self.keys())
-        if len(self) + len(new) > CACHE_ENTRIES:
+    def learn(self, words: set[str]) -> None:
+        """Encodes the plain words among those that are not known yet."""
+        plain, new = [], set()
+        for m in filter(None, map(PLAIN.fullmatch, words - self.keys())):
+            letters = m[1].lower()
+            plain.append((m[0], letters, m[2]))
+            if letters not in self:
+                new.add(letters)
+        if len(self) + len(new) + len(plain) > CACHE_ENTRIES:
             self.clear()
+            new.update(letters for _, letters, _ in plain)
+        new = list(new)
         for at in range(0, len(new), TOGETHER):
             part = new[at:at + TOGETHER]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
@@ -54,6 +58,24 @@ class WordIds(dict):
                 if len(w) <= LONGEST:
                     self[w] = whole[lo:hi]
                 lo = hi
+        for word, letters, marks in plain:
+            if word not in self and len(word) <= LONGEST:
+                self[word] = self[letters] + (self[marks] if marks else b"")
+
+    def encoded(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text.  Texts are split a few at a time, which bounds the
+        words that are held; texts with special strings go to the tokenizer whole."""
+        at = 0
+        while at < len(texts):
+            to, held = at, 0
+            while to < len(texts) and (to == at or held < CHARS_AT_ONCE):
+                held += len(texts[to] or "")
+                to += 1
+            split = [None if not t or any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in texts[at:to]]
+            self.learn(set().union(*filter(None, split)))
+            for t, words in zip(texts[at:to], split):
+                yield b"".join(map(self.__getitem__, words)) if words else self.ids(t) if t else b""
+            at = to
 
     def __missing__(self, word: str) -> bytes:
         m = PLAIN.fullmatch(word)
@@ -67,14 +89,6 @@ class WordIds(dict):
             self[word] = out
         return out
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text; texts with special strings go to the tokenizer whole."""
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return self.ids(text)
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
-
 
 def word_ids(path: str) -> WordIds:
     if path not in _tables:

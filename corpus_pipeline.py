@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triage.llm import decontam, jaccard, langid, packing, quality
-from triage.llm.common import saved, table
+from triage.llm.common import bounded_batches, saved, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose likeliest language has less probability than this is rejected.
@@ -24,6 +24,7 @@ NEAR_DUPLICATE_WORDS, NEAR_DUPLICATE_PERCENT = 5, 80
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and texts of no clear language."""
+    bounded_batches(spark)
     docs = docs.select(*COLUMNS)
     judged = langid.predict(docs, langid.train(docs), COLUMNS)
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*COLUMNS)
@@ -31,23 +32,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that fail the base rules or lie far from their language and source."""
+    bounded_batches(spark)
     return quality.judged(docs.select(*COLUMNS), COLUMNS, keep_text=True).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of linked ones."""
+    bounded_batches(spark)
     join = jaccard.Jaccard(NEAR_DUPLICATE_WORDS, NEAR_DUPLICATE_PERCENT)
     return join.representatives(docs.select(*COLUMNS), COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
+    bounded_batches(spark)
     found = decontam.decontaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), COLUMNS, count_words=False)
     return found.where(F.size("spans") == 0).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents with their place in a sequence."""
+    bounded_batches(spark)
     return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 

@@ -15,11 +15,19 @@ MIX1, MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
 #: Texts are worked through in slices of about so many bytes.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in batches of BATCH_BYTES: ten thousand rows
+    (Spark's own bound) can be any amount of memory."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

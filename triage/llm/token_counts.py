@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS = 2_000
 TABLE_ENTRIES = 65_536
 ENTRY_CHARS = 64
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 MARK = "▁"
 #: A pre-token: a line break and what follows it, or a run of spaces and what follows it.
 UNITS = re.compile(r"\n[^ \n]*| +[^ \n]*")

@@ -3,16 +3,20 @@ with the verdicts of Python 3.13's `ipaddress`, as native Column expressions.
 
 IPv4 is parsed with a strict dotted-quad regex (no leading zeros), turned
 into a BIGINT and tested against the ranges below, all in generated code.
-IPv6 literals (values with ':') are split into their eight groups and tested
-against their networks group by group.
+IPv6 literals (rows containing ':') are classified by Python's ipaddress in
+an Arrow-batched pandas UDF: its validity rules (zone ids, embedded IPv4,
+'::' placement) and reserved/private tables are the reference semantics.
 """
 
 from __future__ import annotations
 
+import ipaddress
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from triage.functions.memo import per_context
 from triage.rules import PRIVATE_LITERAL_ADDRS
 
 # FIXED VALUES: IPv4 networks for which Python 3.13 reports
@@ -65,111 +69,47 @@ def _v4_private(n: Column) -> Column:
     return cond & ~n.isin(exc)
 
 
-# FIXED VALUES: IPv6 networks that are private or reserved or link-local, and
-# the parts of them that are neither (first hextets, prefix).
-IPV6_PRIVATE_NETS = [
-    ("0:0:0:0:0:0:0:1", 128),
-    ("0:0:0:0:0:0:0:0", 128),
-    ("64:ff9b:1:0:0:0:0:0", 48),
-    ("100:0:0:0:0:0:0:0", 64),
-    ("2001:0:0:0:0:0:0:0", 23),
-    ("2001:db8:0:0:0:0:0:0", 32),
-    ("2002:0:0:0:0:0:0:0", 16),
-    ("fc00:0:0:0:0:0:0:0", 7),
-    ("fe80:0:0:0:0:0:0:0", 10),
-]
-IPV6_PRIVATE_EXCEPTIONS = [
-    ("2001:1:0:0:0:0:0:1", 128),
-    ("2001:1:0:0:0:0:0:2", 128),
-    ("2001:3:0:0:0:0:0:0", 32),
-    ("2001:4:112:0:0:0:0:0", 48),
-    ("2001:20:0:0:0:0:0:0", 28),
-    ("2001:30:0:0:0:0:0:0", 28),
-]
-IPV6_RESERVED_NETS = [
-    ("0:0:0:0:0:0:0:0", 8),
-    ("100:0:0:0:0:0:0:0", 8),
-    ("200:0:0:0:0:0:0:0", 7),
-    ("400:0:0:0:0:0:0:0", 6),
-    ("800:0:0:0:0:0:0:0", 5),
-    ("1000:0:0:0:0:0:0:0", 4),
-    ("4000:0:0:0:0:0:0:0", 3),
-    ("6000:0:0:0:0:0:0:0", 3),
-    ("8000:0:0:0:0:0:0:0", 3),
-    ("a000:0:0:0:0:0:0:0", 3),
-    ("c000:0:0:0:0:0:0:0", 3),
-    ("e000:0:0:0:0:0:0:0", 4),
-    ("f000:0:0:0:0:0:0:0", 5),
-    ("f800:0:0:0:0:0:0:0", 6),
-    ("fe00:0:0:0:0:0:0:0", 9),
-]
+def _v6_batch(addrs: pd.Series) -> pd.Series:
+    """Verdict for IPv6-looking strings with Python's ipaddress (NULL in ->
+    NULL out); each distinct value in a batch is classified once."""
+    seen: dict[str, bool] = {}
+
+    def one(a):
+        if a is None:
+            return None
+        if a not in seen:
+            try:
+                ip = ipaddress.ip_address(a)
+                seen[a] = bool(ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved)
+            except ValueError:
+                seen[a] = False
+        return seen[a]
+
+    return addrs.map(one).astype("boolean")
+
+
+_UDF: dict = {}
 
 
-def _within(h: str, nets: list[tuple[str, int]]) -> str:
-    """SQL: do the eight hextets of column ``h`` lie in one of the networks?"""
-    out = []
-    for start, prefix in nets:
-        first = [int(x, 16) for x in start.split(":")]
-        cond = []
-        for i in range(-(-prefix // 16)):
-            step = 1 << (16 - min(16, prefix - 16 * i))
-            cond.append(f"{h}[{i}] between {first[i]} and {first[i] + step - 1}")
-        out.append("(" + " and ".join(cond) + ")")
-    return "(" + " or ".join(out) + ")"
-
-
-@per_context
-def _hextet_stages(addr: str) -> list[dict]:
-    """Staged columns up to ``_ip_v6h``: the eight numbers of an IPv6 literal,
-    NULL if it is none: one '::' at most, which stands for a group or more,
-    one to four hex digits a group, a dotted quad as the last two groups, a
-    zone id behind '%'.  (In one expression every step would repeat all
-    earlier ones.)"""
-    c = F.col
-    a, zone = c("_ip_a"), F.instr(c("_ip_raw"), "%")
-    groups = lambda part: F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
-    n = c("_ip_quad")
-    quad = F.concat(F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(0xFFFF))))
-    fill = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size("_ip_l") - F.size("_ip_r")))
-    return [
-        {"_ip_raw": F.when(c(addr).contains(":") & ~c(addr).rlike("%$|%.*%"), c(addr))},
-        {"_ip_a": F.when(zone > 0, F.substring(c("_ip_raw"), F.lit(1), zone - 1)).otherwise(c("_ip_raw"))},
-        {"_ip_tail": F.regexp_extract(a, r"[^:]*$", 0)},
-        {"_ip_quad": F.when(c("_ip_tail").contains("."), ipv4_int(c("_ip_tail")))},
-        {"_ip_a": F.when(c("_ip_tail").contains("."), F.concat(F.substring(a, F.lit(1), F.length(a) - F.length("_ip_tail")), quad)).otherwise(a)},
-        {"_ip_gap": F.instr(a, "::")},
-        {"_ip_l": groups(F.substring(a, F.lit(1), c("_ip_gap") - 1)), "_ip_r": groups(F.substring(a, c("_ip_gap") + 2, F.length(a)))},
-        {"_ip_w": F.when(c("_ip_gap") == 0, F.split(a, ":")).when(F.size("_ip_l") + F.size("_ip_r") <= 7, F.concat("_ip_l", fill, "_ip_r"))},
-        # groups of four hex digits at most, and no second '::' or loose ':'
-        {"_ip_v6h": F.when(F.array_join("_ip_w", ":").rlike("^[0-9a-fA-F]{1,4}(:[0-9a-fA-F]{1,4}){7}$"),
-                           F.transform("_ip_w", lambda x: F.conv(x, 16, 10).cast("int")))},
-    ]
-
-
-@per_context
-def _v6_private(h: str) -> Column:
-    mapped = F.expr(f"array_max(slice({h}, 1, 5)) = 0 and {h}[5] = 65535")
-    v4 = F.expr(f"cast({h}[6] as bigint) * 65536 + {h}[7]")
-    reserved = _within(h, IPV6_RESERVED_NETS)
-    own = f"{_within(h, IPV6_PRIVATE_NETS)} and not {_within(h, IPV6_PRIVATE_EXCEPTIONS)} or {reserved} or {h}[0] between 65152 and 65215"
-    # a mapped address lies in the reserved ::/8, whatever its IPv4 address is
-    return F.when(mapped, _v4_private(v4) | F.expr(reserved)).otherwise(F.expr(own))
+def ipv6_private(addr: Column) -> Column:
+    """Arrow-batched UDF over the rows that contain ':' (others pass NULL)."""
+    if "v6" not in _UDF:
+        _UDF["v6"] = pandas_udf(_v6_batch, "boolean")
+    return _UDF["v6"](F.when(addr.contains(":"), addr))
 
 
 def with_private_ip(df: DataFrame, addr: str, out: str) -> DataFrame:
     """Add boolean ``out``: is the (already stripped) address private?
 
-    Literal wildcards are private; IPv4 and IPv6 literals are classified by
-    the networks above; anything else is *not* private (so it surfaces for
-    review).
+    Literal wildcards are private; dotted quads are classified natively;
+    IPv6 literals go to ``ipv6_private``; anything else is *not* private
+    (so it surfaces for review).
     """
     a = F.col(addr)
-    s = df.withColumn("_ip_v4n", ipv4_int(a))
-    for stage in _hextet_stages(addr):
-        s = s.withColumns(stage)
-    v4, v6 = F.col("_ip_v4n"), _v6_private("_ip_v6h")
+    s = df.withColumns({"_ip_v4n": ipv4_int(a), "_ip_v6": ipv6_private(a)})
+    v4, v6 = F.col("_ip_v4n"), F.col("_ip_v6")
     verdict = (F.when(a.isin(PRIVATE_LITERAL_ADDRS), F.lit(True))
                 .when(v4.isNotNull(), _v4_private(v4))
                 .when(a.contains(":"), F.coalesce(v6, F.lit(False)))
                 .otherwise(F.lit(False)))
-    return s.withColumn(out, verdict).drop("_ip_v4n", "_ip_raw", "_ip_a", "_ip_tail", "_ip_quad", "_ip_gap", "_ip_l", "_ip_r", "_ip_w", "_ip_v6h")
+    return s.withColumn(out, verdict).drop("_ip_v4n", "_ip_v6")

@@ -36,7 +36,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     what later jobs read stays the same if executors are lost."""
     spark = df.sparkSession
     path = shared_scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

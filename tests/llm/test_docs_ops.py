@@ -64,6 +64,23 @@ def test_concentration_finds_the_clean_centre(spark):
     assert np.abs(np.array(est.centre) - 1).max() < 0.05
 
 
+@pytest.mark.parametrize("share", [0.27, 0.33])
+@pytest.mark.parametrize("spread", [0.02, 0.06])
+def test_copies_of_a_third_are_rejected(spark, share, spread):
+    rng, n = np.random.default_rng(2), 3000
+    x = rng.normal(0.5, spread, (n, 5))
+    junk = int(share * n)
+    x[:junk] = 0.5 + 5 * np.sqrt(np.square(quality.FLOORS) + spread ** 2)
+    rows = spark.createDataFrame([("g", r.tolist()) for r in x], "grp string, _x array<double>")
+    e = quality.estimates(rows).collect()[0]
+    inv = np.zeros((5, 5))
+    for v, (i, j) in zip(e.precision, quality.PAIRS):
+        inv[i, j] += v / 2
+        inv[j, i] += v / 2
+    far = np.einsum("ij,jk,ik->i", x - e.centre, inv, x - e.centre) > quality.CUT
+    assert far[:junk].all() and far[junk:].mean() < 0.01
+
+
 def test_chi2_quantiles():
     assert abs(quality.chi2_quantile(0.95, 1) - 3.841459) < 1e-4
     assert abs(quality.chi2_quantile(0.99, 5) - 15.08627) < 1e-4

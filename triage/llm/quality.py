@@ -2,16 +2,25 @@
 
 Each document becomes a vector of transformed statistics (``FEATURES``).  Per
 language and source a minimum-covariance-determinant estimate of centre and
-spread is found by concentration steps: from coordinate-wise medians and
-absolute deviations, keep the ``CORE`` share of rows with the smallest
-Mahalanobis distances, take their mean and covariance, and repeat ``STEPS``
-times.  A document is rejected if its squared distance under the final
-estimate exceeds the chi-square quantile ``TAIL``.
-
-A step is one aggregate over the statistics table: rows fall into bins of
-their distance, each bin holds counts and sums (combined before the shuffle,
-so a hot source is no single task's load), and the bins that make up the core
-give the next estimate.  The estimates use all documents.
+spread is found by concentration steps: keep the ``CORE`` share of rows with
+the smallest Mahalanobis distances, take their mean and covariance, and repeat
+until the determinant stops falling.  Three starts, all at the coordinate-wise
+medians, take the spread from the median absolute deviations, from the
+correlations of the spatial signs, and from ``FLOORS`` alone; the estimate of
+the smallest determinant is kept, and the mean and covariance of the rows
+inside its chi-square quantile ``REWEIGHT`` are the final estimate.  A document
+is rejected if its squared distance exceeds the chi-square quantile ``TAIL``.
+
+A step is one aggregate over the statistics table for all starts that still
+fall: rows fall into bins of their distance, each bin holds counts and sums
+(combined before the shuffle, so a hot source is no single task's load), and
+the bins that make up the core give the next estimate, the last of them
+weighted by the share that is still needed.  The estimates use all documents.
+
+Up to half of a group may be junk far away.  Copies of one row have no spread
+of their own: if they are over a quarter and stand near (some ten standard
+deviations where the good rows' spread is well above ``FLOORS``), a core around
+them can have the smaller determinant.
 
 * ``FLOORS`` is the least spread of each statistic that is taken as real; its
   square is added to the variances.  Without it a statistic that is nearly
@@ -40,8 +49,10 @@ from triage.llm import common as C
 
 FEATURES = ["log_word_chars", "sqrt_symbols", "dup_lines", "repeat_words", "upper_share"]
 FLOORS = [0.08, 0.08, 0.10, 0.10, 0.025]
-CORE = 0.75
-STEPS = 4
+CORE = 0.5
+REWEIGHT = 0.975
+#: A step goes on if the logarithm of the determinant fell by more.
+FALL = 1e-3
 TAIL = 0.9999
 MIN_GROUP = 100
 MIN_FIT = 30
@@ -163,8 +174,14 @@ def chi2_quantile(q: float, p: int) -> float:
 
 P = len(FEATURES)
 CUT = chi2_quantile(TAIL, P)
-#: Makes the covariance of the core consistent for normal data.
-CONSISTENCY = CORE / chi2_cdf(chi2_quantile(CORE, P), P + 2)
+INSIDE = chi2_quantile(REWEIGHT, P)
+
+
+def consistency(share: float) -> float:
+    """Makes the covariance of the nearest ``share`` of rows consistent for normal data."""
+    return share / chi2_cdf(chi2_quantile(share, P), P + 2)
+
+
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
@@ -175,27 +192,60 @@ def _distance(x: str, centre: str, precision: str):
     return sum((F.col(precision)[k] * diff[i] * diff[j] for k, (i, j) in enumerate(PAIRS)), F.lit(0.0))
 
 
-def _precision(cov: np.ndarray) -> list[float]:
-    inv = np.linalg.inv(cov + np.diag(np.square(FLOORS)))
-    return [float(inv[i, j]) * (1 + (i != j)) for i, j in PAIRS]
+ESTIMATE = "grp string, start int, centre array<double>, precision array<double>, log_det double"
+
+
+def _estimate(grp, start: int, centre: np.ndarray, cov: np.ndarray) -> tuple:
+    """A row of ESTIMATE; the floors are added to the variances."""
+    cov = cov + np.diag(np.square(FLOORS))
+    inv = np.linalg.inv(cov)
+    return grp, start, centre.tolist(), [float(inv[i, j]) * (1 + (i != j)) for i, j in PAIRS], float(np.linalg.slogdet(cov)[1])
+
+
+def _symmetric(upper) -> np.ndarray:
+    out = np.zeros((P, P))
+    for k, (i, j) in enumerate(PAIRS):
+        out[i, j] = out[j, i] = upper[k]
+    return out
+
+
+def _estimates_of(share: float):
+    """Sums of the nearest ``share`` of rows -> ESTIMATE."""
+    factor = consistency(share)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                m = np.asarray(r.s1) / r.n
+                out.append(_estimate(r.grp, r.start, m, (_symmetric(np.asarray(r.s2) / r.n) - np.outer(m, m)) * factor))
+            yield pd.DataFrame(out, columns=["grp", "start", "centre", "precision", "log_det"])
+
+    return run
 
 
-def _estimate(batches):
-    """Sums of a core -> centre and precision."""
+def _starts(batches):
+    """Medians, scales and sums of the products of spatial signs -> ESTIMATE of each start."""
     for b in batches:
         out = []
         for r in b.itertuples(index=False):
-            m = np.asarray(r.s1) / r.n
-            cov = np.zeros((P, P))
-            for k, (i, j) in enumerate(PAIRS):
-                cov[i, j] = cov[j, i] = r.s2[k] / r.n - m[i] * m[j]
-            out.append((r.grp, m.tolist(), _precision(cov * CONSISTENCY)))
-        yield pd.DataFrame(out, columns=["grp", "centre", "precision"])
+            m, scale, signs = np.asarray(r.centre), np.asarray(r.scale), _symmetric(r.signs)
+            size = np.sqrt(np.diag(signs)) + 1e-9
+            signs = signs / np.outer(size, size)
+            np.fill_diagonal(signs, 1.0)
+            out += [_estimate(r.grp, 0, m, np.diag(np.square(scale))), _estimate(r.grp, 1, m, signs * np.outer(scale, scale)),
+                    _estimate(r.grp, 2, m, np.zeros((P, P)))]
+        yield pd.DataFrame(out, columns=["grp", "start", "centre", "precision", "log_det"])
+
+
+def _sums():
+    return (F.array(*(F.sum(F.col("_x")[i]) for i in range(P))).alias("s1"),
+            F.array(*(F.sum(F.col("_x")[i] * F.col("_x")[j]) for i, j in PAIRS)).alias("s2"))
 
 
 def _with(rows: DataFrame, est: DataFrame) -> DataFrame:
     """Rows with their group's estimate.  The estimates have one row per
-    group; they are broadcast only if they were counted to be few."""
+    group and start; they are broadcast only if they were counted to be few."""
     est = F.broadcast(est) if est.count() <= 20_000 else est
     return rows.join(est, "grp", "left")
 
@@ -216,37 +266,58 @@ def grouped(stats: DataFrame, lang: str, source: str) -> DataFrame:
     return keyed.join(names, "_own", "left").withColumn("grp", F.coalesce("grp", F.lit("*"))).drop("_own", "_lang")
 
 
+def starts(rows: DataFrame) -> DataFrame:
+    """grp, _x of eligible rows -> ESTIMATE, three rows a group."""
+    medians = lambda x: F.array(*(F.percentile_approx(x(i), 0.5, 2000) for i in range(P)))
+    centres = (rows.groupBy("grp").agg(F.count("*").alias("n"), medians(lambda i: F.col("_x")[i]).alias("centre"))
+               .where(F.col("n") >= MIN_FIT).drop("n"))
+    centres = C.saved(centres, "quality-medians")
+    scales = (_with(rows, centres).where("centre is not null").groupBy("grp")
+              .agg(medians(lambda i: F.abs(F.col("_x")[i] - F.col("centre")[i])).alias("mad"), F.first("centre").alias("centre"))
+              .select("grp", "centre", F.array(*(1.4826 * F.col("mad")[i] for i in range(P))).alias("scale")))
+    scales = C.saved(scales, "quality-scales")
+    z = [(F.col("_x")[i] - F.col("centre")[i]) / F.sqrt(F.col("scale")[i] * F.col("scale")[i] + FLOORS[i] ** 2) for i in range(P)]
+    signs = (_with(rows, scales).where("centre is not null").select("grp", "centre", "scale", F.array(*z).alias("_z"))
+             .withColumn("_l", sum((F.col("_z")[i] * F.col("_z")[i] for i in range(P)), F.lit(0.0))).where("_l > 0")
+             .groupBy("grp").agg(F.array(*(F.sum(F.col("_z")[i] * F.col("_z")[j] / F.col("_l")) for i, j in PAIRS)).alias("signs")))
+    none = F.array(*(F.lit(0.0) for _ in PAIRS))
+    given = scales.join(signs, "grp", "left").withColumn("signs", F.coalesce("signs", none))
+    return C.saved(given.mapInPandas(_starts, ESTIMATE), "quality-starts")
+
+
+def concentrated(rows: DataFrame, est: DataFrame) -> DataFrame:
+    """One concentration step from each estimate."""
+    near = _with(rows, est).where("centre is not null").withColumn("_d", _distance("_x", "centre", "precision"))
+    # bins of 1/16 octave of the squared distance; the core is the nearest bins that together hold its share
+    bins = near.groupBy("grp", "start", F.floor(16 * F.log2(F.col("_d") + 1e-6)).alias("bin")).agg(F.count("*").alias("n"), *_sums())
+    w = Window.partitionBy("grp", "start").orderBy("bin")
+    need = CORE * F.col("all") - F.col("before")
+    core = (bins.withColumn("before", F.sum("n").over(w) - F.col("n"))
+            .withColumn("all", F.sum("n").over(Window.partitionBy("grp", "start")))
+            .where(need > 0).withColumn("_w", F.least(need / F.col("n"), F.lit(1.0)))
+            .groupBy("grp", "start").agg(F.sum(F.col("_w") * F.col("n")).alias("n"),
+                                         F.array(*(F.sum(F.col("_w") * F.col("s1")[i]) for i in range(P))).alias("s1"),
+                                         F.array(*(F.sum(F.col("_w") * F.col("s2")[k]) for k in range(len(PAIRS)))).alias("s2")))
+    return core.mapInPandas(_estimates_of(CORE), ESTIMATE)
+
+
 def estimates(rows: DataFrame) -> DataFrame:
     """grp, _x of eligible rows -> grp, centre, precision."""
-    start = rows.groupBy("grp").agg(F.count("*").alias("n"), *(
-        F.percentile_approx(F.col("_x")[i], [0.5, 0.16, 0.84], 2000).alias(f"q{i}") for i in range(P)))
-
-    def first(batches):
-        for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                q = np.array([getattr(r, f"q{i}") for i in range(P)])
-                out.append((r.grp, q[:, 0].tolist(), _precision(np.diag(np.square((q[:, 2] - q[:, 1]) / 2)))))
-            yield pd.DataFrame(out, columns=["grp", "centre", "precision"])
-
-    kinds = f"grp string, centre array<double>, precision array<double>"
-    est = C.saved(start.where(F.col("n") >= MIN_FIT).mapInPandas(first, kinds), "quality-start")
-    for step in range(STEPS):
-        near = _with(rows, est).where("centre is not null").withColumn("_d", _distance("_x", "centre", "precision"))
-        # bins of 1/16 octave of the squared distance; the core is the nearest bins that together hold its share
-        bins = near.groupBy("grp", F.floor(16 * F.log2(F.col("_d") + 1e-6)).alias("bin")).agg(
-            F.count("*").alias("n"),
-            F.array(*(F.sum(F.col("_x")[i]) for i in range(P))).alias("s1"),
-            F.array(*(F.sum(F.col("_x")[i] * F.col("_x")[j]) for i, j in PAIRS)).alias("s2"))
-        w = Window.partitionBy("grp").orderBy("bin")
-        core = (bins.withColumn("before", F.sum("n").over(w) - F.col("n"))
-                .withColumn("all", F.sum("n").over(Window.partitionBy("grp")))
-                .where(F.col("before") < CORE * F.col("all"))
-                .groupBy("grp").agg(F.sum("n").alias("n"),
-                                    F.array(*(F.sum(F.col("s1")[i]) for i in range(P))).alias("s1"),
-                                    F.array(*(F.sum(F.col("s2")[k]) for k in range(len(PAIRS)))).alias("s2")))
-        est = C.saved(core.mapInPandas(_estimate, kinds), f"quality-step{step}")
-    return est
+    est, best, step = C.saved(concentrated(rows, starts(rows)), "quality-step0"), None, 0
+    while True:   # ends: a determinant that goes on falls by FALL and has the floors below it
+        step += 1
+        new = C.saved(concentrated(rows, est).join(est.select("grp", "start", F.col("log_det").alias("_was")), ["grp", "start"]), f"quality-step{step}")
+        falls = F.col("log_det") < F.col("_was") - FALL
+        ended = est.join(new.where(~falls).select("grp", "start"), ["grp", "start"], "left_semi")
+        best = ended if best is None else best.unionByName(ended)
+        est = new.where(falls).drop("_was")
+        if est.isEmpty():
+            break
+    least = best.groupBy("grp").agg(F.min_by(F.struct("centre", "precision"), F.struct("log_det", "start")).alias("e"))
+    least = C.saved(least.select("grp", F.lit(0).alias("start"), "e.centre", "e.precision"), "quality-least")
+    inside = (_with(rows, least).where("centre is not null").where(_distance("_x", "centre", "precision") <= INSIDE)
+              .groupBy("grp", "start").agg(F.count("*").alias("n"), *_sums()))
+    return C.saved(inside.mapInPandas(_estimates_of(REWEIGHT), ESTIMATE).select("grp", "centre", "precision"), "quality-final")
 
 
 def judged(docs: DataFrame, carry: list[str], keep_text: bool = False) -> DataFrame:

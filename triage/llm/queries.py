@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from triage.llm import (decontam, jaccard, langid, merkle, packing, pitman_yor, quality,
+from triage.llm import (decontam, jaccard, langid, merkle, packing, periodic_runs, pitman_yor, quality,
                         token_counts, training_order, url_trees)
 from triage.llm.common import saved, table
 
@@ -64,6 +64,10 @@ def q_op10(spark, sf_dir):
     return url_trees.verdicts(table(spark, sf_dir, "pages"))
 
 
+def q_op12(spark, sf_dir):
+    return periodic_runs.digest(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), periodic_runs.planted))
+
+
 QUERIES = {
     "op1_merkle_audit": q_op1,
     "op2_pitman_yor": q_op2,
@@ -75,6 +79,7 @@ QUERIES = {
     "op8_packing": q_op8,
     "op9_training_order": q_op9,
     "op10_url_trees": q_op10,
+    "op12_periodic_runs": q_op12,
 }
 
 #: DuckDB SQL where SQL can express the result.

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from triage.llm import (decontam, jaccard, langid, merkle, packing, periodic_runs, pitman_yor, quality,
-                        token_counts, training_order, url_trees)
+                        token_alignment, token_counts, training_order, url_trees)
 from triage.llm.common import saved, table
 
 
@@ -68,6 +68,11 @@ def q_op12(spark, sf_dir):
     return periodic_runs.digest(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), periodic_runs.planted))
 
 
+def q_op13(spark, sf_dir):
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.alignment(table(spark, sf_dir, "documents"), a, b, keep_groups=False)
+
+
 QUERIES = {
     "op1_merkle_audit": q_op1,
     "op2_pitman_yor": q_op2,
@@ -80,6 +85,7 @@ QUERIES = {
     "op9_training_order": q_op9,
     "op10_url_trees": q_op10,
     "op12_periodic_runs": q_op12,
+    "op13_token_alignment": q_op13,
 }
 
 #: DuckDB SQL where SQL can express the result.

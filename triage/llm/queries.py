@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from triage.llm import (decontam, jaccard, langid, merkle, packing, periodic_runs, pitman_yor, quality,
-                        token_alignment, token_counts, training_order, url_trees)
+                        simhash, token_alignment, token_counts, training_order, url_trees)
 from triage.llm.common import saved, table
 
 
@@ -64,6 +64,10 @@ def q_op10(spark, sf_dir):
     return url_trees.verdicts(table(spark, sf_dir, "pages"))
 
 
+def q_op11(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def q_op12(spark, sf_dir):
     return periodic_runs.digest(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), periodic_runs.planted))
 
@@ -84,6 +88,7 @@ QUERIES = {
     "op8_packing": q_op8,
     "op9_training_order": q_op9,
     "op10_url_trees": q_op10,
+    "op11_simhash": q_op11,
     "op12_periodic_runs": q_op12,
     "op13_token_alignment": q_op13,
 }

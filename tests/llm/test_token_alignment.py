@@ -75,9 +75,9 @@ def test_alignment_by_bytes(which, table_pairs, request):
 def test_small_memo_changes_nothing(docs, monkeypatch):
     texts = [r.text for r in docs.limit(30).collect()]
     a, b = T.tokens(A), T.tokens(B)
-    want = T.align(texts, a, b, T.Memo(a, b))
+    want = T.align(texts, a, b, T.Windows(a, b))
     monkeypatch.setattr(T, "MEMO_ENTRIES", 5)
-    memo = T.Memo(a, b)
+    memo = T.Windows(a, b)
     got = T.align(texts, a, b, memo)
     assert len(memo.young) + len(memo.old) <= 10
     assert got[4] == want[4] and all((x == y).all() for x, y in zip(got[5], want[5]))
@@ -85,7 +85,7 @@ def test_small_memo_changes_nothing(docs, monkeypatch):
 
 def test_spelling_of_special_strings_and_marks():
     a, b = T.tokens(A), T.tokens(B)
-    n_a, n_b, *_ = T.align(["<|endoftext|> <s>", "▁ mark", "", "ok"], a, b, T.Memo(a, b))
+    n_a, n_b, *_ = T.align(["<|endoftext|> <s>", "▁ mark", "", "ok"], a, b, T.Windows(a, b))
     assert n_a[0] > 1 and n_b[0] > 1 and not n_a[1] and not n_b[1] and not n_a[2] and n_a[3]
 
 

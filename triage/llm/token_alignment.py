@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,8 @@ from triage.llm import common as C
 
 MEMO_ENTRIES = 150_000
 TABLE_PAIRS = 1_000_000
-#: Texts are tokenised a few at a time: about so many characters.
-CHARS_AT_ONCE = 400_000
+#: Texts are aligned a few at a time: about so many characters.
+CHARS_AT_ONCE = 1_000_000
 #: Pairs are added up in a task when so many are held.
 HELD_PAIRS = 4_000_000
 #: A pair is one long: A id above, B id in the lower 32 bits.
@@ -85,11 +86,16 @@ class Tokens:
         self.length = np.array([len(x) for x in self.bytes], np.int64)
         self.spaced = np.array([x[:1] == b" " for x in self.bytes])
 
-    def spell(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+        self.start = np.append(0, self.length.cumsum())
+        self.blob = np.frombuffer(b"".join(self.bytes), np.uint8)
+
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of a sequence of ids."""
+        return self.blob[_indices(self.start[ids], self.start[ids.astype(np.int64) + 1])]
 
 
 _tokens: dict[str, Tokens] = {}
+_windows: dict[tuple[str, str], "Windows"] = {}
 
 
 def tokens(path: str) -> Tokens:
@@ -98,44 +104,72 @@ def tokens(path: str) -> Tokens:
     return _tokens[path]
 
 
-def window_alignment(a: list[int], b: list[int], la: np.ndarray, lb: np.ndarray) -> tuple[str, int, np.ndarray]:
-    """(groups as text, their number, linked pairs) of a window of A ids and B
-    ids with the same bytes; la, lb: byte lengths by id."""
-    ea, eb = la[a].cumsum().tolist(), lb[b].cumsum().tolist()
-    groups, links, i, j, ga, gb = [], [], 0, 0, 0, 0
-    while i < len(a):
-        links.append(a[i] << SHIFT | b[j])
-        if ea[i] == eb[j]:
-            i, j = i + 1, j + 1
-            groups.append(",".join(map(str, a[ga:i])) + "|" + ",".join(map(str, b[gb:j])))
-            ga, gb = i, j
-        elif ea[i] < eb[j]:
-            i += 1
-        else:
-            j += 1
-    return ";".join(groups), len(groups), np.array(links, np.int64)
+def _indices(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """lo[0], ..., hi[0] - 1, lo[1], ..., hi[1] - 1, ..."""
+    n = hi - lo
+    return np.arange(int(n.sum())) + np.repeat(lo - (n.cumsum() - n), n)
 
 
-class Memo:
-    """Window (A ids, B ids) -> number of its alignment, in two generations."""
+class Windows:
+    """Alignments of windows (A ids, B ids): groups as text, their number, and
+    the linked pairs (8 bytes each), kept in a memo of two generations."""
 
     def __init__(self, a: Tokens, b: Tokens):
         self.a, self.b = a, b
-        self.young: dict[tuple[bytes, bytes], tuple[str, int, np.ndarray]] = {}
-        self.old: dict[tuple[bytes, bytes], tuple[str, int, np.ndarray]] = {}
-
-    def __call__(self, key: tuple[bytes, bytes]) -> tuple[str, int, np.ndarray]:
-        got = self.young.get(key)
-        if got is None:
-            got = self.old.get(key)
-            if got is None:
-                a, b = (np.frombuffer(x, np.uint32).tolist() for x in key)
-                got = window_alignment(a, b, self.a.length, self.b.length)
-            if len(key[0]) <= 256:
-                if len(self.young) >= MEMO_ENTRIES:
-                    self.old, self.young = self.young, {}
-                self.young[key] = got
-        return got
+        self.young: dict[bytes, tuple[str, int, bytes]] = {}
+        self.old: dict[bytes, tuple[str, int, bytes]] = {}
+        # an id's text inside a group, and at the end of its group's side
+        self.text = [np.array([f"{i}," for i in range(len(t.bytes))] + [f"{i}{end}" for i in range(len(t.bytes))], object) for t, end in ((a, "|"), (b, ";"))]
+        self.size = [np.array([len(x) for x in t], np.int64) for t in self.text]
+
+    def __call__(self, ids_a: np.ndarray, cut_a: np.ndarray, ids_b: np.ndarray, cut_b: np.ndarray, which: np.ndarray) -> list[tuple[str, int, bytes]]:
+        """The alignments of the windows numbered ``which``: window w has the
+        ids cut_a[w]:cut_a[w + 1] of A and cut_b[w]:cut_b[w + 1] of B."""
+        # the tuple of both sequences, packed: number of A ids, A ids, B ids, 4 bytes each
+        n_a, n_b = cut_a[which + 1] - cut_a[which], cut_b[which + 1] - cut_b[which]
+        edge = np.append(0, (1 + n_a + n_b).cumsum())
+        packed = np.empty(edge[-1], np.uint32)
+        packed[edge[:-1]] = n_a
+        packed[_indices(edge[:-1] + 1, edge[:-1] + 1 + n_a)] = ids_a[_indices(cut_a[which], cut_a[which + 1])]
+        packed[_indices(edge[1:] - n_b, edge[1:])] = ids_b[_indices(cut_b[which], cut_b[which + 1])]
+        raw, edge = packed.tobytes(), (4 * edge).tolist()
+        keys = [raw[p:q] for p, q in zip(edge, edge[1:])]
+        found = [self.young.get(k) or self.old.get(k) for k in keys]
+        missing = np.array([i for i, x in enumerate(found) if x is None], np.int64)
+        if len(missing):
+            w = which[missing]
+            for i, x in zip(missing.tolist(), self.worked_out(ids_a, cut_a[w], cut_a[w + 1], ids_b, cut_b[w], cut_b[w + 1])):
+                found[i] = x
+        if len(self.young) + len(keys) > MEMO_ENTRIES:
+            self.old, self.young = self.young, {}
+        self.young.update(zip(keys[:MEMO_ENTRIES], found))
+        return found
+
+    def worked_out(self, ids_a, lo_a, hi_a, ids_b, lo_b, hi_b):
+        """The alignments of some windows, all at once: as both sides of each
+        spell the same bytes, offsets over all windows in a row agree."""
+        a, b = ids_a[_indices(lo_a, hi_a)].astype(np.int64), ids_b[_indices(lo_b, hi_b)].astype(np.int64)
+        ends_a, ends_b = self.a.length[a].cumsum(), self.b.length[b].cumsum()
+        edge_a, edge_b = np.append(0, (hi_a - lo_a).cumsum()), np.append(0, (hi_b - lo_b).cumsum())
+        # groups end where both sides do
+        last_a, last_b = ends_b[np.searchsorted(ends_b, ends_a)] == ends_a, ends_a[np.searchsorted(ends_a, ends_b)] == ends_b
+        # each stretch between two neighbouring ends of either side is the overlap of one pair
+        ends = np.sort(np.concatenate([ends_a, ends_b[~last_b]]), kind="stable")
+        links = a[np.searchsorted(ends_a, ends)] << SHIFT | b[np.searchsorted(ends_b, ends)]
+        edge = np.searchsorted(ends, np.append(0, ends_a[edge_a[1:] - 1]), "right").tolist()
+        group_a, group_b = last_a.cumsum() - last_a, last_b.cumsum() - last_b
+        end_of_a, start_of_b = np.flatnonzero(last_a) + 1, np.append(0, np.flatnonzero(last_b) + 1)
+        n = np.append(0, last_a.cumsum())
+        groups = n[edge_a].tolist()
+        place_a, place_b = np.arange(len(a)) + start_of_b[group_a], np.arange(len(b)) + end_of_a[group_b]
+        part, size = np.empty(len(a) + len(b), object), np.zeros(len(a) + len(b) + 1, np.int64)
+        for side, ids, last, place in ((0, a, last_a, place_a), (1, b, last_b, place_b)):
+            code = ids + len(self.size[side]) // 2 * last
+            part[place], size[place + 1] = self.text[side][code], self.size[side][code]
+        text, at = "".join(part.tolist()), size.cumsum()[edge_a + edge_b].tolist()
+        raw = links.tobytes()
+        for w in range(len(lo_a)):
+            yield text[at[w]:at[w + 1] - 1], groups[w + 1] - groups[w], raw[8 * edge[w]:8 * edge[w + 1]]
 
 
 def _span_keys(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -146,17 +180,42 @@ def _span_keys(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return C.mix((acc[first[1:]] - acc[first[:-1]]) * down[first[:-1]] ^ np.diff(first).astype(np.uint64) * C.MIX2)
 
 
-def align(texts: list[str], a: Tokens, b: Tokens, memo: Memo):
+def _flat(ids: list[list[int]]) -> np.ndarray:
+    out = array("I")
+    for x in ids:
+        out.extend(x)
+    return np.frombuffer(out, np.uint32) if out else np.zeros(0, np.uint32)
+
+
+def misspelt(ids: list[list[int]], vocab: Tokens, given: list) -> list[int]:
+    """The texts whose ids do not spell the given bytes."""
+    flat = _flat(ids)
+    edge = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int64)
+    size = np.append(0, vocab.length[flat].cumsum())[edge]
+    want = np.append(0, np.cumsum([len(x) for x in given]))
+    wrong = np.diff(size) != np.diff(want)
+    if not wrong.any():
+        differ = np.flatnonzero(vocab.spell(flat) != np.frombuffer(b"".join(given), np.uint8))
+        wrong[np.searchsorted(want, differ, "right") - 1] = True
+        return np.flatnonzero(wrong).tolist()
+    fits = np.flatnonzero(~wrong).tolist()
+    among = misspelt([ids[t] for t in fits], vocab, [given[t] for t in fits])
+    return [*np.flatnonzero(wrong).tolist(), *(fits[t] for t in among)]
+
+
+def align(texts: list[str], a: Tokens, b: Tokens, windows: Windows):
     """For some texts: n_a, n_b, n_groups, n_links (arrays), groups (bytes of
     each) and (text, pair, number) of the distinct linked pairs."""
-    size = len(texts)
-    ids_a, ids_b = a.ids(texts), b.ids(texts)
-    for t, text in enumerate(texts):
-        given = b" " + text.encode() if text else b""
-        if not given or a.spell(ids_a[t]) != given or b.spell(ids_b[t]) != given:
-            ids_a[t], ids_b[t] = [], []
+    size, ids_a, ids_b = len(texts), [], []
+    for lo, hi in _few(texts, CHARS_AT_ONCE // 4):       # a tokenizer's own results take many times their ids
+        ids_a += a.ids(texts[lo:hi])
+        ids_b += b.ids(texts[lo:hi])
+    given = [b" " + t.encode() if t else b"" for t in texts]
+    for ids, vocab in ((ids_a, a), (ids_b, b)):
+        for t in misspelt(ids, vocab, given):
+            ids_a[t], ids_b[t], given[t] = [], [], b""
+    flat_a, flat_b = _flat(ids_a), _flat(ids_b)
     n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-    flat_a, flat_b = (np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum())) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
     n_groups, n_links, groups = np.zeros(size, np.int64), np.zeros(size, np.int64), [b""] * size
     if not len(flat_a):
         return n_a, n_b, n_groups, n_links, groups, (np.zeros(0, np.int64),) * 3
@@ -173,36 +232,32 @@ def align(texts: list[str], a: Tokens, b: Tokens, memo: Memo):
     text_w = text_a[cut_a[:-1]]
     key = C.mix(_span_keys(flat_a, cut_a) ^ _span_keys(flat_b, cut_b) * C.MIX1)
     _, one, which = np.unique(key, return_index=True, return_inverse=True)
-    bytes_a, bytes_b = flat_a.tobytes(), flat_b.tobytes()
-    found = [memo((bytes_a[4 * p:4 * q], bytes_b[4 * r:4 * s])) for p, q, r, s in
-             zip(cut_a[one].tolist(), cut_a[one + 1].tolist(), cut_b[one].tolist(), cut_b[one + 1].tolist())]
+    found = windows(flat_a, cut_a, flat_b, cut_b, one)
     names = [x[0] for x in found]
-    g, m = np.array([x[1] for x in found]), np.array([len(x[2]) for x in found])
-    np.add.at(n_groups, text_w, g[which])
-    np.add.at(n_links, text_w, m[which])
+    g, m = np.array([x[1] for x in found]), np.array([len(x[2]) // 8 for x in found])
     edge = np.searchsorted(text_w, np.arange(size + 1)).tolist()
     which_list = which.tolist()
     for t in np.unique(text_w).tolist():
         groups[t] = ";".join([names[w] for w in which_list[edge[t]:edge[t + 1]]]).encode()
-    # windows of a text, then their links
-    tw, count = np.unique(text_w * len(one) + which, return_counts=True)
-    text, w = tw // len(one), tw % len(one)
-    links, base = np.concatenate([x[2] for x in found]), np.append(0, m.cumsum())
-    each = m[w]
-    pos = np.arange(int(each.sum())) - np.repeat(each.cumsum() - each, each) + np.repeat(base[w], each)
-    pair, owner, times = links[pos], np.repeat(text, each), np.repeat(count, each)
-    order = np.lexsort((pair, owner))
-    pair, owner, times = pair[order], owner[order], times[order]
-    new = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1])))
-    return n_a, n_b, n_groups, n_links, groups, (owner[new], pair[new], np.add.reduceat(times, new))
-
-
-def _few(texts: list[str | None]):
-    """Runs of texts of about CHARS_AT_ONCE characters: (first, behind the last)."""
+    links, base = np.frombuffer(b"".join([x[2] for x in found]), np.int64), np.append(0, m.cumsum())
+    n_groups = np.bincount(text_w, g[which], size).astype(np.int64)
+    n_links = np.bincount(text_w, m[which], size).astype(np.int64)
+    # all links of all windows in one number: text, A id, B id
+    low, high = len(b.bytes).bit_length(), len(a.bytes).bit_length()
+    pair = links[_indices(base[which], base[which + 1])]
+    code = np.sort(np.repeat(np.arange(size), n_links) << low + high | pair >> SHIFT << low | pair & (1 << SHIFT) - 1)
+    new = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    one = code[new]
+    pair = (one >> low & (1 << high) - 1) << SHIFT | one & (1 << low) - 1
+    return n_a, n_b, n_groups, n_links, groups, (one >> low + high, pair, np.diff(np.append(new, len(code))))
+
+
+def _few(texts: list[str | None], chars: int):
+    """Runs of texts of about so many characters: (first, behind the last)."""
     at = 0
     while at < len(texts):
         to, held = at, 0
-        while to < len(texts) and (to == at or held + len(texts[to] or "") <= CHARS_AT_ONCE):
+        while to < len(texts) and (to == at or held + len(texts[to] or "") <= chars):
             held += len(texts[to] or "")
             to += 1
         yield at, to
@@ -212,15 +267,16 @@ def _few(texts: list[str | None]):
 def aligned(docs: DataFrame, path_a: str, path_b: str, keep_groups: bool = True) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_a, n_b, n_groups, n_links, groups (or
     groups_sha256), pairs (linked id pairs, 8 bytes each) and times (4 bytes each)."""
-    memos: dict[int, Memo] = {}
 
     def run(batches):
         a, b = tokens(path_a), tokens(path_b)
-        memo = memos.setdefault(0, Memo(a, b))
+        if (path_a, path_b) not in _windows:
+            _windows[path_a, path_b] = Windows(a, b)
+        windows = _windows[path_a, path_b]
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for lo, hi in _few(texts):
-                n_a, n_b, n_groups, n_links, groups, (owner, pair, times) = align([t or "" for t in texts[lo:hi]], a, b, memo)
+            for lo, hi in _few(texts, CHARS_AT_ONCE):
+                n_a, n_b, n_groups, n_links, groups, (owner, pair, times) = align([t or "" for t in texts[lo:hi]], a, b, windows)
                 edge = np.searchsorted(owner, np.arange(hi - lo + 1)).tolist()
                 raw, num = pair.tobytes(), times.astype("<u4").tobytes()
                 out = [g.decode() if keep_groups else hashlib.sha256(g).hexdigest() if g else "" for g in groups]

@@ -83,6 +83,22 @@ def test_small_memo_changes_nothing(docs, monkeypatch):
     assert got[4] == want[4] and all((x == y).all() for x, y in zip(got[5], want[5]))
 
 
+def test_ids_equal_the_library_on_every_code_point():
+    tok, a = Tokenizer.from_file(A), T.tokens(A)
+    tok.encode_special_tokens = True
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(chars), 50_000):
+        texts = ["".join(f"a{c}b 1{c}2 .{c}. {c}{c}a  {c} '{c}s{c}'s " for c in chars[x:x + 100]) for x in range(at, min(len(chars), at + 50_000), 100)]
+        assert a.ids(texts) == [e.ids for e in tok.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("unit", [" ", "a", "^", "\n", " \n", "1", "é", "\t x"])
+def test_endless_runs(unit):
+    tok, a = Tokenizer.from_file(A), T.tokens(A)
+    texts = [unit * (n // len(unit)) for n in (T.LONGEST - 1, T.LONGEST, T.LONGEST + 2, 400_000)]
+    assert a.ids(texts) == [tok.encode(" " + t, add_special_tokens=False).ids for t in texts]
+
+
 def test_spelling_of_special_strings_and_marks():
     a, b = T.tokens(A), T.tokens(B)
     n_a, n_b, *_ = T.align(["<|endoftext|> <s>", "▁ mark", "", "ok"], a, b, T.Windows(a, b))

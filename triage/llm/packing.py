@@ -40,30 +40,25 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
            with_ids: bool = False) -> DataFrame:
     """docs(doc_id, text) -> doc_id, piece, start, length, ids_crc32 (and ids,
     little-endian unsigned 32-bit, if asked for)."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
         table = word_ids(tokenizer)
         for b in batches:
-            row, piece, start, length, crc, ids = [], [], [], [], [], []
-            texts = b.column("text").to_pylist()
-            for i, ids_of in enumerate(table.encoded(texts)):
-                whole = ids_of + end
-                for p in range(0, len(whole), 4 * capacity):
-                    part = whole[p:p + 4 * capacity]
-                    row.append(i)
-                    piece.append(p // (4 * capacity))
-                    start.append(p // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    if with_ids:
-                        ids.append(part)
-            out = [b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
-                   pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            if with_ids:
-                out, names = [*out, pa.array(ids, pa.binary())], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(out, names)
+            for rows, ids, edges in table.encoded(b.column("text"), end_id):
+                n = np.diff(edges)
+                count = -(-n // capacity)                                   # a text has its end id at least
+                row = np.repeat(np.arange(len(rows)), count)
+                piece = np.arange(len(row)) - np.repeat(count.cumsum() - count, count)
+                start = piece * capacity
+                lo, hi = edges[row] + start, np.minimum(edges[row] + start + capacity, edges[row + 1])
+                raw = ids.astype("<u4", copy=False).tobytes()
+                parts = [raw[p:q] for p, q in zip((4 * lo).tolist(), (4 * hi).tolist())]
+                out = [b.column("doc_id").take(pa.array(rows[row])), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                       pa.array(hi - lo, pa.int64()), pa.array(list(map(zlib.crc32, parts)), pa.int64())]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                if with_ids:
+                    out, names = [*out, pa.array(parts, pa.binary())], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(out, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
@@ -131,7 +126,8 @@ def packed_sequences(docs: DataFrame, tokenizer: str, **kw) -> DataFrame:
     """The sequences themselves: sequence_id, n_ids, ids (binary, little-endian
     unsigned 32-bit), doc_ids.  A sequence holds at most CAPACITY pieces, so
     the groups are bounded."""
-    placed = pack(pieces(docs, tokenizer, with_ids=True), **kw)
+    cut = saved(pieces(docs, tokenizer, with_ids=True).withColumn("_piece", F.monotonically_increasing_id()), "pieces-ids")
+    placed = pack(cut.select("_piece", "length"), **kw).join(cut.drop("length"), "_piece")     # a shard's task holds lengths alone
     ordered = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "length", "ids")))
     return (placed.groupBy("sequence_id").agg(ordered.alias("p"))
             .select("sequence_id", F.aggregate("p.length", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_ids"),

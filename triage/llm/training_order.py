@@ -34,7 +34,9 @@ from triage.llm.common import mix, saved
 from triage.llm.word_ids import word_ids
 
 SEQUENCE = 512
-STRIDE = 16 + 2 * SEQUENCE
+HEADER = np.dtype([("doc_id", "<i8"), ("null", "<u2"), ("n", "<u2"), ("part", "<u4")])
+HEAD = HEADER.itemsize
+STRIDE = HEAD + 2 * SEQUENCE
 SHARD = 8_192
 RUN = 512
 KEY = 20_240_601
@@ -64,21 +66,27 @@ def feistel(x: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarra
 
 def sequences(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """record: the sequences of every text, laid out as above."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
         table = word_ids(tokenizer)
         for b in batches:
-            records = []
-            texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
-            for i, ids_of in enumerate(table.encoded(texts)):
-                whole = np.frombuffer(ids_of + end, "<u4").astype("<u2")
-                head = np.array([ids[i] or 0], "<i8").tobytes() + np.array([ids[i] is None], "<u2").tobytes()
-                for p in range(0, len(whole), SEQUENCE):
-                    part = whole[p:p + SEQUENCE]
-                    records.append((head + np.array([len(part)], "<u2").tobytes() + np.array([p // SEQUENCE], "<u4").tobytes()
-                                    + part.tobytes()).ljust(STRIDE, b"\0"))
-            yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], ["record"])
+            doc_id = b.column("doc_id")
+            null = doc_id.is_null().to_numpy(zero_copy_only=False)
+            doc_id = doc_id.fill_null(0).to_numpy(zero_copy_only=False)
+            for rows, ids, edges in table.encoded(b.column("text"), end_id):
+                n = np.diff(edges)
+                count = -(-n // SEQUENCE)
+                first = np.append(0, count.cumsum())
+                row = np.repeat(np.arange(len(rows)), count)
+                records = np.zeros((len(row), STRIDE), np.uint8)
+                head = records[:, :HEAD].view(HEADER).reshape(-1)
+                part = np.arange(len(row)) - first[row]
+                head["doc_id"], head["null"], head["part"] = doc_id[rows[row]], null[rows[row]], part
+                head["n"] = np.minimum(SEQUENCE, n[row] - part * SEQUENCE)
+                at = np.arange(len(ids)) - np.repeat(edges[:-1], n)
+                records[:, HEAD:].view("<u2")[np.repeat(first[:-1], n) + at // SEQUENCE, at % SEQUENCE] = ids
+                size = np.arange(len(row) + 1, dtype=np.int32) * STRIDE
+                yield pa.RecordBatch.from_arrays([pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(size), pa.py_buffer(records)])], ["record"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "record binary")
 

@@ -1,94 +1,151 @@
-"""Token ids of texts under a `tokenizers` vocabulary whose pre-tokens never
-hold a space or a line break: every such word is encoded once per worker and
-kept as its ids' bytes (unsigned 32-bit, little-endian), in a bounded cache.
-The unknown plain words of a batch are encoded together, as one text, and told
-apart by the vocabulary's end-of-word tokens: that takes under half the time of
-single calls.
+"""Token ids of texts under a `tokenizers` vocabulary whose pre-tokens hold no
+white space and part letters from marks.
+
+Texts are cut, many at a time, into units: stretches without ASCII white
+space, cut again between an ASCII letter and an ASCII mark (not the
+apostrophe, which contractions hold).  Letters A-Z are lower-cased first, as
+the vocabulary does itself.  Units are told apart by 64-bit hashes (the chance
+that any two of n different ones collide is below n^2 / 2^65); only the
+distinct ones of a slice that the worker does not know are encoded, those of
+one pre-token together as one text, which is told apart by the vocabulary's
+end-of-word tokens.  Ids are then gathered by offsets, without a step per word.
+
+Known units are kept in two generations of ``CACHE_ENTRIES`` at most: when the
+younger is full it becomes the older, and units still in use move over.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-CACHE_ENTRIES = 600_000
+from triage.llm import common as C
+
+CACHE_ENTRIES = 300_000
 TOGETHER = 10_000
-CHARS_AT_ONCE = 1_500_000
 LONGEST = 64
-#: A word of ASCII or Latin-1 letters (for which neither normalisation nor lower-casing changes the number
-#: of letters), then ASCII marks: its letters and its marks are pre-tokens of their own.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
+#: One pre-token whatever stands around it: ASCII or Latin-1 letters, or ASCII marks without apostrophes.
+ONE_TOKEN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+")
+
+#: Class of a byte: 1 ASCII letter, 2 ASCII mark but the apostrophe, 0 any other.
+KIND = np.zeros(256, np.uint8)
+KIND[0x61:0x7B] = 1
+KIND[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 2
 
 _tables: dict[str, "WordIds"] = {}
 
 
-class WordIds(dict):
+def ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """lo[0], ..., hi[0] - 1, lo[1], ..., hi[1] - 1, ..."""
+    n = hi - lo
+    return np.arange(int(n.sum())) + np.repeat(lo - (n.cumsum() - n), n)
+
+
+def unit_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """(unit starts, unit ends, first unit of each text and one more) of lower-cased bytes."""
+    ws, we, _ = C.word_spans(buf, starts, ends, C.SPACE_WORDS)
+    kind = KIND[buf]
+    cut = np.flatnonzero(kind[1:] + kind[:-1] * 4 == 6) + 1, np.flatnonzero(kind[1:] * 4 + kind[:-1] == 6) + 1     # letter, mark; mark, letter
+    cut = np.sort(np.concatenate(cut))
+    at = np.searchsorted(ws, cut, "right") - 1
+    cut = cut[(at >= 0) & (ws[at] < cut) & (cut < we[at])] if len(ws) else cut[:0]     # inside a word, not where texts meet
+    ws, we = np.sort(np.concatenate([ws, cut]), kind="stable"), np.sort(np.concatenate([we, cut]), kind="stable")
+    return ws, we, np.append(np.searchsorted(ws, starts), np.searchsorted(ws, ends[-1:]))
+
+
+class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        """Encodes the plain words among those that are not known yet."""
-        plain, new = [], set()
-        for m in filter(None, map(PLAIN.fullmatch, words - self.keys())):
-            letters = m[1].lower()
-            plain.append((m[0], letters, m[2]))
-            if letters not in self:
-                new.add(letters)
-        if len(self) + len(new) + len(plain) > CACHE_ENTRIES:
-            self.clear()
-            new.update(letters for _, letters, _ in plain)
-        new = list(new)
-        for at in range(0, len(new), TOGETHER):
-            part = new[at:at + TOGETHER]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
+        # what every special string begins with; texts that hold it are left to the tokenizer, whole
+        self.mark = os.path.commonprefix([t.content for t in self.tokenizer.get_added_tokens_decoder().values()]).lower().encode()
+        self.young: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def learn(self, keys: list[int], units: list[bytes]) -> list[bytes]:
+        """Ids of units that are not known yet."""
+        out: list[bytes] = [b""] * len(units)
+        one = [i for i, u in enumerate(units) if ONE_TOKEN.fullmatch(u)]
+        for at in range(0, len(one), TOGETHER):
+            part = one[at:at + TOGETHER]
+            ids = self.ids(b" ".join([units[i] for i in part]).decode())
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             whole, lo = ids.tobytes(), 0
-            for w, hi in zip(part, (4 * ends).tolist(), strict=True):
-                if len(w) <= LONGEST:
-                    self[w] = whole[lo:hi]
+            for i, hi in zip(part, ends, strict=True):
+                out[i] = whole[lo:hi]
                 lo = hi
-        for word, letters, marks in plain:
-            if word not in self and len(word) <= LONGEST:
-                self[word] = self[letters] + (self[marks] if marks else b"")
-
-    def encoded(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids of each text.  Texts are split a few at a time, which bounds the
-        words that are held; texts with special strings go to the tokenizer whole."""
-        at = 0
-        while at < len(texts):
-            to, held = at, 0
-            while to < len(texts) and (to == at or held < CHARS_AT_ONCE):
-                held += len(texts[to] or "")
-                to += 1
-            split = [None if not t or any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in texts[at:to]]
-            self.learn(set().union(*filter(None, split)))
-            for t, words in zip(texts[at:to], split):
-                yield b"".join(map(self.__getitem__, words)) if words else self.ids(t) if t else b""
-            at = to
-
-    def __missing__(self, word: str) -> bytes:
-        m = PLAIN.fullmatch(word)
-        if m and (m[2] or not word.islower()):
-            out = self[m[1].lower()] + (self[m[2]] if m[2] else b"")
-        else:
-            out = self.ids(word) if word else b""
-        if len(word) <= LONGEST:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[word] = out
+        known = set(one)
+        rest = [i for i in range(len(units)) if i not in known]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([units[i].decode() for i in rest], add_special_tokens=False)):
+            out[i] = np.array(e.ids, np.uint32).tobytes()
+        for k, u, x in zip(keys, units, out):
+            if len(u) <= LONGEST:
+                self.keep(k, x)
         return out
 
+    def keep(self, key: int, ids: bytes) -> None:
+        if len(self.young) >= CACHE_ENTRIES:
+            self.old, self.young = self.young, {}
+        self.young[key] = ids
+
+    def known(self, key: int) -> bytes | None:
+        got = self.young.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.keep(key, got)
+        return got
+
+    def encoded(self, texts: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, ids, edges) for runs of rows: text rows[r] has the ids
+        ids[edges[r]:edges[r + 1]], ``end_id`` the last of them."""
+        for rows, buf, lo, hi in C.slices(texts):
+            low, given = C.LOWER[buf], {}
+            if self.mark in (raw := low.tobytes()):
+                data = buf.tobytes()
+                given = {r: self.ids(data[lo[r]:hi[r]].decode()) for r in range(len(rows)) if raw.find(self.mark, lo[r], hi[r]) >= 0}
+                hi = hi.copy()
+                hi[list(given)] = lo[list(given)]
+            yield rows, *self._slice(low, lo, hi, given, end_id)
+
+    def _slice(self, low: np.ndarray, lo, hi, given: dict[int, np.ndarray], end_id: int):
+        size = len(lo)
+        ws, we, first = unit_spans(low, lo, hi)
+        if given:      # texts encoded whole have no units
+            inside = ws < hi[np.searchsorted(lo, ws, "right") - 1]
+            ws, we = ws[inside], we[inside]
+            first = np.append(np.searchsorted(ws, lo), len(ws))
+        keys, one, which = np.unique(C.span_hashes(low, ws, we), return_index=True, return_inverse=True)
+        keys = keys.tolist()
+        found = [self.known(k) for k in keys]
+        new = [i for i, x in enumerate(found) if x is None]
+        if new:
+            data, at = low.tobytes(), one[new]
+            units = [data[s:e] for s, e in zip(ws[at].tolist(), we[at].tolist())]
+            for i, x in zip(new, self.learn([keys[i] for i in new], units)):
+                found[i] = x
+        base = np.append(0, np.cumsum([len(x) // 4 for x in found])).astype(np.int64)
+        flat = np.frombuffer(b"".join(found), np.uint32)[ranges(base[which], base[which + 1])]
+        of_unit = np.append(0, np.diff(base)[which].cumsum()) if len(which) else np.zeros(1, np.int64)
+        n = np.diff(of_unit[first])
+        if given:
+            parts = np.split(flat, of_unit[first[1:-1]]) if size > 1 else [flat]
+            for r, ids in given.items():
+                parts[r], n[r] = ids, len(ids)
+            flat = np.concatenate(parts)
+        edges = np.append(0, (n + 1).cumsum())
+        out = np.full(edges[-1], end_id, np.uint32)
+        out[np.arange(len(flat)) + np.repeat(np.arange(size), n)] = flat
+        return out, edges
+
 
 def word_ids(path: str) -> WordIds:
     if path not in _tables:

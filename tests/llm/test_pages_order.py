@@ -42,7 +42,7 @@ def test_audit_finds_exactly_the_damage(spark):
     b[-3] = (30_000, "", "")       # null and empty fields differ
     schema = "page_id long, url string, html string"
     ra, rb = (merkle.records(spark.createDataFrame(x, schema).withColumn("node", merkle.F.lit(1)).repartition(7), "page_id", ["url", "html"]) for x in (a, b))
-    digest = lambda r: hashlib.sha256("\x1f".join([str(-1 if r[0] is None else r[0]), *("n" if v is None else "v" + v for v in r[1:])]).encode()).hexdigest()
+    digest = lambda r: hashlib.sha256("\x1f".join([str(-1 if r[0] is None else r[0]), *("n" if v is None else f"{len(v.encode())}:{v}" for v in r[1:])]).encode()).hexdigest()
     ca, cb = Counter((-1 if r[0] is None else r[0], digest(r)) for r in a), Counter((-1 if r[0] is None else r[0], digest(r)) for r in b)
     want = sorted((*k, ca[k], cb[k]) for k in {*ca, *cb} if ca[k] != cb[k])
     assert sorted((r.record, r.digest, r.n_a, r.n_b) for r in merkle.audit(ra, rb).collect()) == want
@@ -52,6 +52,14 @@ def test_audit_finds_exactly_the_damage(spark):
     assert merkle.audit(ra, none).count() == len(ca)
 
 
+def test_audit_sees_a_moved_field_border(spark):
+    schema = "page_id long, url string, html string"
+    pairs = [(("a\x1fvb", "c"), ("a", "b\x1fvc")), (("a\x1f1:b", "c"), ("a", "b\x1f1:c")), (("n", None), (None, "n")), (("", "x"), ("x", "")), (("é", "1:e"), ("é1", ":e"))]
+    for left, right in pairs:
+        ra, rb = (merkle.records(spark.createDataFrame([(1, *x)], schema), "page_id", ["url", "html"]) for x in (left, right))
+        assert merkle.audit(ra, rb).count() == 2, (left, right)
+
+
 # ---------------------------------------------------------------- URLs
 
 def brute_rule(url):

@@ -11,8 +11,9 @@ FANOUT^(``LEVELS`` + 1) offsets has one root.
 The audit compares the replicas' roots, then level by level only the children
 of differing nodes, and at last only the records of differing leaves.
 
-Records are identified by offset: a null offset counts as offset -1.  Null
-fields hash differently from empty ones.  Repeated records count as often as
+Records are identified by offset: a null offset counts as offset -1.  Every
+field is hashed with its byte length, whatever it holds; null fields hash
+differently from empty ones.  Repeated records count as often as
 they occur.  Other columns are ignored.  An empty replica differs in every
 file; two empty ones give no rows.
 """
@@ -30,7 +31,9 @@ FILE = FANOUT ** (LEVELS + 1)
 
 
 def _field(name: str):
-    return F.coalesce(F.concat(F.lit("v"), F.col(name).cast("string")), F.lit("n"))
+    """A field with its byte length in front, so that no content can shift the border between two fields."""
+    text = F.col(name).cast("string")
+    return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("n"))
 
 
 def records(replica: DataFrame, offset: str, fields: list[str]) -> DataFrame:
@@ -105,11 +108,10 @@ def damaged(pages: DataFrame) -> DataFrame:
 SQL = """
 WITH given AS (SELECT coalesce(page_id, -1) AS o, url, html, coalesce((page_id * 7919 + 13) % 199, 0) AS fault FROM pages),
 rec AS (
-  SELECT 'a' AS side, o, sha256(concat_ws(chr(31), o::VARCHAR, coalesce('v' || url, 'n'), coalesce('v' || html, 'n'))) AS digest FROM given
-  UNION ALL
-  SELECT 'b', o, sha256(concat_ws(chr(31), o::VARCHAR, coalesce('v' || url, 'n'),
-    CASE WHEN fault = 3 THEN 'v' || coalesce(html, '') || chr(0) ELSE coalesce('v' || html, 'n') END))
-  FROM (SELECT *, unnest(range(CASE fault WHEN 5 THEN 0 WHEN 7 THEN 2 ELSE 1 END)) AS k FROM given)),
+  SELECT side, o, sha256(concat_ws(chr(31), o::VARCHAR, coalesce(strlen(url) || ':' || url, 'n'), coalesce(strlen(html) || ':' || html, 'n'))) AS digest
+  FROM (SELECT 'a' AS side, o, url, html FROM given UNION ALL
+  SELECT 'b', o, url, CASE WHEN fault = 3 THEN coalesce(html, '') || chr(0) ELSE html END
+  FROM (SELECT *, unnest(range(CASE fault WHEN 5 THEN 0 WHEN 7 THEN 2 ELSE 1 END)) AS k FROM given))),
 leaf AS (SELECT side, o >> 4 AS node, sha256(concat_ws('|', count(*)::VARCHAR, {lanes})) AS hash FROM rec GROUP BY 1, 2),
 mid AS (SELECT side, node >> 4 AS node, sha256(string_agg(node || ':' || hash, ',' ORDER BY node)) AS hash FROM leaf GROUP BY side, node >> 4),
 root AS (SELECT side, node >> 4 AS node, sha256(string_agg(node || ':' || hash, ',' ORDER BY node)) AS hash FROM mid GROUP BY side, node >> 4),

@@ -144,18 +144,16 @@ def read_from(shards: DataFrame, slot: int = 0, shard: int = SHARD) -> DataFrame
 
     def run(batches):
         for b in batches:
-            out = {k: [] for k in ("slot", "shard", "byte", "doc_id", "part", "n_ids", "ids", "ids_crc32")}
-            for first, n, payload in zip(b.column("first_slot").to_pylist(), b.column("n").to_pylist(), b.column("payload").to_pylist()):
-                for k in range(max(0, slot - first), n):
-                    r = payload[k * STRIDE:(k + 1) * STRIDE]
-                    size = int.from_bytes(r[10:12], "little")
-                    ids = r[16:16 + 2 * size]
-                    for name, v in (("slot", first + k), ("shard", (first + k) // shard), ("byte", (first + k) % shard * STRIDE),
-                                    ("doc_id", None if r[8] & 1 else int.from_bytes(r[:8], "little", signed=True)),
-                                    ("part", int.from_bytes(r[12:16], "little")), ("n_ids", size), ("ids", ids), ("ids_crc32", zlib.crc32(ids))):
-                        out[name].append(v)
-            kinds = [pa.binary() if k == "ids" else pa.int64() for k in out]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
+            for first, n, payload in zip(b.column("first_slot").to_pylist(), b.column("n").to_pylist(), b.column("payload")):
+                skip = max(0, slot - first)
+                records = np.frombuffer(payload.as_buffer(), np.uint8).reshape(n, STRIDE)[skip:]
+                head = records[:, :HEAD].copy().view(HEADER).reshape(-1)
+                at = first + skip + np.arange(len(records))
+                ids = [r[HEAD:HEAD + 2 * size].tobytes() for r, size in zip(records, head["n"].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at), pa.array(at // shard), pa.array(at % shard * STRIDE), pa.array(head["doc_id"], mask=head["null"] & 1 == 1),
+                     *(pa.array(head[c].astype(np.int64)) for c in ("part", "n")), pa.array(ids, pa.binary()), pa.array(list(map(zlib.crc32, ids)), pa.int64())],
+                    ["slot", "shard", "byte", "doc_id", "part", "n_ids", "ids", "ids_crc32"])
 
     left = shards.where((F.col("shard") >= slot // shard) & (F.col("first_slot") + F.col("n") > slot))
     return left.select("first_slot", "n", "payload").mapInArrow(run, "slot long, shard long, byte long, doc_id long, part long, n_ids long, ids binary, ids_crc32 long")

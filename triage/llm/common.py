@@ -3,9 +3,12 @@ vectorised word / line hashing over Arrow text buffers."""
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from triage.session import shared_scratch, ship_package
 
@@ -31,6 +34,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidy(run):
+    """Around the function of a mapInArrow: what a task has freed goes back to
+    the system at its end, so that workers that live on hold no peak of an
+    earlier stage."""
+
+    def around(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _powers[:] = [np.ones(1, U64), np.ones(1, U64)]
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return around
+
+
+def text_name(carry: list[str]) -> str:
+    """The column that a task reads texts from: the carried one, sent once, or its own."""
+    return "_in_text" if "text" in carry else "_text"
+
+
+def sent(docs: DataFrame, carry: list[str], *more) -> DataFrame:
+    """What goes to a task: the text under ``text_name`` and the carried columns as _in_<name>."""
+    own = [] if "text" in carry else [F.coalesce("text", F.lit("")).alias("_text")]
+    return docs.select(*own, *more, *(F.col(c).alias(f"_in_{c}") for c in carry))
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared scratch folder and read back: cuts lineage, and
     what later jobs read stays the same if executors are lost."""

@@ -174,16 +174,17 @@ def _blocks(bench: DataFrame):
                 yield block
 
 
-def _apply(df: DataFrame, block: Block, kinds: str, count_words: bool) -> DataFrame:
+def _apply(df: DataFrame, block: Block, kinds: str, count_words: bool, text: str) -> DataFrame:
     """Adds the block's matches to _spans and _items (and n_words, if asked for)."""
     shared = df.sparkSession.sparkContext.broadcast(block)
 
+    @C.tidy
     def run(batches):
         block = shared.value
         for b in batches:
             spans, items = b.column("_spans").to_pylist(), b.column("_items").to_pylist()
             n_words = np.zeros(b.num_rows, np.int64)
-            for rows, buf, lo, hi in C.slices(b.column("_text")):
+            for rows, buf, lo, hi in C.slices(b.column(text)):
                 h, first = _words(buf, lo, hi)
                 n_words[rows] = np.diff(first)
                 row, start, window = block.matches(h, first)
@@ -215,10 +216,10 @@ def _merged(flat: list[int], lo: np.ndarray, hi: np.ndarray) -> list[int]:
     return out
 
 
-def _word_counts(df: DataFrame, kinds: str) -> DataFrame:
+def _word_counts(df: DataFrame, kinds: str, text: str) -> DataFrame:
     def run(batches):
         for b in batches:
-            n = [np.diff(_words(buf, lo, hi)[1]) for _, buf, lo, hi in C.slices(b.column("_text"))]
+            n = [np.diff(_words(buf, lo, hi)[1]) for _, buf, lo, hi in C.slices(b.column(text))]
             n = np.concatenate(n) if n else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n)], [*b.schema.names, "n_words"])
 
@@ -230,16 +231,16 @@ def decontaminated(docs: DataFrame, bench: DataFrame, carry: list[str], count_wo
     (flat list of starts and ends of hit words), items (sorted item_ids as
     strings), and n_words if asked for."""
     fields = [docs.schema[c] for c in carry]
-    kinds = ", ".join(["_text string", *(f"`_in_{f.name}` {f.dataType.simpleString()}" for f in fields)])
-    df = docs.select(F.coalesce("text", F.lit("")).alias("_text"), *(F.col(c).alias(f"_in_{c}") for c in carry))
+    text, df = C.text_name(carry), C.sent(docs, carry)
+    kinds = ", ".join([*(["_text string"] if text == "_text" else []), *(f"`_in_{f.name}` {f.dataType.simpleString()}" for f in fields)])
     df = df.withColumns({"_spans": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
     for k, block in enumerate(_blocks(bench)):
         block.file(_counts(docs, block))
         if count_words and not k:
             kinds += ", n_words long"
-        df = _apply(df, block, f"{kinds}, _spans array<int>, _items array<string>", count_words and not k)
+        df = _apply(df, block, f"{kinds}, _spans array<int>, _items array<string>", count_words and not k, text)
     if count_words and "n_words" not in df.columns:
-        df = _word_counts(df, f"{kinds}, _spans array<int>, _items array<string>")
+        df = _word_counts(df, f"{kinds}, _spans array<int>, _items array<string>", text)
     return df.select(*(F.col(f"_in_{c}").alias(c) for c in carry), *(["n_words"] if count_words else []),
                      F.col("_spans").alias("spans"), F.col("_items").alias("items"))
 

@@ -85,13 +85,14 @@ class Jaccard:
     def sets(self, docs: DataFrame, carry: list[str]) -> DataFrame:
         """The carried columns (among doc_id, text, lang, source, n_chars),
         _key (null without shingles), _n, _low (shingles under tau)."""
-        words, limit = self.words, np.uint64(int(self.tau * (2 ** 64 - 1)))
+        words, limit, text = self.words, np.uint64(int(self.tau * (2 ** 64 - 1))), C.text_name(carry)
 
+        @C.tidy
         def run(batches):
             for b in batches:
                 size = b.num_rows
                 key, n, low = np.zeros(size, np.uint64), np.zeros(size, np.int64), np.zeros(size, np.int64)
-                for rows, buf, lo, hi in C.slices(b.column("_text")):
+                for rows, buf, lo, hi in C.slices(b.column(text)):
                     h, row = _sets(buf, lo, hi, words)
                     edges = np.searchsorted(row, np.arange(len(rows) + 1))
                     key[rows], n[rows] = _keys(h, edges), np.diff(edges)
@@ -100,7 +101,7 @@ class Jaccard:
                     [*(b.column(f"_in_{c}") for c in carry), pa.array(key.view(np.int64), mask=n == 0), pa.array(n), pa.array(low)],
                     [*carry, "_key", "_n", "_low"])
 
-        given = docs.select(F.coalesce("text", F.lit("")).alias("_text"), *(F.col(c).alias(f"_in_{c}") for c in carry))
+        given = C.sent(docs, carry)
         kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
         return given.mapInArrow(run, f"{kinds}, _key long, _n long, _low long")
 
@@ -110,6 +111,7 @@ class Jaccard:
         gives a class once."""
         words, percent, limit = self.words, self.percent, np.uint64(int(self.tau * (2 ** 64 - 1)))
 
+        @C.tidy
         def run(batches):
             seen: set[int] = set()
             for b in batches:
@@ -142,6 +144,7 @@ class Jaccard:
         bits[cells["w"].to_numpy(np.int64)] = cells["v"].to_numpy(np.int64).astype(np.uint32)
         shared = docs.sparkSession.sparkContext.broadcast(bits)
 
+        @C.tidy
         def run(batches):
             bits, seen = shared.value, set()
             for b in batches:

@@ -183,15 +183,16 @@ def predict(docs: DataFrame, model: tuple[Network, list[str]], carry: list[str])
     """The carried columns (among doc_id, text, lang, source, n_chars),
     lang_pred and score; one scan."""
     net, langs = model
-    shared = docs.sparkSession.sparkContext.broadcast((net, langs))
+    shared, text = docs.sparkSession.sparkContext.broadcast((net, langs)), C.text_name(carry)
 
+    @C.tidy
     def run(batches):
         net, langs = shared.value
         tables = net.compiled()
         for b in batches:
             n, k = b.num_rows, max(1, len(langs))
             best, score = np.zeros(n, np.int64), np.zeros(n)
-            for rows, buf, lo, hi in C.slices(b.column("_text")):
+            for rows, buf, lo, hi in C.slices(b.column(text)):
                 x, row, size = windows(buf, lo, hi)
                 p = probabilities(net, tables, x) * size[:, None]
                 total = np.stack([np.bincount(row, p[:, j], len(rows)) for j in range(k)], 1)
@@ -204,7 +205,6 @@ def predict(docs: DataFrame, model: tuple[Network, list[str]], carry: list[str])
                 [*(b.column(f"_in_{c}") for c in carry), pa.array(pred.tolist(), pa.string()), pa.array(np.where(letter, score, 0.0))],
                 [*carry, "lang_pred", "score"])
 
-    text = F.coalesce("text", F.lit(""))
-    given = docs.select(text.alias("_text"), text.rlike(r"\p{L}").alias("_letter"), *(F.col(c).alias(f"_in_{c}") for c in carry))
+    given = C.sent(docs, carry, F.coalesce("text", F.lit("")).rlike(r"\p{L}").alias("_letter"))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     return given.mapInArrow(run, f"{kinds}, lang_pred string, score double")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triage.llm.common import saved
+from triage.llm.common import saved, tidy
 from triage.llm.word_ids import word_ids
 
 CAPACITY = 4096
@@ -41,6 +41,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """docs(doc_id, text) -> doc_id, piece, start, length, ids_crc32 (and ids,
     little-endian unsigned 32-bit, if asked for)."""
 
+    @tidy
     def cut(batches):
         table = word_ids(tokenizer)
         for b in batches:

@@ -46,6 +46,15 @@ def test_quality_base_statistics(which, request):
     assert not any(r.base_failed and r.kept for r in rows)
 
 
+def test_own_groups_and_pools_have_names_of_their_own(spark):
+    rows = [("en", None)] * 150 + [("en", "a")] * 60 + [("en", "b")] * 60 + [(None, None)] * 150 + [(None, "c")] * 60 + [(None, "d")] * 60
+    stats = spark.createDataFrame([(*r, False) for r in rows], "lang string, source string, base_failed boolean")
+    by = {}
+    for r in quality.grouped(stats, "lang", "source").collect():
+        by.setdefault(r.grp, set()).add((r.lang, r.source))
+    assert sorted(by.values(), key=str) == sorted([{("en", None)}, {("en", "a"), ("en", "b")}, {(None, None)}, {(None, "c"), (None, "d")}], key=str)
+
+
 def test_quality_verdicts_follow_labels(spark):
     kept = {r.doc_id: r for r in QUERIES["op7_quality"](spark, SF01).collect()}
     labels = spark.read.parquet(f"{SF01}/labels.parquet").collect()

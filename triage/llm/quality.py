@@ -131,11 +131,12 @@ def features(s: np.ndarray) -> np.ndarray:
 def with_statistics(docs: DataFrame, carry: list[str]) -> DataFrame:
     """The carried columns (among doc_id, text, lang, source, n_chars), the
     statistics, base_failed, and the feature vector ``_x``; one scan."""
-    fields = [docs.schema[c] for c in carry]
+    fields, text = [docs.schema[c] for c in carry], C.text_name(carry)
 
+    @C.tidy
     def run(batches):
         for b in batches:
-            parts = [slice_statistics(buf, lo, hi) for _, buf, lo, hi in C.slices(b.column("_text"))]
+            parts = [slice_statistics(buf, lo, hi) for _, buf, lo, hi in C.slices(b.column(text))]
             s = np.concatenate(parts) if parts else np.zeros((0, len(STATS)), np.int64)
             x = features(s)
             failed = (s[:, 0] < MIN_WORDS) | (100 * s[:, 4] > 50 * s[:, 0])
@@ -144,7 +145,7 @@ def with_statistics(docs: DataFrame, carry: list[str]) -> DataFrame:
                  pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))],
                 [*(f"_in_{c}" for c in carry), *STATS[:5], "base_failed", "_x"])
 
-    given = docs.select(F.coalesce("text", F.lit("")).alias("_text"), *(F.col(c).alias(f"_in_{c}") for c in carry))
+    given = C.sent(docs, carry)
     kinds = [f"_in_{f.name} {f.dataType.simpleString()}" for f in fields] + [f"{c} long" for c in STATS[:5]]
     out = given.mapInArrow(run, ", ".join(kinds) + ", base_failed boolean, _x array<double>")
     return out
@@ -250,10 +251,19 @@ def _with(rows: DataFrame, est: DataFrame) -> DataFrame:
     return rows.join(est, "grp", "left")
 
 
+def group_name(lang: str, source: str):
+    """Name of a language's and source's own group, nulls kept apart from all values."""
+    return F.concat(F.lit("own "), F.to_json(F.struct(F.col(lang).alias("l"), F.col(source).alias("s")), {"ignoreNullFields": "false"}))
+
+
+def pool_name(lang: str):
+    """Name of the pool of a language's small groups, which no group of its own has."""
+    return F.concat(F.lit("pool "), F.to_json(F.struct(F.col(lang).alias("l")), {"ignoreNullFields": "false"}))
+
+
 def grouped(stats: DataFrame, lang: str, source: str) -> DataFrame:
     """Adds ``grp``: language and source, or the pool that it belongs to."""
-    own = F.to_json(F.struct(F.col(lang).alias("l"), F.col(source).alias("s")))
-    by_lang = F.to_json(F.struct(F.col(lang).alias("l")))
+    own, by_lang = group_name(lang, source), pool_name(lang)
     keyed = stats.withColumn("_own", own).withColumn("_lang", by_lang)
     sizes = (keyed.where("not base_failed").groupBy("_own", "_lang").agg(F.count("*").alias("_n"))
              .withColumn("_small", F.col("_n") < MIN_GROUP))
@@ -342,7 +352,7 @@ def grouped_like(stats: DataFrame, small: DataFrame) -> DataFrame:
     """Gives rows that still hold their texts the group that ``small`` (their
     vectors alone) found for their language and source."""
     names = C.saved(small.select("_in_lang", "_in_source", "grp").distinct(), "quality-names")
-    key = F.to_json(F.struct(F.col("_in_lang").alias("l"), F.col("_in_source").alias("s")))
+    key = group_name("_in_lang", "_in_source")
     names = names.select(key.alias("_own"), "grp")
     names = F.broadcast(names) if names.count() <= 20_000 else names
     return stats.withColumn("_own", key).join(names, "_own", "left").withColumn("grp", F.coalesce("grp", F.lit("*"))).drop("_own")

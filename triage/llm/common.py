@@ -34,12 +34,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tidy(run):
-    """Around the function of a mapInArrow: what a task has freed goes back to
-    the system at its end, so that workers that live on hold no peak of an
-    earlier stage."""
+#: Functions that empty the caches that an operator keeps in worker processes.
+WORKER_CACHES: list = []
+
+
+def tidy(run, keep: bool = False):
+    """Around the function of a mapInArrow: a task begins without the worker
+    caches of other operators (unless it is to ``keep`` them), and what it has
+    freed goes back to the system at its end, so that workers that live on
+    hold nothing of an earlier stage."""
 
     def around(batches):
+        if not keep:
+            for empty in WORKER_CACHES:
+                empty()
         try:
             yield from run(batches)
         finally:

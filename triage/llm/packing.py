@@ -41,7 +41,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """docs(doc_id, text) -> doc_id, piece, start, length, ids_crc32 (and ids,
     little-endian unsigned 32-bit, if asked for)."""
 
-    @tidy
     def cut(batches):
         table = word_ids(tokenizer)
         for b in batches:
@@ -63,7 +62,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+        tidy(cut, keep=True), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, int]:

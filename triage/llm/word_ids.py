@@ -37,6 +37,7 @@ KIND[0x61:0x7B] = 1
 KIND[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 2
 
 _tables: dict[str, "WordIds"] = {}
+C.WORKER_CACHES.append(_tables.clear)
 
 
 def ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:

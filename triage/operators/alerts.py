@@ -37,9 +37,14 @@ def schema_of(kind: str, with_order: bool = True) -> T.StructType:
     return T.StructType(fields)
 
 
-def empty_alerts(spark: SparkSession, kind: str) -> DataFrame:
-    """Header-only result when a required input column is missing."""
-    return spark.createDataFrame([], schema_of(kind))
+def empty_alerts(spark: SparkSession, kind: str, like: DataFrame | None = None) -> DataFrame:
+    """Header-only result when an input or a required column of it is missing.
+
+    ``like``: the table at hand, whose row ids (a number, or file and place)
+    the other rules of the family carry, so that all can be unioned."""
+    if like is None:
+        return spark.createDataFrame([], schema_of(kind))
+    return like.where(F.lit(False)).select("_row_id", F.lit(0).alias("_rule"), *(F.lit("").alias(c) for c in SCHEMAS[kind]))
 
 
 def rule_slot(rule: int, cond: Column, kind: str, values: dict[str, Column]) -> Column:

@@ -99,12 +99,12 @@ def hidden_processes(spark: SparkSession, mem: ForensicTable, proc: ForensicTabl
 
     PIDs are compared as text ("04" is not "4"); PIDs 0 and 4 are skipped.
     """
+    mdf, mpresent = A.resolve(mem, A.MEMORY)
     if proc is None:
-        return empty_alerts(spark, KIND)
+        return empty_alerts(spark, KIND, mdf)
     pdf, ppresent = A.resolve(proc, A.PROCESS_INJECTION)
-    mdf, mpresent = A.resolve(mem, A.MEMORY)
     if not (ppresent["pid"] and mpresent["pid"]):
-        return empty_alerts(spark, KIND)
+        return empty_alerts(spark, KIND, mdf)
     active = pdf.where(F.col("pid") != "").select("pid").distinct()
     first = (mdf.where((F.col("pid") != "") & ~F.col("pid").isin(R.DKOM_EXCLUDED_PIDS))
                 .groupBy("pid")

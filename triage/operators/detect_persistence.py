@@ -19,7 +19,7 @@ KIND = "persistence"
 def run_key_alerts(spark: SparkSession, reg: ForensicTable) -> DataFrame:
     df, present = A.resolve(reg, A.REGISTRY)
     if not present["path"]:
-        return empty_alerts(spark, KIND)
+        return empty_alerts(spark, KIND, df)
     path, name, data = F.col("path"), F.col("name"), F.col("data")
     hit = any_regex(path, R.RUN_KEY_PATTERNS) & first_contains(F.lower(data), R.SUSPICIOUS_RUN_PATHS).isNotNull()
     return explode_slots(df, [rule_slot(1, hit, KIND, {
@@ -32,7 +32,7 @@ def run_key_alerts(spark: SparkSession, reg: ForensicTable) -> DataFrame:
 def service_alerts(spark: SparkSession, svc: ForensicTable) -> DataFrame:
     df, present = A.resolve(svc, A.SERVICES)
     if not present["binary_path"]:
-        return empty_alerts(spark, KIND)
+        return empty_alerts(spark, KIND, df)
     df = df.withColumn("_marker", first_contains(F.lower(F.col("binary_path")), R.SERVICE_SUSPICIOUS))
     name, path = F.col("name"), F.col("binary_path")
     return explode_slots(df, [rule_slot(2, F.col("_marker").isNotNull(), KIND, {
@@ -45,7 +45,7 @@ def service_alerts(spark: SparkSession, svc: ForensicTable) -> DataFrame:
 def task_alerts(spark: SparkSession, tasks: ForensicTable) -> DataFrame:
     df, present = A.resolve(tasks, A.TASKS)
     if not present["action"]:
-        return empty_alerts(spark, KIND)
+        return empty_alerts(spark, KIND, df)
     name, action = F.col("name"), F.col("action")
     return explode_slots(df, [rule_slot(3, any_regex(action, R.TASK_SUSPICIOUS_PATTERNS), KIND, {
         "alert_type": F.lit("HIDDEN_SCHEDULED_TASK"), "severity": F.lit("MEDIUM"),

@@ -342,7 +342,7 @@ INJ_COLS = "pid, name AS process_name, address, size, prot AS protection"
 
 
 def alerts_injection() -> str:
-    src = q("findevil")
+    src = q(R.MEMORY_SOURCES["findevil"])
     mismatch = "(exp <> '' AND fl <> '' AND NOT unb AND NOT starts_with(fl, exp))"
     reason = (f"CASE WHEN unb THEN {q(R.MSG['HOLLOWING_REASON_EMPTY'])} ELSE "
               f"{render(R.MSG['HOLLOWING_REASON_MISMATCH'], expected='exp', got='fl')} END")
@@ -365,7 +365,7 @@ def alerts_injection() -> str:
 
 
 def hidden_processes() -> str:
-    src = "findevil"
+    src = R.MEMORY_SOURCES["findevil"]
     return f"""
     WITH {v_process()}, {v_memory()}, {_mem_resolved()},
     act AS (SELECT DISTINCT {strip('pid')} AS pid FROM process_v WHERE {strip('pid')} <> ''),

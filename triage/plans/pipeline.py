@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triage import rules as R
 from triage.operators import alerts as AL
 from triage.operators import detect_injection as DI
 from triage.operators import detect_lateral as DL
@@ -74,7 +75,7 @@ def run(spark: SparkSession, case_dir: str, out_dir: str, specs: dict[str, dict[
         fams.append(("process", AL.ordered(DP.process_alerts(spark, proc), "process")))
         fams.append(("lateral", AL.ordered(DL.lateral_alerts(spark, proc), "lateral")))
     if mem_name:
-        fams.append(("injection", AL.ordered(DI.injection_alerts(spark, typed[mem_name], proc, mem_name), "injection")))
+        fams.append(("injection", AL.ordered(DI.injection_alerts(spark, typed[mem_name], proc, R.MEMORY_SOURCES.get(mem_name, f"typed_{mem_name}.csv")), "injection")))
     if any(k in typed for k in ("registry", "services", "tasks")):
         fams.append(("persistence", AL.ordered(DS.persistence_alerts(
             spark, typed.get("registry"), typed.get("services"), typed.get("tasks")), "persistence")))

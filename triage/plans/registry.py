@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from triage import rules as R
 from triage.operators import alerts as AL
 from triage.operators import detect_injection as DI
 from triage.operators import detect_lateral as DL
@@ -48,11 +49,11 @@ def q_alerts_lateral(spark, sf):
 
 
 def q_alerts_injection(spark, sf):
-    return AL.public(DI.region_alerts(spark, D.memory(spark, sf), "findevil"), "injection")
+    return AL.public(DI.region_alerts(spark, D.memory(spark, sf), R.MEMORY_SOURCES["findevil"]), "injection")
 
 
 def q_hidden_processes(spark, sf):
-    return AL.public(DI.hidden_processes(spark, D.memory(spark, sf), D.process(spark, sf), "findevil"),
+    return AL.public(DI.hidden_processes(spark, D.memory(spark, sf), D.process(spark, sf), R.MEMORY_SOURCES["findevil"]),
                      "injection")
 
 
@@ -102,7 +103,7 @@ def all_alerts(spark, sf):
         ("network", DN.dns_alerts(spark, D.dns(spark, sf), proc)),
         ("process", DP.process_alerts(spark, proc)),
         ("lateral", DL.lateral_alerts(spark, proc)),
-        ("injection", DI.injection_alerts(spark, mem, proc, "findevil")),
+        ("injection", DI.injection_alerts(spark, mem, proc, R.MEMORY_SOURCES["findevil"])),
         ("persistence", DS.persistence_alerts(spark, D.registry(spark, sf), D.services(spark, sf),
                                               D.tasks(spark, sf))),
     ]

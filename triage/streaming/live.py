@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from triage import rules as R
 from triage.operators import alerts as AL
 from triage.operators import detect_injection as DI
 from triage.operators import detect_persistence as DS
@@ -22,7 +23,7 @@ from triage.session import shared_scratch
 from triage.table import ForensicTable
 
 DETECTORS = {
-    "findevil": lambda spark, t: AL.public(DI.region_alerts(spark, t, "findevil"), "injection"),
+    "findevil": lambda spark, t: AL.public(DI.region_alerts(spark, t, R.MEMORY_SOURCES["findevil"]), "injection"),
     "services": lambda spark, t: AL.public(DS.service_alerts(spark, t), "persistence"),
     "tasks": lambda spark, t: AL.public(DS.task_alerts(spark, t), "persistence"),
     "registry": lambda spark, t: AL.public(DS.run_key_alerts(spark, t), "persistence"),

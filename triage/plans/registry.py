@@ -15,6 +15,7 @@ from triage.operators import detect_lateral as DL
 from triage.operators import detect_network as DN
 from triage.operators import detect_persistence as DS
 from triage.operators import detect_process as DP
+from triage.plans import correlations as CR
 from triage.plans import derive as D
 from triage.plans import oracle as O
 from triage.plans import validation as VP
@@ -166,6 +167,7 @@ QUERIES: dict[str, Query] = {
     "typed_sink": EV.typed_sink,
     "error_sink": EV.error_sink,
     "orphan_pids": EV.orphan_pids,
+    **CR.QUERIES,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
@@ -215,6 +217,7 @@ ORACLES: dict[str, Callable[[], str]] = {
     "typed_sink": O.typed_table,
     "error_sink": O.error_sink,
     "orphan_pids": O.orphan_pids,
+    **{name: (lambda body=body: CR.oracle(body)) for name, body in CR.ORACLES.items()},
 }
 
 

@@ -129,3 +129,12 @@ def injection_alerts(spark: SparkSession, mem: ForensicTable, proc: ForensicTabl
     per_row = region_alerts(spark, mem, source_name)
     dkom = hidden_processes(spark, mem, proc, source_name)
     return per_row.unionByName(dkom.select(*per_row.columns))
+
+
+def scan_counters(mem: ForensicTable, source_name: str) -> DataFrame:
+    """AGG-12: what the region rules looked at: rows, rows with RWX protection, and those of them that alert."""
+    df, present = A.resolve(mem, A.MEMORY)
+    pre, slots = _region_exprs(source_name, present["protection"], present["name"])
+    alerts = slots[0].isNotNull() if present["protection"] else F.lit(False)
+    return df.withColumns(pre).agg(F.count("*").alias("rows"), F.count_if("_rwx").alias("rwx_rows"), F.count_if(alerts).alias("rwx_alerts")).select(
+        F.lit(source_name).alias("source_table"), "rows", "rwx_rows", "rwx_alerts")

@@ -110,3 +110,15 @@ def enrich_file_table(t, store_stats: DataFrame, root: str) -> DataFrame:
     path_col = t.columns[pi if pi is not None else 0]
     id_col = t.columns[ii] if ii is not None else None
     return enrich_files(t.df, store_stats, root, path_col, id_col)
+
+
+STATISTICS = ("entropy", "md5", "sha256", "file_size")
+
+
+def join_back(table: DataFrame, enriched: DataFrame, path: str) -> DataFrame:
+    """JN-13: a table with the statistics of its files, by file path; '' where
+    there are none.  Files listed several times under one path have one set of
+    statistics, so rows of the table are not multiplied."""
+    stats = enriched.where("file_path <> '' and status = 'ok'").groupBy("file_path").agg(*(F.max(c).alias(c) for c in STATISTICS))
+    out = table.join(stats, table[path] == stats["file_path"], "left")
+    return out.select(*(table[c] for c in table.columns), *(F.coalesce(stats[c], F.lit("")).alias(c) for c in STATISTICS))

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,12 @@ from pyspark.sql import types as T
 from triage.sources.csv import fields_of
 
 CORRUPT = "_corrupt"
+#: Bytes that one value of a binary column can hold.
+LARGEST = (1 << 31) - 1
+# FIXED VALUE: tag of a file that the operating system does not let be read
+LOCKED = "locked_by_os"
+TOO_LARGE = f"larger than {LARGEST} bytes"
+UNREADABLE = "could not be read"
 # FIXED VALUES: characters that make a column name need YAML quoting
 YAML_SPECIAL = ":{},[]&*?|>!%@`#'\"\\"
 
@@ -42,7 +49,8 @@ def entry_of(path: Column, root: str) -> Column:
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """All files below root, zero-byte files included: path, entry, length.
+    """All files below root, zero-byte files included: path, entry, length,
+    fault (NULL, or why the file cannot be inventoried).
 
     File listing is metadata: it goes through the Hadoop FileSystem API on
     the driver (as Spark's own file index does); hidden files (_x, .x) are
@@ -52,6 +60,7 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(root)
     fs = p.getFileSystem(conf)
+    read = jvm.org.apache.hadoop.fs.permission.FsAction.READ
     rows = []
     if fs.exists(p):
         it = fs.listFiles(p, True)
@@ -61,28 +70,44 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
             rel = fp.toUri().getPath()[len(_norm_root(p.toUri().getPath())):]
             if any(part.startswith(("_", ".")) for part in rel.strip("/").split("/")):
                 continue
-            rows.append((fp.toString(), int(st.getLen())))
-    df = spark.createDataFrame(rows, "path string, length long")
+            fault = TOO_LARGE if st.getLen() > LARGEST else None
+            try:
+                fs.access(fp, read)
+            except Py4JJavaError as e:
+                kind = e.java_exception.getClass().getSimpleName()
+                fault = LOCKED if "AccessControl" in kind else UNREADABLE
+            rows.append((fp.toString(), int(st.getLen()), fault))
+    df = spark.createDataFrame(rows, "path string, length long, fault string")
     return df.withColumn("entry", entry_of(F.col("path"), root))
 
 
-def fingerprints(spark: SparkSession, root: str) -> DataFrame:
-    """SRC-04: sha256 / md5 / size of every file's bytes."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+#: A file that vanishes or fails while it is read costs its own rows alone.
+ISOLATED = {"ignoreMissingFiles": "true", "ignoreCorruptFiles": "true"}
+
+
+def _without(df: DataFrame, faulty: list[str]) -> DataFrame:
+    """Leaves files out before they are opened: a filter on file metadata prunes the scan."""
+    return df.where(~F.col("_metadata.file_path").isin(faulty)) if faulty else df
+
+
+def fingerprints(spark: SparkSession, root: str, faulty: list[str] | None = None) -> DataFrame:
+    """SRC-04: sha256 / md5 / size of every readable file's bytes."""
+    df = _without(spark.read.format("binaryFile").options(recursiveFileLookup="true", **ISOLATED).load(root), faulty or [])
     return df.select("path", entry_of(F.col("path"), root).alias("entry"),
                      F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"),
                      F.md5("content").alias("md5"))
 
 
-def records(spark: SparkSession, root: str, encoding: str = "UTF-8") -> DataFrame:
+def records(spark: SparkSession, root: str, encoding: str = "UTF-8", faulty: list[str] | None = None) -> DataFrame:
     """Every CSV record of every file: path, _row_id (file order), cells."""
     schema = T.StructType([T.StructField("_c0", T.StringType()), T.StructField(CORRUPT, T.StringType())])
-    raw = (spark.read.schema(schema)
-           .options(header=False, multiLine=True, escape='"', quote='"', mode="PERMISSIVE",
+    raw = (_without(spark.read.schema(schema)
+           .options(**ISOLATED,
+                    header=False, multiLine=True, escape='"', quote='"', mode="PERMISSIVE",
                     columnNameOfCorruptRecord=CORRUPT, nullValue="\u0000<missing>\u0000", emptyValue="",
                     encoding=encoding, recursiveFileLookup=True, ignoreLeadingWhiteSpace=False,
                     ignoreTrailingWhiteSpace=False)
-           .csv(root)
+           .csv(root), faulty or [])
            .select("_c0", CORRUPT, F.col("_metadata.file_path").alias("path"),
                    F.monotonically_increasing_id().alias("_row_id")))
     # cells stay in their raw (quoted) form; only header rows are unquoted
@@ -93,9 +118,9 @@ def records(spark: SparkSession, root: str, encoding: str = "UTF-8") -> DataFram
     return raw.select("path", "_row_id", cells.alias("cells"), single.alias("_single"))
 
 
-def file_stats(spark: SparkSession, root: str) -> DataFrame:
+def file_stats(spark: SparkSession, root: str, faulty: list[str] | None = None) -> DataFrame:
     """Per physical file: headers, data rows, rows wider than the header."""
-    rec = records(spark, root)
+    rec = records(spark, root, faulty=faulty)
     heads = (rec.groupBy("path")
                 .agg(F.min_by(F.struct("cells", "_single"), "_row_id").alias("_h"), F.min("_row_id").alias("_hid"))
                 .select("path", "_hid", F.when(F.col("_h._single"), F.col("_h.cells"))
@@ -120,17 +145,24 @@ def anomalies(headers: Column, row_count: Column) -> Column:
         F.transform(dups, lambda d: F.concat(F.lit("duplicate_header: "), d))))
 
 
-def inventory(spark: SparkSession, root: str, pattern: str = r"\.csv$") -> DataFrame:
+def inventory(spark: SparkSession, root: str, pattern: str = r"\.csv$", files: DataFrame | None = None) -> DataFrame:
     """PRF-02: one entry per top-level *.csv entry of ``root``.
 
+    A file that is locked, larger than one value can hold, or cannot be read
+    (any more) tags its own entry with read_error, without headers, rows or
+    hash; all others are inventoried.  ``files``: a listing taken before.
+
     filename, filepath, headers, row_count, ingest_errors, sha256, anomalies.
     Entries whose name starts with typed_ / alerts_ / _ are outputs of later
     stages and are not inventoried.
     """
-    lst = listing(spark, root).where(F.col("entry").rlike(pattern) & ~F.col("entry").rlike(r"^(typed_|alerts_|_)"))
-    stats = file_stats(spark, root)
-    fp = fingerprints(spark, root).select("path", "sha256")
-    per_file = lst.join(stats, "path", "left").join(fp, "path", "left")
+    files = listing(spark, root) if files is None else files
+    lst = files.where(F.col("entry").rlike(pattern) & ~F.col("entry").rlike(r"^(typed_|alerts_|_)"))
+    faulty = [r.path for r in files.where("fault is not null").select("path").collect()]     # by exception, few
+    stats = file_stats(spark, root, faulty)
+    fp = fingerprints(spark, root, faulty).select("path", "sha256")
+    per_file = lst.join(stats, "path", "left").join(fp, "path", "left").withColumn(
+        "fault", F.coalesce("fault", F.when((F.col("length") > 0) & F.col("sha256").isNull(), F.lit(UNREADABLE))))
     # fold parts: header from the first non-empty part, counts summed,
     # sha256 of a single file as is, else over the ordered part hashes
     e = per_file.groupBy("entry").agg(
@@ -139,16 +171,19 @@ def inventory(spark: SparkSession, root: str, pattern: str = r"\.csv$") -> DataF
         F.sum(F.coalesce("ingest_errors", F.lit(0))).alias("ingest_errors"),
         F.count(F.lit(1)).alias("_parts"),
         F.array_sort(F.collect_list(F.struct("path", "sha256"))).alias("_h"),
-        F.min("path").alias("_p"),
+        F.min("path").alias("_p"), F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("path"))).alias("_fault"),
     )
-    headers = F.coalesce(F.col("headers"), F.array().cast("array<string>"))
-    sha = F.when(F.col("_parts") == 1, F.col("_h")[0]["sha256"]).otherwise(
+    none, fine = F.array().cast("array<string>"), F.col("_fault").isNull()
+    e = e.withColumns({"headers": F.when(fine, F.coalesce("headers", none)).otherwise(none),
+                       **{c: F.when(fine, F.col(c)).otherwise(0) for c in ("row_count", "ingest_errors")}})
+    headers = F.col("headers")
+    sha = F.when(~fine, F.lit("")).when(F.col("_parts") == 1, F.col("_h")[0]["sha256"]).otherwise(
         F.sha2(F.array_join(F.transform("_h", lambda x: x["sha256"]), ""), 256))
     return e.select(F.col("entry").alias("filename"),
                     F.col("_p").alias("filepath"),
                     headers.alias("headers"), F.col("row_count").cast("long").alias("row_count"),
                     F.col("ingest_errors").cast("long").alias("ingest_errors"), sha.alias("sha256"),
-                    anomalies(headers, F.col("row_count")).alias("anomalies"))
+                    F.when(fine, anomalies(headers, F.col("row_count"))).otherwise(F.array(F.concat(F.lit("read_error: "), "_fault"))).alias("anomalies"))
 
 
 def anomaly_summary(entries: DataFrame) -> DataFrame:

@@ -132,3 +132,18 @@ def timeline_union(spark, sf):
     t = (spark.read.options(header=True, multiLine=True, escape='"').csv(root)
          .where(F.col("source").startswith("timeline_")))
     return t.groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def entropy_join_back(spark, sf):
+    """The files table with the statistics found for its paths."""
+    files = doc_files(spark, sf)
+    return E.join_back(files, path_resolution(spark, sf), "file_path")
+
+
+def lossy_decode(spark, sf):
+    """Document texts with bytes put in that are no UTF-8: a stray one, the
+    first of two, the first two of three, or none, by id."""
+    k = F.col("doc_id") % 4
+    stray = F.when(k == 0, F.unhex(F.lit("FF"))).when(k == 1, F.unhex(F.lit("C3"))).when(k == 2, F.unhex(F.lit("E282"))).otherwise(F.unhex(F.lit("")))
+    content = F.concat(F.encode(F.substring("text", 1, 5), "UTF-8"), stray, F.encode(F.expr("substring(text, 6)"), "UTF-8"))
+    return D.table(spark, sf, "documents").select("doc_id", TX.lossy_text(content).alias("text"))

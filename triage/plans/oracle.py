@@ -919,3 +919,30 @@ def orphan_pids() -> str:
     return f"""WITH {v_process()}, {v_net()}
     SELECT pid, count(*) AS "rows" FROM (SELECT {strip('pid')} AS pid FROM net_v)
     WHERE pid <> '' AND pid NOT IN (SELECT {strip('pid')} FROM process_v) GROUP BY pid"""
+
+
+# ---------------------------------------------------------------------------
+# faults, join-back, lossy text, counters
+# ---------------------------------------------------------------------------
+
+def inventory_faults() -> str:
+    from triage.operators.profile import LOCKED, UNREADABLE
+    faults = " UNION ALL ".join(f"SELECT {q(f)}, 0, '', 0, 0, {q('read_error: ' + why)}" for f, why in (("locked.csv", LOCKED), ("vanished.csv", UNREADABLE)))
+    return f"SELECT * FROM ({_inventory_sql()}) UNION ALL {faults}"
+
+
+def entropy_join_back() -> str:
+    cols = "entropy", "md5", "sha256", "file_size"
+    return f"""WITH {_resolution()},
+    s AS (SELECT DISTINCT file_path, {', '.join(cols)} FROM out WHERE status = 'ok')
+    SELECT fl.file_path, fl.file_id, {', '.join(f"coalesce(s.{c}, '') AS {c}" for c in cols)} FROM fl LEFT JOIN s ON s.file_path = fl.file_path"""
+
+
+def lossy_decode() -> str:
+    return "SELECT doc_id, left(text, 5) || CASE WHEN doc_id % 4 = 3 THEN '' ELSE chr(65533) END || substr(text, 6) AS text FROM documents"
+
+
+def injection_counters() -> str:
+    return f"""WITH {v_memory()}, {_mem_resolved()}
+    SELECT {q(R.MEMORY_SOURCES["findevil"])} AS source_table, count(*) AS rows, count(*) FILTER (rwx) AS rwx_rows,
+           count(*) FILTER (rwx AND (unb OR (CASE WHEN tl <> '' THEN contains(tl, 'private') ELSE TRUE END))) AS rwx_alerts FROM mm"""

@@ -58,6 +58,10 @@ def q_hidden_processes(spark, sf):
                      "injection")
 
 
+def q_injection_counters(spark, sf):
+    return DI.scan_counters(D.memory(spark, sf), R.MEMORY_SOURCES["findevil"])
+
+
 def q_alerts_persistence(spark, sf):
     return AL.public(DS.persistence_alerts(spark, D.registry(spark, sf), D.services(spark, sf),
                                            D.tasks(spark, sf)), "persistence")
@@ -167,6 +171,10 @@ QUERIES: dict[str, Query] = {
     "typed_sink": EV.typed_sink,
     "error_sink": EV.error_sink,
     "orphan_pids": EV.orphan_pids,
+    "inventory_faults": FP.inventory_faults,
+    "entropy_join_back": EQ.entropy_join_back,
+    "lossy_decode": EQ.lossy_decode,
+    "injection_counters": q_injection_counters,
     **CR.QUERIES,
 }
 
@@ -217,6 +225,10 @@ ORACLES: dict[str, Callable[[], str]] = {
     "typed_sink": O.typed_table,
     "error_sink": O.error_sink,
     "orphan_pids": O.orphan_pids,
+    "inventory_faults": O.inventory_faults,
+    "entropy_join_back": O.entropy_join_back,
+    "lossy_decode": O.lossy_decode,
+    "injection_counters": O.injection_counters,
     **{name: (lambda body=body: CR.oracle(body)) for name, body in CR.ORACLES.items()},
 }
 

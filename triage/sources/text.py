@@ -45,3 +45,8 @@ def flagged_ids(lines: DataFrame, value: str = "value") -> DataFrame:
     toks = F.split(F.trim(F.translate(F.col(value), ",|", "  ")), r"\s+")
     first = F.get(F.filter(toks, lambda x: x.rlike(r"^[0-9]+$")), 0)
     return lines.where(hit).select(first.alias("pid")).where(F.col("pid").isNotNull()).distinct()
+
+
+def lossy_text(content):
+    """SCL-14: bytes as UTF-8 text; what is no UTF-8 becomes U+FFFD, nothing fails."""
+    return F.make_valid_utf8(content.cast("string"))

@@ -99,12 +99,6 @@ class WordIds:
             self.old, self.young = self.young, {}
         self.young[key] = ids
 
-    def known(self, key: int) -> bytes | None:
-        got = self.young.get(key)
-        if got is None and (got := self.old.get(key)) is not None:
-            self.keep(key, got)
-        return got
-
     def encoded(self, texts: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(rows, ids, edges) for runs of rows: text rows[r] has the ids
         ids[edges[r]:edges[r + 1]], ``end_id`` the last of them."""
@@ -126,14 +120,19 @@ class WordIds:
             first = np.append(np.searchsorted(ws, lo), len(ws))
         keys, one, which = np.unique(C.span_hashes(low, ws, we), return_index=True, return_inverse=True)
         keys = keys.tolist()
-        found = [self.known(k) for k in keys]
-        new = [i for i, x in enumerate(found) if x is None]
+        found, new = list(map(self.young.get, keys)), []
+        for i in [i for i, x in enumerate(found) if x is None]:
+            if (x := self.old.get(keys[i])) is None:
+                new.append(i)
+            else:
+                found[i] = x
+                self.keep(keys[i], x)
         if new:
             data, at = low.tobytes(), one[new]
             units = [data[s:e] for s, e in zip(ws[at].tolist(), we[at].tolist())]
             for i, x in zip(new, self.learn([keys[i] for i in new], units)):
                 found[i] = x
-        base = np.append(0, np.cumsum([len(x) // 4 for x in found])).astype(np.int64)
+        base = np.append(0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4))
         flat = np.frombuffer(b"".join(found), np.uint32)[ranges(base[which], base[which + 1])]
         of_unit = np.append(0, np.diff(base)[which].cumsum()) if len(which) else np.zeros(1, np.int64)
         n = np.diff(of_unit[first])

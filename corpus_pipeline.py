@@ -5,6 +5,13 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; ``run`` writes each stage's result to the shared scratch folder and
 reads it back as the next one's documents.  All stages but the last return the
 columns of documents.
+
+Null, empty and letterless texts go at the first stage, texts under 50 words at
+the second.  Very long texts are worked through whole, by one task each.  Of
+repeated rows and of near copies one stays, the smallest doc_id (null doc_ids
+count as the largest).  Null languages and sources are groups of their own;
+ties are settled by doc_id.  An empty table (or one that a stage empties) gives
+no rows.  Columns besides those of documents are left out, whatever their names.
 """
 
 from __future__ import annotations

@@ -147,8 +147,12 @@ class Windows:
         packed[_indices(edge[1:] - n_b, edge[1:])] = ids_b[_indices(cut_b[which], cut_b[which + 1])]
         raw, edge = packed.tobytes(), (4 * edge).tolist()
         keys = [raw[p:q] for p, q in zip(edge, edge[1:])]
-        found = [self.young.get(k) or self.old.get(k) for k in keys]
-        missing = np.array([i for i, x in enumerate(found) if x is None], np.int64)
+        found, missing = list(map(self.young.get, keys)), []
+        for i in [i for i, x in enumerate(found) if x is None]:
+            found[i] = self.old.get(keys[i])
+            if found[i] is None:
+                missing.append(i)
+        missing = np.array(missing, np.int64)
         if len(missing):
             w = which[missing]
             for i, x in zip(missing.tolist(), self.worked_out(ids_a, cut_a[w], cut_a[w + 1], ids_b, cut_b[w], cut_b[w + 1])):
@@ -200,20 +204,17 @@ def _flat(ids: list[list[int]]) -> np.ndarray:
     return np.frombuffer(out, np.uint32) if out else np.zeros(0, np.uint32)
 
 
-def misspelt(ids: list[list[int]], vocab: Tokens, given: list) -> list[int]:
-    """The texts whose ids do not spell the given bytes."""
-    flat = _flat(ids)
-    edge = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int64)
-    size = np.append(0, vocab.length[flat].cumsum())[edge]
-    want = np.append(0, np.cumsum([len(x) for x in given]))
-    wrong = np.diff(size) != np.diff(want)
-    if not wrong.any():
-        differ = np.flatnonzero(vocab.spell(flat) != np.frombuffer(b"".join(given), np.uint8))
-        wrong[np.searchsorted(want, differ, "right") - 1] = True
-        return np.flatnonzero(wrong).tolist()
-    fits = np.flatnonzero(~wrong).tolist()
-    among = misspelt([ids[t] for t in fits], vocab, [given[t] for t in fits])
-    return [*np.flatnonzero(wrong).tolist(), *(fits[t] for t in among)]
+def misspelt(flat: np.ndarray, n: np.ndarray, vocab: Tokens, given: list[bytes]) -> np.ndarray:
+    """The texts whose ids (n of each, in a row) do not spell the given bytes."""
+    size = np.diff(np.append(0, vocab.length[flat].cumsum())[np.append(0, n.cumsum())])
+    want = np.array([len(x) for x in given])
+    fits = np.flatnonzero(size == want)
+    if len(fits) < len(given):
+        flat, given = flat[np.repeat(size == want, n)], [given[t] for t in fits.tolist()]
+    differ = np.flatnonzero(vocab.spell(flat) != np.frombuffer(b"".join(given), np.uint8))
+    wrong = size != want
+    wrong[fits[np.searchsorted(want[fits].cumsum(), differ, "right")]] = True
+    return np.flatnonzero(wrong)
 
 
 def align(texts: list[str], a: Tokens, b: Tokens, windows: Windows):
@@ -224,11 +225,15 @@ def align(texts: list[str], a: Tokens, b: Tokens, windows: Windows):
         ids_a += a.ids(texts[lo:hi])
         ids_b += b.ids(texts[lo:hi])
     given = [b" " + t.encode() if t else b"" for t in texts]
-    for ids, vocab in ((ids_a, a), (ids_b, b)):
-        for t in misspelt(ids, vocab, given):
-            ids_a[t], ids_b[t], given[t] = [], [], b""
-    flat_a, flat_b = _flat(ids_a), _flat(ids_b)
     n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
+    flat_a, flat_b = _flat(ids_a), _flat(ids_b)
+    wrong = np.union1d(misspelt(flat_a, n_a, a, given), misspelt(flat_b, n_b, b, given))
+    wrong = np.union1d(wrong, np.flatnonzero([not x for x in given]))
+    if len(wrong):
+        right = np.ones(size, bool)
+        right[wrong] = False
+        flat_a, flat_b = flat_a[np.repeat(right, n_a)], flat_b[np.repeat(right, n_b)]
+        n_a, n_b = n_a * right, n_b * right
     n_groups, n_links, groups = np.zeros(size, np.int64), np.zeros(size, np.int64), [b""] * size
     if not len(flat_a):
         return n_a, n_b, n_groups, n_links, groups, (np.zeros(0, np.int64),) * 3

@@ -169,10 +169,13 @@ def brute_hits(text, items):
     return len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("which,block", [("odd_docs", 10 ** 9), ("odd_docs", 60), ("docs", 10 ** 9), ("docs", 3_000)])
-def test_decontamination(spark, which, block, request, monkeypatch):
+@pytest.mark.parametrize("which,rows", [("odd_docs", 500_000), ("odd_docs", 0), ("docs", 500_000), ("docs", 0)])
+def test_decontamination(spark, which, rows, request, monkeypatch):
+    """rows: 0 joins windows and hits without a broadcast."""
     df = request.getfixturevalue(which)
-    monkeypatch.setattr(decontam, "BLOCK_CHARS", block)
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(decontam, "HELD", 50)
+    monkeypatch.setattr(decontam, "PART", 7)
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     odd = [(100, "One"), (101, "WORD list long"), (102, ""), (103, None), (None, "one"), (104, "a b"), (100, "two"),
            (105, "repeat me repeat me repeat me"), (106, "long word list " * 5), (106, "long word list " * 5)]
@@ -181,6 +184,21 @@ def test_decontamination(spark, which, block, request, monkeypatch):
     want = sorted(key((r.doc_id, *brute_hits(r.text, items))) for r in df.collect())
     got = sorted(key(r) for r in decontam.digest(decontam.decontaminated(df, bench, ["doc_id"])).collect())
     assert got == want
+    kept = decontam.clean(df, bench, ["doc_id", "text"])
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(r[0] for r in want if r[-1] == "False")
+
+
+def test_decontamination_by_many_items_of_a_passage(spark):
+    """A passage that half of the items and a third of the documents share."""
+    rng = np.random.default_rng(3)
+    word = lambda n: [f"v{i}" for i in rng.integers(0, 500, n)]
+    passage = word(14)
+    bench = [(i, " ".join(word(3) + passage + word(2) if i % 2 else word(int(rng.integers(1, 25))))) for i in range(60)]
+    texts = [(i, " ".join(word(30) + (passage[:11] if i % 3 == 0 else []) + word(20) + (bench[i % 60][1].split() if i % 5 == 0 else []))) for i in range(90)]
+    items = [(i, t.split()) for i, t in bench]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    got = decontam.digest(decontam.decontaminated(df, spark.createDataFrame(bench, "item_id long, text string"), ["doc_id"]))
+    assert sorted(key(r) for r in got.collect()) == sorted(key((d, *brute_hits(t, items))) for d, t in texts)
 
 
 def test_decontamination_without_items_or_documents(spark, odd_docs, no_docs):
@@ -189,3 +207,4 @@ def test_decontamination_without_items_or_documents(spark, odd_docs, no_docs):
     assert len(rows) == odd_docs.count() and {r.items_sha256 for r in rows} == {decontam.NO_ITEMS}
     bench = spark.createDataFrame([(1, "one")], "item_id long, text string")
     assert decontam.decontaminated(no_docs, bench, ["doc_id"]).count() == 0
+    assert decontam.clean(odd_docs, none, ["doc_id"]).count() == odd_docs.count() and decontam.clean(no_docs, bench, ["doc_id"]).count() == 0

@@ -79,6 +79,23 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bitmap(df: DataFrame, column: str, most: int = 1 << 28) -> np.ndarray:
+    """Bit map of a column of mixed longs, 16 to 32 bits a row as far as ``most``
+    bits: a filter of bounded size, after which an exact test follows."""
+    bits = min(most, 1 << max(16, (16 * df.count()).bit_length()))
+    bit = F.col(column).bitwiseAND(bits - 1)
+    cells = df.select(bit.alias("b")).groupBy(F.shiftright("b", 5).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(b & 31 as int))")).alias("v")).toPandas()
+    out = np.zeros(bits // 32, np.uint32)
+    out[cells["w"].to_numpy(np.int64)] = cells["v"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = (h & U64(32 * len(bits) - 1)).astype(np.int64)
+    return (bits[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """64-bit finaliser (bijective)."""
     h = h ^ (h >> U64(30))

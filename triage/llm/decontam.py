@@ -8,17 +8,20 @@ ordered by how often they occur in all documents, each window is filed under
 its rarest one, and a document position joins the windows filed under the
 shingle that begins there.  The position bound (the shingle's offset in the
 window gives the only possible start) and the length bound (the window must
-end inside the document) come before the exact comparison of all words.
-
-The benchmark is taken in blocks of about ``BLOCK_CHARS`` characters; a block
-is broadcast, so its size is bounded, and the documents flow through one map
-stage for each block: no shuffle of documents, whatever the hot groups.  A
-first scan for each block counts its shingles over all documents.
-
-Words are compared by 64-bit hashes of their bytes.  Null and empty texts have
-no words; items without words or without an item_id match nothing; equal
-item_ids count once; null doc_ids stay null; repeated rows each give a row;
-other columns are ignored; an empty benchmark or document table is fine.
+end inside the document) come before the comparison of the whole window.
+
+Windows, their shingles and the counts are Spark rows, for a benchmark of any
+size.  Tasks get two bit maps of bounded size (shingles that a window is filed
+under, windows) and read all documents once to count and once to match; the
+document windows that pass both maps, nearly all of them true, join the windows
+by Spark.  A document is not shuffled, only the places of its hits, whatever
+the hot groups.
+
+Words are compared by 64-bit hashes of their bytes, windows by two such hashes
+of their words.  Null and empty texts have no words; items without words or
+without an item_id match nothing; equal item_ids count once; null doc_ids stay
+null; repeated rows each give a row; other columns are ignored; an empty
+benchmark or document table is fine.
 """
 
 from __future__ import annotations
@@ -34,9 +37,17 @@ from triage.llm import common as C
 
 WINDOW = 10
 SHINGLE = 3
-BLOCK_CHARS = 16_000_000
-#: Fold of a shingle hash into a table that rules out most positions at once.
-FOLD = 22
+#: Rows of a table that may be broadcast.
+BROADCAST_ROWS = 500_000
+#: A task hands on its counts of shingles when it holds so many.
+HELD = 400_000
+#: Windows of an item that are held at once.
+PART = 1 << 16
+
+
+def _document():
+    """Identity of a document, beside its doc_id: equal rows share their hits."""
+    return F.xxhash64("doc_id", "text").alias("_d")
 
 
 def _words(buf, lo, hi):
@@ -54,195 +65,202 @@ def _shingle(h: np.ndarray, k: int) -> np.ndarray:
     return C.mix(acc + np.uint64(k))
 
 
-class Block:
-    """The distinct windows of some items: words (w, WINDOW) with 0 behind
-    short ones, length, and the items that hold each window."""
-
-    def __init__(self, ids: list, texts: list[str]):
-        words, length, item = [], [], []
-        for rows, buf, lo, hi in C.slices(pa.array(texts, pa.large_string())):
-            h, first = _words(buf, lo, hi)
-            for r, a, b in zip(rows.tolist(), first[:-1].tolist(), first[1:].tolist()):
-                size = min(WINDOW, b - a)
-                for s in range(a, b - size + 1 if size else a):
-                    w = np.zeros(WINDOW, np.uint64)
-                    w[:size] = h[s:s + size]
-                    words.append(w)
-                    length.append(size)
-                    item.append(r)
-        self.ids = [str(i) for i in ids]
-        words = np.array(words, np.uint64).reshape(-1, WINDOW)
-        self.words, back = np.unique(words, axis=0, return_inverse=True) if len(words) else (words, np.zeros(0, np.int64))
-        back = back.ravel()
-        self.length = np.zeros(len(self.words), np.int64)
-        self.length[back] = length
-        pairs = np.unique(np.stack([back, np.array(item, np.int64)], 1), axis=0) if len(words) else np.zeros((0, 2), np.int64)
-        self.item, self.item_from = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.words) + 1))
-        # all shingles of all windows: (window, offset, hash)
-        parts = []
-        for k in range(1, SHINGLE + 1):
-            mine = np.flatnonzero((self.length >= k) if k == SHINGLE else (self.length == k))
-            for off in range(WINDOW - k + 1 if k == SHINGLE else 1):
-                has = mine[self.length[mine] >= off + k]
-                rows = self.words[has, off:off + k]
-                parts.append((has, np.full(len(has), off), np.full(len(has), k), _row_shingle(rows)))
-        self.s_window, self.s_offset, self.s_words, self.s_hash = (np.concatenate(x) for x in zip(*parts))
-        self.vocabulary = np.unique(self.s_hash)
-
-    def file(self, counts: np.ndarray) -> None:
-        """Files each window under its rarest shingle; counts by vocabulary."""
-        rarity = counts[np.searchsorted(self.vocabulary, self.s_hash)]
-        order = np.lexsort((self.s_offset, self.s_hash, rarity, self.s_window))
-        first = np.ones(len(order), bool)
-        first[1:] = self.s_window[order][1:] != self.s_window[order][:-1]
-        pick = order[first]
-        pick = pick[np.argsort(self.s_hash[pick], kind="stable")]
-        self.key, self.window, self.offset = self.s_hash[pick], self.s_window[pick], self.s_offset[pick]
-        self.sizes = np.unique(self.s_words[pick]).tolist()
-        self.fold = np.zeros(1 << FOLD, bool)
-        self.fold[self.key >> np.uint64(64 - FOLD)] = True
-        del self.s_window, self.s_offset, self.s_words, self.s_hash, self.vocabulary
-
-    def matches(self, h: np.ndarray, first: np.ndarray):
-        """(row, start, window) of every occurrence of a window in the rows."""
-        found = []
-        for k in self.sizes:
-            s = _shingle(h, k)
-            at = np.flatnonzero(self.fold[s >> np.uint64(64 - FOLD)])
-            lo, hi = np.searchsorted(self.key, s[at]), np.searchsorted(self.key, s[at], "right")
-            at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            entry = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else lo, n) + np.arange(n.sum())
-            at = np.repeat(at, n)
-            window, start = self.window[entry], at - self.offset[entry]
-            row = np.searchsorted(first, at, "right") - 1
-            ok = (start >= first[row]) & (start + self.length[window] <= first[row + 1])
-            row, start, window = row[ok], start[ok], window[ok]
-            for j in range(WINDOW):
-                inside = self.length[window] > j
-                same = ~inside
-                same[inside] = h[start[inside] + j] == self.words[window[inside], j]
-                row, start, window = row[same], start[same], window[same]
-            found.append((row, start, window))
-        return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
-
-
-def _row_shingle(words: np.ndarray) -> np.ndarray:
-    acc = np.zeros(len(words), np.uint64)
-    for j in range(words.shape[1]):
-        acc += words[:, j] * np.uint64((C.BASE * (2 * j + 3)) & (2 ** 64 - 1))
-    return C.mix(acc + np.uint64(words.shape[1]))
-
-
-def _counts(docs: DataFrame, block: Block) -> np.ndarray:
-    """Occurrences of the block's shingles in all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast((block.vocabulary, np.unique(block.s_words).tolist()))
+def _window(h: np.ndarray, start: np.ndarray, size: int):
+    """Two hashes of the ``size`` words from each start on."""
+    one, two = np.full(len(start), size, np.uint64), np.zeros(len(start), np.uint64)
+    for j in range(size):
+        w = h[start + j]
+        one += w * np.uint64((C.BASE * (2 * j + 5)) & (2 ** 64 - 1))
+        two += C.mix(w + np.uint64(j + 1) * C.MIX2)
+    return C.mix(one), C.mix(two)
+
+
+# -------------------------------------------------------------------- windows
+
+def windows(bench: DataFrame) -> DataFrame:
+    """(w1, w2, size, item, sh): the windows of all items, each with its
+    shingles in order."""
 
     def run(batches):
-        vocabulary, sizes = shared.value
-        fold = np.zeros(1 << FOLD, bool)
-        fold[vocabulary >> np.uint64(64 - FOLD)] = True
-        total = np.zeros(len(vocabulary), np.int64)
         for b in batches:
-            for _, buf, lo, hi in C.slices(b.column("text")):
+            for rows, buf, lo, hi in C.slices(b.column("text")):
                 h, first = _words(buf, lo, hi)
-                for k in sizes:
-                    s = _shingle(h, k)
-                    s = s[fold[s >> np.uint64(64 - FOLD)]]
-                    at = np.minimum(np.searchsorted(vocabulary, s), len(vocabulary) - 1)
-                    total += np.bincount(at[vocabulary[at] == s], minlength=len(vocabulary))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["i", "n"])
+                n = np.diff(first)
+                size = np.minimum(WINDOW, n)
+                count = np.where(n > 0, n - size + 1, 0)
+                row = np.repeat(np.arange(len(n)), count)
+                start = first[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                for s in np.unique(size[row]).tolist():
+                    k, mine = min(SHINGLE, s), np.flatnonzero(size[row] == s)
+                    of = _shingle(h, k)
+                    for at in np.array_split(mine, -(-len(mine) // PART)):
+                        w1, w2 = _window(h, start[at], s)
+                        sh = of[start[at][:, None] + np.arange(s - k + 1)]
+                        edges = pa.array(np.arange(0, sh.size + 1, s - k + 1, dtype=np.int32))
+                        yield pa.RecordBatch.from_arrays(
+                            [C.as_long(w1), C.as_long(w2), pa.array(np.full(len(at), s, np.int32)), b.column("item").take(pa.array(rows[row[at]])),
+                             pa.ListArray.from_arrays(edges, C.as_long(sh.ravel()))], ["w1", "w2", "size", "item", "sh"])
+
+    items = bench.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
+    return items.mapInArrow(run, "w1 long, w2 long, size int, item string, sh array<long>")
+
+
+def _added(h: np.ndarray, n: np.ndarray):
+    u, back = np.unique(h, return_inverse=True)
+    return u, np.bincount(back, n, len(u)).astype(np.int64)
+
+
+def shingle_counts(docs: DataFrame, shingles: DataFrame, sizes: list[int]) -> DataFrame:
+    """(sh, n): how often shingles occur in all documents, those of the table
+    ``shingles`` (sh) and some others."""
+    shared = docs.sparkSession.sparkContext.broadcast(C.bitmap(shingles, "sh"))
+
+    @C.tidy
+    def run(batches):
+        bits = shared.value
+        h_all, n_all = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for b in batches:
+            for _, buf, lo, hi in C.slices(b.column("text")):
+                h, _ = _words(buf, lo, hi)
+                s = np.concatenate([x[C.in_bitmap(bits, x)] for x in (_shingle(h, k) for k in sizes)])
+                h_all, n_all = _added(np.concatenate([h_all, s]), np.concatenate([n_all, np.ones(len(s), np.int64)]))
+                if len(h_all) > HELD:
+                    yield pa.RecordBatch.from_arrays([C.as_long(h_all), pa.array(n_all)], ["sh", "n"])
+                    h_all, n_all = h_all[:0], n_all[:0]
+        yield pa.RecordBatch.from_arrays([C.as_long(h_all), pa.array(n_all)], ["sh", "n"])
 
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    got = texts.mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(block.vocabulary), np.int64)
-    out[got["i"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return out
-
-
-def _blocks(bench: DataFrame):
-    """Blocks of the benchmark, one at a time on the driver."""
-    items = bench.select("item_id", "text").where("item_id is not null and text is not null")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-chars // BLOCK_CHARS))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    for k in range(n):
-        got = items.where(part == k).distinct().collect()
-        if got:
-            block = Block([r.item_id for r in got], [r.text for r in got])
-            if len(block.words):
-                yield block
-
-
-def _apply(df: DataFrame, block: Block, kinds: str, count_words: bool, text: str) -> DataFrame:
-    """Adds the block's matches to _spans and _items (and n_words, if asked for)."""
-    shared = df.sparkSession.sparkContext.broadcast(block)
+    return texts.mapInArrow(run, "sh long, n long").groupBy("sh").agg(F.sum("n").alias("n"))
+
+
+def filed(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(w1, w2, size, key, off): each distinct window under its rarest shingle,
+    which begins ``off`` words after the window."""
+    own = C.saved(found.groupBy("w1", "w2").agg(F.first("size").alias("size"), F.first("sh").alias("sh")), "decon-distinct")
+    rows = own.select("w1", "w2", "size", F.posexplode("sh").alias("off", "sh"))
+    sizes = [r[0] for r in own.select(F.least("size", F.lit(SHINGLE))).distinct().collect()]     # 1, 2 and 3 at most
+    if not sizes:
+        return rows.select("w1", "w2", "size", F.col("sh").alias("key"), "off")
+    counts = shingle_counts(docs, C.saved(rows.select("sh").distinct(), "decon-shingles"), sorted(sizes))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("sh").alias("key"), "off"))
+    out = rows.join(counts, "sh", "left").groupBy("w1", "w2", "size").agg(rarest.alias("r"))
+    return C.saved(out.select("w1", "w2", "size", "r.key", "r.off"), "decon-filed")
+
+
+# -------------------------------------------------------------------- matches
+
+def hits(docs: DataFrame, file: DataFrame) -> DataFrame:
+    """(_d, _doc, m): of each document that holds a window the places (start,
+    end, w1, w2) of all it holds."""
+    spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    shapes = sorted((r.size, r.off) for r in file.select("size", "off").distinct().collect())     # WINDOW ** 2 at most
+    shared = spark.sparkContext.broadcast((C.bitmap(file, "key"), C.bitmap(file, "w1")))
 
     @C.tidy
     def run(batches):
-        block = shared.value
+        keys, whole = shared.value
         for b in batches:
-            spans, items = b.column("_spans").to_pylist(), b.column("_items").to_pylist()
-            n_words = np.zeros(b.num_rows, np.int64)
-            for rows, buf, lo, hi in C.slices(b.column(text)):
+            for rows, buf, lo, hi in C.slices(b.column("text")):
                 h, first = _words(buf, lo, hi)
-                n_words[rows] = np.diff(first)
-                row, start, window = block.matches(h, first)
-                order = np.lexsort((start, row))
-                row, start, window = row[order], start[order], window[order]
-                edges = np.searchsorted(row, np.arange(len(rows) + 1))
-                for r in np.unique(row).tolist():
-                    part = slice(edges[r], edges[r + 1])
-                    s = start[part] - first[r]
-                    spans[rows[r]] = _merged(spans[rows[r]], s, s + block.length[window[part]])
-                    ids = {block.ids[i] for w in set(window[part].tolist()) for i in block.item[block.item_from[w]:block.item_from[w + 1]]}
-                    items[rows[r]] = sorted({*items[rows[r]], *ids})
-            cols = [c for c in b.schema.names if c not in ("_spans", "_items")]
-            out = [*(b.column(c) for c in cols), *([pa.array(n_words)] if count_words else []),
-                   pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(out, [*cols, *(["n_words"] if count_words else []), "_spans", "_items"])
-
-    return df.mapInArrow(run, kinds)
-
-
-def _merged(flat: list[int], lo: np.ndarray, hi: np.ndarray) -> list[int]:
-    """Union of word spans as a flat list of starts and ends."""
-    out: list[int] = []
-    for a, b in sorted([*zip(flat[::2], flat[1::2]), *zip(lo.tolist(), hi.tolist())]):
-        if out and a <= out[-1]:
-            out[-1] = max(out[-1], b)
-        else:
-            out += [a, b]
-    return out
+                for k in sorted({min(SHINGLE, size) for size, _ in shapes}):
+                    at = np.flatnonzero(C.in_bitmap(keys, _shingle(h, k)))
+                    row = np.searchsorted(first, at, "right") - 1
+                    for size, off in shapes:
+                        if min(SHINGLE, size) != k:
+                            continue
+                        start = at - off
+                        ok = (start >= first[row]) & (start + size <= first[row + 1])
+                        start, r = start[ok], row[ok]
+                        w1, w2 = _window(h, start, size)
+                        ok = C.in_bitmap(whole, w1)
+                        if ok.any():
+                            of, place = pa.array(rows[r[ok]]), start[ok] - first[r[ok]]
+                            yield pa.RecordBatch.from_arrays(
+                                [b.column("_d").take(of), b.column("_doc").take(of), C.as_long(w1[ok]), C.as_long(w2[ok]), pa.array(place), pa.array(place + size)],
+                                ["_d", "_doc", "w1", "w2", "start", "end"])
+
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), _document(), F.col("doc_id").alias("_doc"))
+    near = texts.mapInArrow(run, f"_d long, _doc {kind}, w1 long, w2 long, start long, end long")
+    file = file.select("w1", "w2")
+    true = near.join(F.broadcast(file) if file.count() <= BROADCAST_ROWS else file, ["w1", "w2"])
+    return C.saved(true.groupBy("_d", "_doc").agg(F.sort_array(F.collect_list(F.struct("start", "end", "w1", "w2"))).alias("m")), "decon-hits")
+
+
+def _merged(batches):
+    """(_d, _doc, m) -> (_d, _doc, spans): unions of the places as flat lists."""
+    for b in batches:
+        col = b.column("m")
+        n = col.value_lengths().to_numpy().astype(np.int64)
+        places = col.flatten()
+        lo, hi = (places.field(x).to_numpy() for x in ("start", "end"))
+        row = np.repeat(np.arange(len(n)), n)
+        wide = (hi.max() + 2) if len(hi) else 1
+        reach = np.maximum.accumulate(hi + row * wide)
+        new = np.ones(len(lo), bool)
+        new[1:] = lo[1:] + row[1:] * wide > reach[:-1]      # spans that touch are one
+        begin = np.flatnonzero(new)
+        last = np.append(begin[1:], len(lo)) - 1
+        flat = np.stack([lo[begin], reach[last] - row[last] * wide], 1).ravel() if len(lo) else lo
+        edges = np.concatenate([[0], np.cumsum(2 * np.bincount(row[begin], minlength=len(n)))]).astype(np.int32)
+        spans = pa.ListArray.from_arrays(pa.array(edges), pa.array(flat.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([b.column("_d"), b.column("_doc"), spans], ["_d", "_doc", "spans"])
+
+
+def _all_hits(docs: DataFrame, bench: DataFrame):
+    """(hits, windows of all items)."""
+    found = C.saved(windows(bench), "decon-windows")
+    return hits(docs, filed(docs, found)), found
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def _word_counts(df: DataFrame, kinds: str, text: str) -> DataFrame:
+    @C.tidy
     def run(batches):
         for b in batches:
             n = [np.diff(_words(buf, lo, hi)[1]) for _, buf, lo, hi in C.slices(b.column(text))]
             n = np.concatenate(n) if n else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n)], [*b.schema.names, "n_words"])
+            cols = [c for c in b.schema.names if c != "_text"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(n)], [*cols, "n_words"])
 
     return df.mapInArrow(run, f"{kinds}, n_words long")
 
 
+def _found(docs: DataFrame, table: DataFrame, how: str):
+    """docs with _d joined with a table by document."""
+    doc = "_in_doc_id" if "_in_doc_id" in docs.columns else "doc_id"
+    return docs.join(table, (docs["_d"] == table["_d"]) & docs[doc].eqNullSafe(table["_doc"]), how)
+
+
 def decontaminated(docs: DataFrame, bench: DataFrame, carry: list[str], count_words: bool = True) -> DataFrame:
-    """The carried columns (among doc_id, text, lang, source, n_chars), spans
-    (flat list of starts and ends of hit words), items (sorted item_ids as
-    strings), and n_words if asked for."""
-    fields = [docs.schema[c] for c in carry]
-    text, df = C.text_name(carry), C.sent(docs, carry)
-    kinds = ", ".join([*(["_text string"] if text == "_text" else []), *(f"`_in_{f.name}` {f.dataType.simpleString()}" for f in fields)])
-    df = df.withColumns({"_spans": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
-    for k, block in enumerate(_blocks(bench)):
-        block.file(_counts(docs, block))
-        if count_words and not k:
-            kinds += ", n_words long"
-        df = _apply(df, block, f"{kinds}, _spans array<int>, _items array<string>", count_words and not k, text)
-    if count_words and "n_words" not in df.columns:
-        df = _word_counts(df, f"{kinds}, _spans array<int>, _items array<string>", text)
-    return df.select(*(F.col(f"_in_{c}").alias(c) for c in carry), *(["n_words"] if count_words else []),
-                     F.col("_spans").alias("spans"), F.col("_items").alias("items"))
+    """The carried columns (doc_id among doc_id, text, lang, source, n_chars),
+    spans (flat list of starts and ends of hit words), items (sorted item_ids
+    as strings), and n_words if asked for."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    hit, found = _all_hits(docs, bench)
+    spans = hit.mapInArrow(_merged, f"_d long, _doc {kind}, spans array<int>")
+    held = hit.select("_d", "_doc", F.explode(F.array_distinct(F.transform("m", lambda x: F.struct(x["w1"], x["w2"])))).alias("w"))
+    items = (held.select("_d", "_doc", "w.w1", "w.w2").join(found.select("w1", "w2", "item").distinct(), ["w1", "w2"])
+             .groupBy("_d", "_doc").agg(F.sort_array(F.collect_set("item")).alias("items")))
+    same = (spans["_d"] == items["_d"]) & spans["_doc"].eqNullSafe(items["_doc"])
+    each = C.saved(spans.join(items, same).select(spans["_d"], spans["_doc"], "spans", "items"), "decon-documents")
+    given = C.sent(docs, carry, _document())
+    if count_words:
+        kinds = ", ".join(["_d long", *(f"`_in_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
+        given = _word_counts(given, kinds, C.text_name(carry))
+    out = _found(given, _small(each, BROADCAST_ROWS // 5), "left")
+    return out.select(*(F.col(f"_in_{c}").alias(c) for c in carry), *(["n_words"] if count_words else []),
+                      F.coalesce("spans", F.array().cast("array<int>")).alias("spans"),
+                      F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def clean(docs: DataFrame, bench: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns (doc_id among them) of the documents that hold no window of an item."""
+    hit = _all_hits(docs, bench)[0].select("_d", "_doc")
+    return _found(docs.select(*columns, _document()), _small(hit, BROADCAST_ROWS), "left_anti").select(*columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

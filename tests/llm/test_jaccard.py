@@ -69,6 +69,24 @@ def test_families(spark, k, percent):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, k, percent)
 
 
+def pool_rows(n, sentences=40, of=4):
+    """Texts of a few sentences out of a pool: nearly all shingles are shared."""
+    rng = random.Random(9)
+    pool = [[f"s{i}w{j}" for j in range(12)] for i in range(sentences)]
+    return [(d, " ".join(w for s in rng.sample(pool, of) for w in s) + (f" x{d % 3}" if d % 4 else "")) for d in range(n)]
+
+
+@pytest.mark.parametrize("pairs,cell", [(1, 1 << 10), (30, 5), (1 << 16, 3)])
+def test_groups_are_split_without_losing_links(spark, monkeypatch, pairs, cell):
+    monkeypatch.setattr(jaccard, "GROUP_PAIRS", pairs)
+    monkeypatch.setattr(jaccard, "CELL_ROWS", cell)
+    rows = [*pool_rows(500), *((5000 + d, t) for d, t in family_rows())]
+    rows += [(9000 + d, t + " tail of it") for d, t in pool_rows(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = jaccard.Jaccard(4, 85).documents(df).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 4, 85)
+
+
 @pytest.mark.parametrize("which", ["odd_docs", "docs"])
 def test_tables(which, request):
     df = request.getfixturevalue(which)

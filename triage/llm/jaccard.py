@@ -30,7 +30,12 @@ overlap o = ceil(threshold * (n + m) / (1 + threshold)).  Steps:
    each of its groups (a star, linear in the group), and linked classes get a
    common label; then only pairs of a group that have different labels are
    compared.  Groups of near copies are thus not expanded into all pairs, and
-   no link between different components is lost.
+   no link between different components is lost.  Rows of such a group are dealt
+   by its shingle and a class of sizes; a group of more than ``GROUP_PAIRS``
+   possible pairs is dealt anew by (its shingle, a prefix shingle under the next
+   order), so that the filters intersect in the key of the shuffle, unless these
+   rows would be more than its pairs.  What is still large is joined in cells of
+   about ``CELL_ROWS`` rows a side, each a key of its own.
 
 Sets are identified by a 64-bit hash of their content, shingles by 64-bit
 hashes: the chance that any two of n different sets collide is below
@@ -41,6 +46,9 @@ smallest id.  Other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,8 +57,7 @@ from pyspark.sql import functions as F
 from triage.llm import common as C
 
 COUNTED = 4096
-#: Bits of the fixed-size map that keeps classes without a candidate out of the verification scan.
-MAP_BITS = 1 << 25
+GROUP_PAIRS, CELL_ROWS = 1 << 16, 1 << 10
 BROADCAST_ROWS = 500_000
 
 
@@ -135,14 +142,9 @@ class Jaccard:
 
     def whole_sets(self, docs: DataFrame, keys: DataFrame) -> DataFrame:
         """(key, h): the shingle hashes, packed, of the classes in ``keys``.
-        A fixed-size bit map keeps most other classes out of the shuffle."""
+        A bit map of bounded size keeps most other classes out of the shuffle."""
         words = self.words
-        bit = F.col("key").bitwiseAND(MAP_BITS - 1)
-        cells = keys.select(bit.alias("b")).groupBy(F.shiftright("b", 5).alias("w")).agg(
-            F.bit_or(F.expr("shiftleft(1L, cast(b & 31 as int))")).alias("v")).toPandas()
-        bits = np.zeros(MAP_BITS // 32, np.uint32)
-        bits[cells["w"].to_numpy(np.int64)] = cells["v"].to_numpy(np.int64).astype(np.uint32)
-        shared = docs.sparkSession.sparkContext.broadcast(bits)
+        shared = docs.sparkSession.sparkContext.broadcast(C.bitmap(keys, "key"))
 
         @C.tidy
         def run(batches):
@@ -152,8 +154,7 @@ class Jaccard:
                     h, row = _sets(buf, lo, hi, words)
                     edges = np.searchsorted(row, np.arange(len(rows) + 1))
                     key = _keys(h, edges)
-                    at = (key & np.uint64(MAP_BITS - 1)).astype(np.int64)
-                    want = (bits[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool) & (np.diff(edges) > 0)
+                    want = C.in_bitmap(bits, key) & (np.diff(edges) > 0)
                     out = []
                     for r in np.flatnonzero(want).tolist():
                         if key[r] not in seen:
@@ -211,17 +212,65 @@ class Jaccard:
                            first(lambda x: F.struct(F.xxhash64(x["t"], F.lit(2)), x["t"].alias("t"))).alias("p2"),
                            first(lambda x: F.struct(F.xxhash64(x["t"], F.lit(3)), x["t"].alias("t"))).alias("p3"))
 
-    def room(self, x: str, y: str) -> str:
-        """Sizes and unshared shingles leave room for the overlap (SQL)."""
-        o = f"(({self.percent} * (n_{x} + n_{y}) + {99 + self.percent}) div {100 + self.percent})"
-        return f"u_{x} + {o} <= n_{x} and u_{y} + {o} <= n_{y}"
+    def overlap(self, x: str, y: str) -> str:
+        """Shingles that two classes of these sizes must share (SQL)."""
+        return f"(({self.percent} * (n_{x} + n_{y}) + {99 + self.percent}) div {100 + self.percent})"
+
+    def room(self, x: str, y: str, at: str = "0 * n") -> str:
+        """Sizes, unshared shingles and those before the common one leave room for the overlap (SQL)."""
+        return " and ".join(f"{at}_{z} + u_{z} + {self.overlap(x, y)} <= n_{z}" for z in (x, y))
 
     def filtered(self, pairs: DataFrame, pre: DataFrame) -> DataFrame:
-        """Distinct (a, b) that share a prefix shingle under the further orders too."""
+        """Distinct (a, b) that share a prefix shingle under the further orders
+        too; a prefix is as long as the two sizes need it."""
         side = lambda x: pre.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("u").alias(f"u_{x}"),
                                     F.col("p2").alias(f"p2_{x}"), F.col("p3").alias(f"p3_{x}"))
+        part = lambda p, x: F.expr(f"slice({p}_{x}, 1, cast(n_{x} - u_{x} - {self.overlap('a', 'b')} + 1 as int))")
         return (pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(self.room("a", "b"))
-                .where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b"))
+                .where(F.arrays_overlap(part("p2", "a"), part("p2", "b")) & F.arrays_overlap(part("p3", "a"), part("p3", "b"))).select("a", "b"))
+
+    def sided(self, open_: DataFrame) -> DataFrame:
+        """Rows of mixed groups by (shingle, class of sizes): each class of sets
+        as the larger one of a pair in its own class of sizes, and as the
+        smaller one (small) in all that its partners may be in."""
+        width = max(math.log(100 / self.percent), 0.01)
+        of = lambda n: F.floor(F.log(F.expr(n)) / F.lit(width))  # noqa: E731  never falls as n grows
+        cols = ["t", "key", "n", "u", "rb", "at", "r", "label"]
+        small = open_.where("at < rb").select(*cols, F.lit(True).alias("small"), F.explode(F.sequence(of("n"), of(f"n * 100 div {self.percent} + 1"))).alias("s"))
+        large = open_.select(*cols, F.lit(False).alias("small"), of("n").alias("s"))
+        return small.union(large).select(F.xxhash64("t", "s").alias("g"), *cols[1:], "small")
+
+    def cross_pairs(self, open_: DataFrame, pre: DataFrame) -> DataFrame:
+        """(a, b), with repeats: classes of different labels with a common
+        prefix shingle (step 3)."""
+        rows, parts = self.sided(open_), []
+        groups = lambda r: (r.groupBy("g").agg(F.count_if("small").alias("ms"), F.count_if(~F.col("small")).alias("ml"), F.sum("r").alias("e"),
+                                               F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi and ms > 0 and ml > 0"))
+        for order in ("p2", "p3"):
+            rows = C.saved(rows, "jaccard-sides")
+            sizes = C.saved(groups(rows), "jaccard-groups")
+            many = f"cast(ms as double) * ml > {GROUP_PAIRS} and e < cast(ms as double) * ml"
+            parts.append(rows.join(sizes.where(f"not ({many})").select("g", "ms", "ml"), "g"))
+            next_ = pre.select("key", F.posexplode(order).alias("at2", "t2"))
+            rows = (rows.join(sizes.where(many).select("g"), "g").join(next_, "key").where("not small or at2 < rb")
+                    .select(F.xxhash64("g", "t2").alias("g"), "key", "n", "u", "rb", F.greatest("at", "at2").alias("at"), "r", "label", "small"))
+            if sizes.where(many).isEmpty():
+                break
+        else:
+            rows = C.saved(rows, "jaccard-sides")
+            parts.append(rows.join(groups(rows).select("g", "ms", "ml"), "g"))
+        dealt = reduce(DataFrame.unionByName, (p.select("g", "key", "n", "u", "rb", "at", "label", "small", "ms", "ml") for p in parts))
+
+        def side(x: str, own: str, other: str) -> DataFrame:
+            cells = F.sequence(F.lit(0).cast("long"), F.expr(f"{other} div {CELL_ROWS}"))
+            mine = F.pmod(F.xxhash64("key"), F.expr(f"{own} div {CELL_ROWS} + 1"))
+            return dealt.where("small" if x == "x" else "not small").select(
+                "g", mine.alias(f"cell_{x}"), F.explode(cells).alias(f"cell_{'y' if x == 'x' else 'x'}"),
+                *(F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "u", "rb", "at", "label")))
+
+        return (side("x", "ms", "ml").join(side("y", "ml", "ms"), ["g", "cell_x", "cell_y"])
+                .where(f"label_x <> label_y and (n_x < n_y or n_x = n_y and key_x < key_y and at_y < rb_y) and {self.room('x', 'y', 'at')}")
+                .select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")))
 
     def verified(self, pairs: DataFrame, whole: DataFrame) -> DataFrame:
         """The pairs that link, by their whole sets."""
@@ -248,7 +297,7 @@ class Jaccard:
         left = C.saved(self.remaining(docs, classes), "jaccard-remaining")
         whole = C.saved(self.whole_sets(docs, left.select("key")), "jaccard-sets")
         pre = C.saved(self.prefixes(whole), "jaccard-prefixes")
-        rows = C.saved(pre.select("key", "n", "u", "rb", F.posexplode("p1").alias("at", "t")), "jaccard-rows")
+        rows = C.saved(pre.select("key", "n", "u", "rb", F.size("p1").alias("r"), F.posexplode("p1").alias("at", "t")), "jaccard-rows")
         centre = rows.groupBy("t").agg(F.min(F.struct("u", "key")).alias("c"), F.min("key").alias("x"), F.max("key").alias("z"))
         centre = centre.where("x < z").select("t", F.col("c.key").alias("c"))
         stars = rows.join(centre, "t").where("key <> c").select(F.least("key", "c").alias("a"), F.greatest("key", "c").alias("b"))
@@ -258,11 +307,7 @@ class Jaccard:
         known = rows.join(label.select(F.col("v").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         mixed = known.groupBy("t").agg(F.min("label").alias("x"), F.max("label").alias("z")).where("x < z").select("t")
         open_ = C.saved(known.join(mixed, "t", "left_semi"), "jaccard-open")
-        side = lambda x: open_.select("t", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "u", "rb", "at", "label")))
-        cross = (side("x").where("at_x < rb_x").join(side("y"), "t")
-                 .where(f"label_x <> label_y and (n_x < n_y or n_x = n_y and key_x < key_y and at_y < rb_y) and {self.room('x', 'y')}")
-                 .select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b"))
-                 .distinct().join(one, ["a", "b"], "left_anti"))
+        cross = self.cross_pairs(open_, pre).distinct().join(one, ["a", "b"], "left_anti")
         more = self.verified(C.saved(self.filtered(cross, pre), "jaccard-cross"), whole)
         return C.saved(linked.union(more), "jaccard-links")
 

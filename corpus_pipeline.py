@@ -53,8 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     bounded_batches(spark)
-    found = decontam.decontaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), COLUMNS, count_words=False)
-    return found.where(F.size("spans") == 0).select(*COLUMNS)
+    return decontam.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,7 +57,7 @@ from pyspark.sql import functions as F
 from triage.llm import common as C
 
 COUNTED = 4096
-GROUP_PAIRS, CELL_ROWS = 1 << 16, 1 << 10
+GROUP_PAIRS, CELL_ROWS = 1 << 16, 1 << 12
 BROADCAST_ROWS = 500_000
 
 
@@ -244,31 +244,45 @@ class Jaccard:
         """(a, b), with repeats: classes of different labels with a common
         prefix shingle (step 3)."""
         rows, parts = self.sided(open_), []
-        groups = lambda r: (r.groupBy("g").agg(F.count_if("small").alias("ms"), F.count_if(~F.col("small")).alias("ml"), F.sum("r").alias("e"),
-                                               F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi and ms > 0 and ml > 0"))
+
+        def groups(r: DataFrame) -> DataFrame:
+            """Of each group with two labels: smaller sides (s) and larger sides
+            (l) of all labels, of its most frequent one (top) and of the others."""
+            by = r.groupBy("g", "label").agg(F.count_if("small").alias("s"), F.count_if(~F.col("small")).alias("l"), F.sum("r").alias("e"))
+            by = by.groupBy("g").agg(F.sum("s").alias("s"), F.sum("l").alias("l"), F.sum("e").alias("e"), F.count("*").alias("labels"),
+                                     F.max(F.struct((F.col("s") + F.col("l")).alias("k"), "label", "s", "l")).alias("top"))
+            return by.where("labels > 1 and s > 0 and l > 0").select(
+                "g", "e", F.col("top.label").alias("top"), F.col("top.s").alias("top_s"), F.expr("s - top.s").alias("other_s"),
+                F.expr("l - top.l").alias("other_l"), "l")
+
         for order in ("p2", "p3"):
-            rows = C.saved(rows, "jaccard-sides")
             sizes = C.saved(groups(rows), "jaccard-groups")
-            many = f"cast(ms as double) * ml > {GROUP_PAIRS} and e < cast(ms as double) * ml"
-            parts.append(rows.join(sizes.where(f"not ({many})").select("g", "ms", "ml"), "g"))
+            pairs = "(cast(other_s as double) * l + cast(top_s as double) * other_l)"
+            many = f"{pairs} > {GROUP_PAIRS} and e < {pairs}"
+            parts.append(rows.join(sizes.where(f"not ({many})").drop("e"), "g"))
+            if sizes.where(many).isEmpty():
+                break
             next_ = pre.select("key", F.posexplode(order).alias("at2", "t2"))
             rows = (rows.join(sizes.where(many).select("g"), "g").join(next_, "key").where("not small or at2 < rb")
                     .select(F.xxhash64("g", "t2").alias("g"), "key", "n", "u", "rb", F.greatest("at", "at2").alias("at"), "r", "label", "small"))
-            if sizes.where(many).isEmpty():
-                break
-        else:
             rows = C.saved(rows, "jaccard-sides")
-            parts.append(rows.join(groups(rows).select("g", "ms", "ml"), "g"))
-        dealt = reduce(DataFrame.unionByName, (p.select("g", "key", "n", "u", "rb", "at", "label", "small", "ms", "ml") for p in parts))
+        else:
+            parts.append(rows.join(groups(rows).drop("e"), "g"))
+        dealt = reduce(DataFrame.unionByName, parts)
 
-        def side(x: str, own: str, other: str) -> DataFrame:
-            cells = F.sequence(F.lit(0).cast("long"), F.expr(f"{other} div {CELL_ROWS}"))
+        def side(x: str, rows: DataFrame, own: str, other: str) -> DataFrame:
+            """``own`` and ``other``: how many rows the two sides have."""
             mine = F.pmod(F.xxhash64("key"), F.expr(f"{own} div {CELL_ROWS} + 1"))
-            return dealt.where("small" if x == "x" else "not small").select(
-                "g", mine.alias(f"cell_{x}"), F.explode(cells).alias(f"cell_{'y' if x == 'x' else 'x'}"),
+            cells = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"{other} div {CELL_ROWS}")))
+            return rows.where(f"{other} > 0").select(
+                "g", "tag", mine.alias(f"cell_{x}"), cells.alias(f"cell_{'y' if x == 'x' else 'x'}"),
                 *(F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "u", "rb", "at", "label")))
 
-        return (side("x", "ms", "ml").join(side("y", "ml", "ms"), ["g", "cell_x", "cell_y"])
+        # tag 1: a smaller side of another label with any larger side; tag 2: one of the top label with one of another label
+        tags = F.expr("if(label <> top, if(small, array(1), array(1, 2)), if(small, array(2), array(1)))")
+        dealt = dealt.withColumn("tag", F.explode(tags))
+        small, large = "if(tag = 1, other_s, top_s)", "if(tag = 1, l, other_l)"
+        return (side("x", dealt.where("small"), small, large).join(side("y", dealt.where("not small"), large, small), ["g", "tag", "cell_x", "cell_y"])
                 .where(f"label_x <> label_y and (n_x < n_y or n_x = n_y and key_x < key_y and at_y < rb_y) and {self.room('x', 'y', 'at')}")
                 .select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")))
 

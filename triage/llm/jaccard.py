@@ -236,10 +236,18 @@ class Jaccard:
         width = max(math.log(100 / self.percent), 0.01)
         of = lambda n: F.floor(F.log(F.expr(n)) / F.lit(width))  # noqa: E731  never falls as n grows
         cols = ["t", "key", "n", "u", "rb", "at", "r", "label"]
-        small = open_.where("at < rb").select(*cols, F.lit(True).alias("small"), F.explode(F.sequence(of("n"), of(f"n * 100 div {self.percent} + 1"))).alias("s"))
+        # a larger partner leaves room for the overlap after ``at`` shared and u unshared shingles
+        most = f"(({100 + self.percent} * (n - u - at)) div {self.percent} - n + 1)"
+        small = open_.where("at < rb").select(*cols, F.lit(True).alias("small"), F.explode(F.sequence(of("n"), of(f"greatest(n, {most})"))).alias("s"))
         large = open_.select(*cols, F.lit(False).alias("small"), of("n").alias("s"))
         return small.union(large).select(F.xxhash64("t", "s").alias("g"), *cols[1:], "small")
 
+    def facing(self, rows: DataFrame, sizes: DataFrame) -> DataFrame:
+        """Rows with their group's sizes; those of its most frequent label only
+        if the other side holds another label."""
+        some = F.expr("label <> top or if(small, other_l, other_s) > 0")
+        return rows.join(sizes.withColumnRenamed("g", "_g"), (F.col("g") == F.col("_g")) & some).drop("_g")
+
     def cross_pairs(self, open_: DataFrame, pre: DataFrame) -> DataFrame:
         """(a, b), with repeats: classes of different labels with a common
         prefix shingle (step 3)."""
@@ -259,7 +267,7 @@ class Jaccard:
             sizes = C.saved(groups(rows), "jaccard-groups")
             pairs = "(cast(other_s as double) * l + cast(top_s as double) * other_l)"
             many = f"{pairs} > {GROUP_PAIRS} and e < {pairs}"
-            parts.append(rows.join(sizes.where(f"not ({many})").drop("e"), "g"))
+            parts.append(self.facing(rows, sizes.where(f"not ({many})").drop("e")))
             if sizes.where(many).isEmpty():
                 break
             next_ = pre.select("key", F.posexplode(order).alias("at2", "t2"))
@@ -267,7 +275,7 @@ class Jaccard:
                     .select(F.xxhash64("g", "t2").alias("g"), "key", "n", "u", "rb", F.greatest("at", "at2").alias("at"), "r", "label", "small"))
             rows = C.saved(rows, "jaccard-sides")
         else:
-            parts.append(rows.join(groups(rows).drop("e"), "g"))
+            parts.append(self.facing(rows, groups(rows).drop("e")))
         dealt = reduce(DataFrame.unionByName, parts)
 
         def side(x: str, rows: DataFrame, own: str, other: str) -> DataFrame:

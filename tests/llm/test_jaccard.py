@@ -87,6 +87,31 @@ def test_groups_are_split_without_losing_links(spark, monkeypatch, pairs, cell):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 4, 85)
 
 
+def boundary_rows(n):
+    """One family whose pairs lie on both sides of the threshold: copies that
+    differ in some words and in length, down to the shortest that still links."""
+    rng = random.Random(21)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for d in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"m{d}x{rng.randrange(9)}"
+        rows.append((d, " ".join(w[:rng.choice([60, 60, 60, 58, 55, 53, 51])])))
+    return rows
+
+
+@pytest.mark.parametrize("pairs", [1, 1 << 16])
+def test_family_at_the_threshold(spark, monkeypatch, pairs):
+    monkeypatch.setattr(jaccard, "GROUP_PAIRS", pairs)
+    monkeypatch.setattr(jaccard, "CELL_ROWS", 7)
+    rows = boundary_rows(250)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = jaccard.Jaccard(4, 85).documents(df).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 4, 85)
+    assert len({r.component_id for r in got}) > 1
+
+
 @pytest.mark.parametrize("which", ["odd_docs", "docs"])
 def test_tables(which, request):
     df = request.getfixturevalue(which)

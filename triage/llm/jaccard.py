@@ -31,7 +31,8 @@ overlap o = ceil(threshold * (n + m) / (1 + threshold)).  Steps:
    common label; then only pairs of a group that have different labels are
    compared.  Groups of near copies are thus not expanded into all pairs, and
    no link between different components is lost.  Rows of such a group are dealt
-   by its shingle and a class of sizes; a group of more than ``GROUP_PAIRS``
+   by its shingle and a class of sizes, and those that even the group's smallest
+   set of the other side leaves no room for go; a group of more than ``GROUP_PAIRS``
    possible pairs is dealt anew by (its shingle, a prefix shingle under the next
    order), so that the filters intersect in the key of the shuffle, unless these
    rows would be more than its pairs.  What is still large is joined in cells of
@@ -242,6 +243,16 @@ class Jaccard:
         large = open_.select(*cols, F.lit(False).alias("small"), of("n").alias("s"))
         return small.union(large).select(F.xxhash64("t", "s").alias("g"), *cols[1:], "small")
 
+    def reachable(self, rows: DataFrame) -> DataFrame:
+        """Rows whose size, unshared shingles and place leave room for the overlap
+        with the group's smallest set of the other side: every set that a row may
+        be paired with is as large, and needs as large an overlap, or larger."""
+        least = rows.groupBy("g").agg(F.min(F.when(F.col("small"), F.col("n"))).alias("lo_s"), F.min(F.when(~F.col("small"), F.col("n"))).alias("lo_l"))
+        least = least.where("lo_s is not null and lo_l is not null").withColumnRenamed("g", "_g")
+        other = "if(small, greatest(n, lo_l), lo_s)"
+        need = f"(({self.percent} * (n + {other}) + {99 + self.percent}) div {100 + self.percent})"
+        return rows.join(least, F.col("g") == F.col("_g")).where(f"at + u + {need} <= n").drop("_g", "lo_s", "lo_l")
+
     def facing(self, rows: DataFrame, sizes: DataFrame) -> DataFrame:
         """Rows with their group's sizes; those of its most frequent label only
         if the other side holds another label."""
@@ -251,7 +262,7 @@ class Jaccard:
     def cross_pairs(self, open_: DataFrame, pre: DataFrame) -> DataFrame:
         """(a, b), with repeats: classes of different labels with a common
         prefix shingle (step 3)."""
-        rows, parts = self.sided(open_), []
+        rows, parts = C.saved(self.reachable(self.sided(open_)), "jaccard-sides"), []
 
         def groups(r: DataFrame) -> DataFrame:
             """Of each group with two labels: smaller sides (s) and larger sides
@@ -273,7 +284,7 @@ class Jaccard:
             next_ = pre.select("key", F.posexplode(order).alias("at2", "t2"))
             rows = (rows.join(sizes.where(many).select("g"), "g").join(next_, "key").where("not small or at2 < rb")
                     .select(F.xxhash64("g", "t2").alias("g"), "key", "n", "u", "rb", F.greatest("at", "at2").alias("at"), "r", "label", "small"))
-            rows = C.saved(rows, "jaccard-sides")
+            rows = C.saved(self.reachable(rows), "jaccard-sides")
         else:
             parts.append(self.facing(rows, groups(rows).drop("e")))
         dealt = reduce(DataFrame.unionByName, parts)

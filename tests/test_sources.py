@@ -111,3 +111,21 @@ def test_manifest_last_wins(spark):
                           "net.csv,x,def,3,\nprocess.csv,43,abd,5,\n")
     m = {r.filename: r.row_count for r in FS.load_manifest(spark, p).collect()}
     assert m == {"process.csv": 43, "net.csv": 0}
+
+
+def test_written_order_over_several_files(spark):
+    path = os.path.join(tmpdir(), "ordered")
+    df = spark.range(1000).repartitionByRange(7, "id").sortWithinPartitions("id")
+    df.write.option("maxRecordsPerFile", 40).parquet(path)
+    got = K.read_in_order(spark, path)
+    assert got.columns == ["id", "place"]
+    assert [(r.id, r.place) for r in got.orderBy("place").collect()] == [(i, i + 1) for i in range(1000)]
+    empty = os.path.join(tmpdir(), "none")
+    spark.range(0).write.parquet(empty)
+    assert K.read_in_order(spark, empty).count() == 0
+
+
+def test_recovered_files_by_ending(spark):
+    names = ["a.exe", "b.DLL", "c.exe.txt", "exe", "d.bat ", "e.sys", "f.ps1x", "", None]
+    rows = spark.createDataFrame([(n,) for n in names], "path string")
+    assert sorted(r.path for r in FS.recovered_files(rows).collect()) == ["a.exe", "b.DLL", "e.sys"]

@@ -12,6 +12,7 @@ from triage import rules as R
 from triage import ruleset
 from triage.operators import alerts as AL
 from triage.operators import detect_network as DN
+from triage.operators import enrich as E
 from triage.operators import profile as P
 from triage.operators import typed as TY
 from triage.operators import validate as V
@@ -65,6 +66,33 @@ def error_sink(spark, sf):
     return log.groupBy("source_file", "column", "expected_type").agg(F.count(F.lit(1)).alias("errors"))
 
 
+def alerts_written_order(spark, sf):
+    """SRT-02: DNS alerts written in the order of their rows, each with the
+    place that it has in the written files."""
+    path = shared_scratch(spark, "ordered-alerts")
+    AL.ordered(DN.dns_alerts(spark, D.dns(spark, sf), D.process(spark, sf)), "network").write.parquet(path)
+    return K.read_in_order(spark, path)
+
+
+#: Names under which the documents lie in a recovery folder, by id: both cases, and endings that only look alike.
+RECOVERED_ENDINGS = [".exe", ".DLL", ".ps1", ".Bat", ".sys", ".txt", ".exe.txt", "exe"]
+
+
+def recovered_artifacts(spark, sf):
+    """SRC-11: statistics of the executable ones among the recovered files; the
+    others are dropped by name, before a byte is hashed."""
+    d = D.table(spark, sf, "documents")
+    path = F.concat(F.lit("/recovered/"), F.col("doc_id").cast("string"), D.pick(RECOVERED_ENDINGS, F.col("doc_id")))
+    return E.content_stats(S.recovered_files(d.select(path.alias("path"), F.encode("text", "UTF-8").alias("content"))))
+
+
+def inventory_json(spark, sf):
+    """SNK-03: the inventory written as nested JSON and read back."""
+    entries = P.inventory(spark, FP.write_case_dir(spark, sf))
+    path = K.write_inventory_json(entries, shared_scratch(spark, "inventory-json"))
+    return FP._inventory_rows(spark.read.schema(entries.schema).json(path))
+
+
 def orphan_pids(spark, sf):
     """Every connection PID that no process has, with its connections."""
     return V.orphans(D.process(spark, sf), D.net(spark, sf))

@@ -207,17 +207,18 @@ def alerts_network() -> str:
     """
 
 
-def alerts_dns() -> str:
+def alerts_dns(more: str = "") -> str:
+    """``more``: further output columns over _row_id."""
     return f"""
     WITH {v_process()}, {v_dns()}, {pid_lookup_cte()},
-    d AS (SELECT {strip('pid')} AS pid, {strip('process')} AS name, {strip('query')} AS query FROM dns_v),
+    d AS (SELECT _row_id, {strip('pid')} AS pid, {strip('process')} AS name, {strip('query')} AS query FROM dns_v),
     j AS (SELECT d.*, CASE WHEN d.name <> '' THEN d.name
                            WHEN d.pid <> '' THEN coalesce(lk.name, '<unknown>') ELSE '' END AS proc_name
           FROM d LEFT JOIN lk ON d.pid = lk.pid)
     SELECT 'RARE_DNS_QUERY' AS alert_type, 'HIGH' AS severity, pid, proc_name AS process_name,
            '' AS src_addr, '' AS src_port, query AS dst_addr, '' AS dst_port, 'DNS' AS protocol,
            '' AS state,
-           {render(R.MSG['RARE_DNS_QUERY'], proc='proc_name', pid='pid', query='query')} AS description
+           {render(R.MSG['RARE_DNS_QUERY'], proc='proc_name', pid='pid', query='query')} AS description{more}
     FROM j WHERE lower(proc_name) IN {in_sql(R.SUSPICIOUS_DNS_RESOLVERS)} AND query <> ''
     """
 
@@ -915,6 +916,17 @@ def error_sink() -> str:
     FROM ({parse_errors()}), (SELECT unnest(['a.csv', 'b.csv']) AS source_file) GROUP BY ALL"""
 
 
+def alerts_written_order() -> str:
+    return alerts_dns(", row_number() OVER (ORDER BY _row_id) AS place")
+
+
+def recovered_artifacts() -> str:
+    from triage.plans.evidence import RECOVERED_ENDINGS
+    ending = f"[{', '.join(map(q, RECOVERED_ENDINGS))}][CAST(doc_id % {len(RECOVERED_ENDINGS)} AS INTEGER) + 1]"
+    return f"""WITH {_doc_stats()}, r AS (SELECT '/recovered/' || doc_id || {ending} AS path, entropy, md5, sha256, file_size FROM ds)
+    SELECT * FROM r WHERE right(lower(path), 4) IN ('.exe', '.dll', '.ps1', '.bat', '.sys')"""
+
+
 def orphan_pids() -> str:
     return f"""WITH {v_process()}, {v_net()}
     SELECT pid, count(*) AS "rows" FROM (SELECT {strip('pid')} AS pid FROM net_v)

@@ -171,6 +171,9 @@ QUERIES: dict[str, Query] = {
     "typed_sink": EV.typed_sink,
     "error_sink": EV.error_sink,
     "orphan_pids": EV.orphan_pids,
+    "alerts_written_order": EV.alerts_written_order,
+    "recovered_artifacts": EV.recovered_artifacts,
+    "inventory_json": EV.inventory_json,
     "inventory_faults": FP.inventory_faults,
     "entropy_join_back": EQ.entropy_join_back,
     "lossy_decode": EQ.lossy_decode,
@@ -225,6 +228,9 @@ ORACLES: dict[str, Callable[[], str]] = {
     "typed_sink": O.typed_table,
     "error_sink": O.error_sink,
     "orphan_pids": O.orphan_pids,
+    "alerts_written_order": O.alerts_written_order,
+    "recovered_artifacts": O.recovered_artifacts,
+    "inventory_json": O.inventory,
     "inventory_faults": O.inventory_faults,
     "entropy_join_back": O.entropy_join_back,
     "lossy_decode": O.lossy_decode,

@@ -5,7 +5,7 @@ each task writes its own part files; nothing is gathered on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triage.table import ForensicTable
@@ -45,6 +45,20 @@ def write_typed(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     return path
 
 
+def read_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """A written Parquet table with every row's place (from 1) in the order in
+    which a sorted DataFrame was written: part files by number, rows as they lie
+    in them.  Only the row counts of the files meet in one window."""
+    name = F.col("_metadata.file_name")
+    rows = spark.read.parquet(path).select("*", name.alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    number = [F.regexp_extract("_file", rx, 1).cast("int") for rx in (r"^part-(\d+)", r"-c(\d+)\.")]
+    before = Window.orderBy(*number, "_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("_file").agg((F.max("_at") + 1).alias("_n"))
+    starts = files.select(F.col("_file").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return (rows.join(starts, F.col("_file") == F.col("_of")).withColumn("place", F.col("_start") + F.col("_at") + 1)
+            .drop("_file", "_at", "_of", "_start"))
+
+
 def write_inventory_json(entries: DataFrame, path: str) -> str:
     """Nested inventory entries (headers / anomalies arrays) as JSON lines."""
     entries.write.mode("overwrite").json(path)

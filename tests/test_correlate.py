@@ -100,6 +100,31 @@ def test_lifetimes_of_a_reused_pid(spark):
     assert [" ".join(got[c]) for c in con] == want
 
 
+def crowded(rng, n):
+    """Intervals and points of two processes; many around every point, equal ones, equal ends, points at ends."""
+    some = lambda: rng.choice([rng.randrange(0, 400), rng.randrange(0, 40) * 10])
+    spans = [(rng.choice("aab"), lo, lo + rng.choice([0, 3, 10, 10, 60, 250])) for lo in (some() for _ in range(n))] + [("a", 0, 600), ("a", 0, 600), ("a", 120, 560)]
+    points = [(rng.choice("aabc"), rng.choice([some(), 50, rng.choice(spans)[1], rng.choice(spans)[2], rng.choice(spans)[2] + 1])) for _ in range(2 * n)]
+    return spans, points
+
+
+@pytest.mark.parametrize("size", [7, 40, 10 ** 6])
+def test_crowded_lifetimes_by_brute_force(spark, monkeypatch, size):
+    monkeypatch.setattr(K, "RANGE", size)
+    monkeypatch.setattr(K, "held_by", None)
+    rng = random.Random(size + 1)
+    spans, points = crowded(rng, 60)
+    spans = [(p, lo, hi) for p, lo, hi in spans if hi - lo < 20] + [("b", 0, 900)]
+    lives = [(p, f"n{i}", "" if i % 23 == 0 else stamp(lo), "" if i % 29 == 0 else stamp(hi + 1)) for i, (p, lo, hi) in enumerate(spans)]
+    con = [(p, stamp(at), str(i)) for i, (p, at) in enumerate(points)] + [("a", "", "x"), (None, stamp(3), "y")]
+    want = []
+    for (p, t, i), at in zip(con, [at for _, at in points] + [None, None]):
+        hits = [v for v, (q, lo, hi) in zip(lives, spans) if at is not None and p == q and (v[2] == "" or lo <= at) and (v[3] == "" or at <= hi)]
+        want.append((p, t, i, "one", *(hits[0][k] for k in (1, 2, 3))) if len(hits) == 1 else (p, t, i, "ambiguous" if hits else "none", "", "", ""))
+    assert {w[3] for w in want} == {"one", "none", "ambiguous"}
+    assert plain(K.connection_lifetimes(frame(spark, "pid time remote", con), frame(spark, "pid name create_time exit_time", lives))) == sorted(want, key=str)
+
+
 def test_file_drops_across_buckets(spark):
     rng = random.Random(8)
     writes = [(str(rng.randrange(200)), rng.choice("ab"), stamp(rng.randrange(0, 40_000))) for _ in range(250)] + [("5", "a", stamp(7200)), ("11", "a", stamp(7200)), ("1", "", stamp(1)), ("1", "a", "x")]

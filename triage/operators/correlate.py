@@ -8,7 +8,12 @@ All of them are equi joins and aggregates on bounded keys:
   under the buckets they cover, at a width that follows their own length (17
   buckets at most), and points look once at every width in use (16 at most):
   a hot process is split by bucket, and no pair is formed that does not share
-  one.
+  one.  It gives every pair, which may be many times the input.
+* ``running`` answers a question about all the intervals around a point (how
+  far they reach, how many there are, which is innermost) by aggregates that
+  run along the positions of a key, points and interval ends together: no pair
+  is formed.  A key of many rows is cut into ranges of positions (``cuts``);
+  each range starts from the aggregate of those before it.
 * Coordinates are signed longs.  Addresses are unsigned 64-bit numbers; their
   order is kept by flipping the top bit.
 
@@ -20,22 +25,25 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triage import rules as R
+from triage.session import ship_package
 
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
-HEX64 = r"^(0[xX])?0*[0-9a-fA-F]{1,16}$"
+HEX64 = r"^(?:0[xX])?0*([0-9a-fA-F]{1,16})$"
+#: Rows of one key that are swept in one piece.
+RANGE = 1_000_000
 
 
 # ---------------------------------------------------------------- coordinates
 
 def address_at(text: Column) -> Column:
     """Coordinate of a hexadecimal 64-bit address; NULL when it is none."""
-    digits = F.regexp_replace(text, "^0[xX]", "")
-    signed = F.conv(F.regexp_replace(digits, "^0+(?=.)", ""), 16, -10).cast("long")
-    return F.when(text.rlike(HEX64), signed.bitwiseXOR(F.lit(LOWEST)))
+    signed = F.conv(F.regexp_extract(text, HEX64, 1), 16, -10).cast("long")             # no match: '', of which conv is NULL
+    return signed.bitwiseXOR(F.lit(LOWEST))
 
 
 def address_text(at: Column) -> Column:
@@ -81,10 +89,135 @@ def held_by(points: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFra
     return asked.join(filed, [*keys, "_s", "_b"]).where("at between lo and last").drop("_s", "_b")
 
 
+# ---------------------------------------------------------------- aggregates along positions
+
+def cuts(spots: DataFrame, keys: list[str]) -> DataFrame | None:
+    """keys, _cuts for the keys of more than RANGE of the spots(keys, at):
+    ascending positions that cut them into ranges of about RANGE spots.  They
+    are fixed by the time it returns (one number per RANGE spots on the
+    driver).  None if there is no such key."""
+    most = spots.groupBy(*keys).agg(F.count("*").alias("_n")).where(f"_n > {RANGE}")
+    kind, hot = most.schema, most.collect()
+    if not hot:
+        return None
+    spark, parts = spots.sparkSession, -(-max(r["_n"] for r in hot) // RANGE)
+    ranges = f"((_n + {RANGE - 1}) div {RANGE})"
+    found = (spots.join(F.broadcast(spark.createDataFrame(hot, kind)), keys).groupBy(*keys, "_n")
+             .agg(F.percentile_approx("at", [i / parts for i in range(1, parts)]).alias("_q"))
+             .select(*keys, F.expr(f"transform(sequence(1L, {ranges} - 1), i -> _q[cast(i * {parts} div {ranges} as int) - 1])").alias("_cuts")))
+    return spark.createDataFrame(found.collect(), found.schema)
+
+
+def _below(at: Column, same: bool = False) -> Column:
+    """How many of _cuts lie below a position (or at it)."""
+    return F.size(F.filter("_cuts", lambda x: x <= at if same else x < at))
+
+
+def running(rows: DataFrame, keys: list[str], aggs: dict, hot: DataFrame | None) -> DataFrame:
+    """rows(keys, at, point, columns to aggregate, more columns) with the
+    aggregates (name -> aggregate that may be applied to its own results) over
+    the rows of the keys up to ``at``.  Points come last of a position and
+    hold NULL in the aggregated columns.  hot: from ``cuts``; the points of
+    one position that it cuts out more than once are spread over the ranges."""
+    order = Window.partitionBy(*keys, "_r").orderBy(F.col("at").asc_nulls_first(), "point").rowsBetween(Window.unboundedPreceding, 0)
+    if hot is None:
+        dealt = rows.withColumn("_r", F.lit(0))
+    else:
+        low, more = _below(F.col("at")), [c for c in rows.columns if c not in (*keys, "at", "point")]
+        spread = F.when(F.col("point"), F.pmod(F.xxhash64(*more), _below(F.col("at"), True) - low + 1)).otherwise(0)
+        dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_r", F.when(F.col("_cuts").isNull(), 0).otherwise(low + spread).cast("int"))
+        totals = dealt.where("not point and _cuts is not null").groupBy(*keys, "_r").agg(*(f(c).alias(c) for c, f in aggs.items()))
+        ranges = hot.select(*keys, F.explode(F.sequence(F.lit(0), F.size("_cuts"))).alias("_r"))
+        before = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+        carry = ranges.join(totals, [*keys, "_r"], "left").select(*keys, "_r", F.lit(False).alias("point"), *(f(c).over(before).alias(c) for c, f in aggs.items()))
+        dealt = dealt.drop("_cuts").unionByName(carry, allowMissingColumns=True)
+    return dealt.withColumns({c: f(c).over(order) for c, f in aggs.items()}).where("at is not null").drop("_r")
+
+
+def _seen(keys: list[str], more: list[str], schema):
+    """Intervals sorted by piece (keys and range), start and descending end ->
+    keys, at, interval: the interval that is innermost from ``at`` on, unless
+    it ends.  Holds the intervals around a position that may be seen yet."""
+
+    def run(batches):
+        out, around, piece, stop = [], [], None, 0      # around: each interval ends before the one below it
+
+        def show(at):
+            if out and out[-1][:2] == (piece, at):
+                out.pop()
+            out.append((piece, at, around[-1]))
+
+        def advance(to):
+            while around and around[-1][1] < to:
+                after = around.pop()[1] + 1
+                if around and after < to:
+                    show(after)
+
+        def given(rows):
+            cols = [*([r[0][i] for r in rows] for i in range(len(keys))), [r[1] for r in rows], *([r[2][i] for r in rows] for i in range(2 + len(more)))]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+        for b in batches:
+            col = lambda c: b.column(c).to_pylist()
+            for p, begin, end, item in zip(zip(*map(col, [*keys, "_r"])), col("_begin"), col("_end"), zip(*map(col, ["lo", "last", *more]))):
+                if p != piece:
+                    advance(stop + 1)
+                    around.clear()
+                    piece, stop = p, end
+                at = max(item[0], begin)
+                advance(at)
+                while around and around[-1][1] <= item[1]:
+                    around.pop()
+                around.append(item)
+                show(at)
+            if len(out) > 1:
+                yield given(out[:-1])
+                del out[:-1]
+        advance(stop + 1)
+        yield given(out)
+
+    return run
+
+
+def innermost(intervals: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
+    """intervals(keys, lo, last, more columns), (keys, lo, last) being unique
+    -> keys, at, lo, last, more: the interval that begins last, of those the
+    shortest, of all that hold the positions from ``at`` to the next such row
+    (or to the end of the interval; none of them holds what follows it).  At
+    most two rows for an interval and one for a range.
+
+    An interval is filed under the ranges in which it starts and ends; of all
+    that hold a range whole, the innermost one is."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    intervals = intervals.where("lo <= last")
+    more = [c for c in intervals.columns if c not in (*keys, "lo", "last")]
+    if hot is None:
+        filed = intervals.withColumns({"_r": F.lit(0), "_begin": F.lit(LOWEST), "_end": F.lit(HIGHEST)})
+    else:
+        cut = intervals.join(F.broadcast(hot.withColumn("_cuts", F.array_distinct("_cuts"))), keys, "left")
+        cut = cut.withColumns({k: F.when(F.col("_cuts").isNull(), 0).otherwise(_below(F.col(c))) for k, c in (("_i", "lo"), ("_j", "last"))})
+        item = F.struct("lo", F.expr("~last").alias("_l"), F.struct("last", *more, "_cuts").alias("_m"))
+        whole = (cut.where("_j - _i > 1").groupBy(*keys, "_i", "_j").agg(F.max(item).alias("_x"))
+                 .withColumn("_r", F.explode(F.expr("sequence(_i + 1, _j - 1)"))).groupBy(*keys, "_r").agg(F.max("_x").alias("_x"))
+                 .select(*keys, "_r", "_x.lo", "_x._m.*"))
+        filed = reduce(DataFrame.unionByName, [cut.withColumn("_r", F.col("_i")).drop("_i", "_j"), cut.where("_j > _i").withColumn("_r", F.col("_j")).drop("_i", "_j"), whole])
+        filed = filed.withColumns({"_begin": F.when(F.coalesce(F.col("_r") == 0, F.lit(True)), F.lit(LOWEST)).otherwise(F.expr("_cuts[_r - 1] + 1")),
+                                   "_end": F.when(F.col("_cuts").isNull() | (F.col("_r") == F.size("_cuts")), F.lit(HIGHEST)).otherwise(F.expr("_cuts[_r]"))}).drop("_cuts")
+    ship_package(intervals.sparkSession)
+    shape = intervals.select(*keys, F.lit(0).cast("long").alias("at"), "lo", "last", *more).schema
+    return (filed.repartition(*keys, "_r").sortWithinPartitions(*keys, "_r", "lo", F.desc("last"))
+            .mapInArrow(_seen(keys, more, to_arrow_schema(shape)), shape))
+
+
+# ---------------------------------------------------------------- modules, threads and lifetimes
+
 def regions(modules: DataFrame) -> DataFrame:
     """modules(pid, name, base, size) as text -> pid, module, base, lo, last."""
     lo, last = span_of(address_at(F.col("base")), F.col("size"))
-    return modules.select("pid", F.col("name").alias("module"), "base", lo.alias("lo"), last.alias("last")).where("lo is not null and pid <> ''").distinct()
+    # as results of an aggregate they are worked out once, not again in every later filter
+    read = modules.groupBy("pid", "name", "base", "size").agg(F.min(lo).alias("lo"), F.min(last).alias("last"))
+    return read.where("lo is not null and pid <> ''").select("pid", F.col("name").alias("module"), "base", "lo", "last").distinct()
 
 
 def threads_outside_modules(threads: DataFrame, modules: DataFrame) -> DataFrame:
@@ -130,12 +263,21 @@ def connection_lifetimes(connections: DataFrame, processes: DataFrame) -> DataFr
         F.when(F.col("create_time") == "", F.lit(low)).otherwise(F.greatest(start, F.lit(low))).cast("long").alias("lo"),
         F.when(F.col("exit_time") == "", F.lit(high)).otherwise(F.least(end - 1, F.lit(high))).cast("long").alias("last"),
     ).where(((F.col("create_time") == "") | start.isNotNull()) & ((F.col("exit_time") == "") | end.isNotNull()))
-    held = held_by(c, lives, ["pid"])
-    found = held.groupBy("pid", "at").agg(F.count("*").alias("n"), F.min(F.struct("create_time", "exit_time", "name")).alias("p"))
-    one = F.col("n") == 1
-    return c.join(found, ["pid", "at"], "left").select(
-        "pid", "time", "remote", F.when(one, "one").when(F.col("n") > 1, "ambiguous").otherwise("none").alias("lifetime"),
-        *(F.when(one, F.col("p")[k]).otherwise("").alias(k) for k in ("name", "create_time", "exit_time")))
+    lives = lives.where("pid is not null and lo <= last")
+    # from every begin or end of a lifetime on: how many hold, and lo and last of one that does alone
+    edges = (lives.select("pid", F.col("lo").alias("at"), F.lit(1).alias("n"), "lo", "last").unionAll(lives.select("pid", F.col("last") + 1, F.lit(-1), "lo", "last"))
+             .groupBy("pid", "at").agg(F.sum("n").alias("n"), F.bit_xor("lo").alias("lo"), F.bit_xor("last").alias("last")).withColumn("point", F.lit(False)))
+    known = c.where("pid is not null and at is not null").withColumn("point", F.lit(True))
+    hot = cuts(known.select("pid", "at").union(edges.select("pid", "at")), ["pid"])
+    steps = running(edges, ["pid"], {"n": F.sum, "lo": F.bit_xor, "last": F.bit_xor}, hot)
+    named = lives.groupBy("pid", "lo", "last").agg(F.min(F.struct("create_time", "exit_time", "name")).alias("p"))
+    steps = steps.join(named, ["pid", "lo", "last"], "left").select("pid", "at", "point", F.struct(F.col("at").alias("since"), "n", "p").alias("m"))
+    found = running(known.unionByName(steps, allowMissingColumns=True), ["pid"], {"m": F.max}, hot).where("point").drop("point")
+    found = found.unionByName(c.where("pid is null or at is null"), allowMissingColumns=True)
+    one = F.col("m.n") == 1
+    return found.select(
+        "pid", "time", "remote", F.when(one, "one").when(F.col("m.n") > 1, "ambiguous").otherwise("none").alias("lifetime"),
+        *(F.when(one, F.col("m.p")[k]).otherwise("").alias(k) for k in ("name", "create_time", "exit_time")))
 
 
 # ---------------------------------------------------------------- as-of join

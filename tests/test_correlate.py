@@ -108,6 +108,27 @@ def crowded(rng, n):
     return spans, points
 
 
+@pytest.mark.parametrize("size", [7, 40, 10 ** 6])
+def test_crowded_regions_by_brute_force(spark, monkeypatch, size):
+    monkeypatch.setattr(K, "RANGE", size)
+    monkeypatch.setattr(K, "held_by", None)           # no pairs are formed
+    rng = random.Random(size)
+    spans, points = crowded(rng, 150)
+    mods = [(p, rng.choice(["m", "k", None]), hex(lo), str(last - lo + 1)) for p, lo, last in spans]
+    threads = [(p, str(i), hex(at)) for i, (p, at) in enumerate(points)]
+    finds = [(p, str(i), hex(at)) for i, (p, at) in enumerate(points[::2])] + [(None, "x", "0x5"), ("a", "x", "zz")]
+    m, t = frame(spark, "pid name base size", mods), frame(spark, "pid tid start", threads)
+    held = {(p, at): sorted(((-lo, last, (n is not None, n or "")) for (q, n, _, _), (_, lo, last) in zip(mods, spans) if p == q and lo <= at <= last)) for p, at in points}
+    home = {x: h[0] if h else None for x, h in held.items()}
+    want = []
+    for p, i, a in finds:
+        x = (p, int(a, 16)) if p and a != "zz" else None
+        h = home.get(x)
+        inside = sum(q == p and home[q, at] == h for q, at in points) if h and h[2][0] else 0
+        want.append((p, i, a, h[2][1] if h else "", hex(-h[0]) if h else "", inside, points.count(x)))
+    assert plain(K.address_cross_reference(frame(spark, "pid type address", finds), m, t)) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("size", [7, 40, 10 ** 6])
 def test_crowded_lifetimes_by_brute_force(spark, monkeypatch, size):
     monkeypatch.setattr(K, "RANGE", size)

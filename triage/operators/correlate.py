@@ -239,12 +239,20 @@ def address_cross_reference(findings: DataFrame, modules: DataFrame, threads: Da
     address.  Findings and thread starts are located over one set of regions."""
     f = findings.withColumn("at", address_at(F.col("address")))
     t = threads.withColumn("at", address_at(F.col("start"))).groupBy("pid", "at").agg(F.count("*").alias("n")).where("at is not null")
-    held = held_by(f.select("pid", "at").union(t.select("pid", "at")), regions(modules), ["pid"])
-    best = F.min(F.struct((-F.col("lo").cast("decimal(20,0)")).alias("first"), "last", "module", "base", "lo")).alias("m")
-    home = held.groupBy("pid", "at").agg(best).select("pid", "at", "m.module", "m.base", "m.lo", "m.last")
-    started = home.join(t, ["pid", "at"]).groupBy("pid", "lo", "last", "module", "base").agg(F.sum("n").alias("threads_in_module"))
-    placed = home.join(started, ["pid", "lo", "last", "module", "base"], "left").drop("lo", "last")
-    return (f.join(placed, ["pid", "at"], "left").join(t.withColumnRenamed("n", "threads_at_address"), ["pid", "at"], "left")
+    r = regions(modules).groupBy("pid", "lo", "last").agg(F.min(F.struct("module", "base")).alias("_m")).select("pid", "lo", "last", "_m.module", "_m.base")
+    known = f.where("pid is not null and at is not null")
+    hot = cuts(reduce(DataFrame.union, [known.select("pid", "at"), t.where("pid is not null").select("pid", "at"), r.select("pid", "lo")]), ["pid"])
+    seen = innermost(r, ["pid"], hot)
+    # the module is the last one seen at or before an address, unless it ends before
+    last, ended = F.struct(F.col("at").alias("since"), "lo", "last", "module", "base"), F.col("m.last") < F.col("at")
+    steps = seen.select("pid", "at", F.lit(False).alias("point"), last.alias("m"))
+    point = lambda df: df.where("pid is not null").withColumn("point", F.lit(True))
+    home = running(point(t).unionByName(steps, allowMissingColumns=True), ["pid"], {"m": F.max}, hot).where("point").where(~ended)
+    inside = home.groupBy("pid", "m.lo", "m.last", "m.module", "m.base").agg(F.sum("n").alias("threads_in_module"))
+    placed = running(point(known).unionByName(steps, allowMissingColumns=True), ["pid"], {"m": F.max}, hot).where("point").drop("point")
+    placed = placed.select("pid", "type", "address", "at", *(F.when(~ended, F.col("m")[c]).alias(c) for c in ("lo", "last", "module", "base")))
+    placed = placed.join(inside, ["pid", "lo", "last", "module", "base"], "left").unionByName(f.where("pid is null or at is null"), allowMissingColumns=True)
+    return (placed.join(t.withColumnRenamed("n", "threads_at_address"), ["pid", "at"], "left")
             .select("pid", "type", "address", F.coalesce("module", F.lit("")).alias("module"), F.coalesce("base", F.lit("")).alias("module_base"),
                     F.coalesce("threads_in_module", F.lit(0)).alias("threads_in_module"), F.coalesce("threads_at_address", F.lit(0)).alias("threads_at_address")))
 

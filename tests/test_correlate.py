@@ -119,6 +119,7 @@ def test_crowded_regions_by_brute_force(spark, monkeypatch, size):
     finds = [(p, str(i), hex(at)) for i, (p, at) in enumerate(points[::2])] + [(None, "x", "0x5"), ("a", "x", "zz")]
     m, t = frame(spark, "pid name base size", mods), frame(spark, "pid tid start", threads)
     held = {(p, at): sorted(((-lo, last, (n is not None, n or "")) for (q, n, _, _), (_, lo, last) in zip(mods, spans) if p == q and lo <= at <= last)) for p, at in points}
+    assert sorted(int(r.tid) for r in K.threads_outside_modules(t, m).collect()) == [i for i, x in enumerate(points) if not held[x]]
     home = {x: h[0] if h else None for x, h in held.items()}
     want = []
     for p, i, a in finds:

@@ -224,11 +224,13 @@ def threads_outside_modules(threads: DataFrame, modules: DataFrame) -> DataFrame
     """DOC-05.  threads(pid, tid, start) whose start lies in no module of
     their process: pid, tid, start, start_address (unsigned decimal),
     has_modules (the process lists any)."""
-    t = threads.withColumn("at", address_at(F.col("start"))).where("at is not null and pid <> ''")
+    t = threads.withColumn("at", address_at(F.col("start"))).where("at is not null and pid <> ''").select("pid", "tid", "start", "at", F.lit(True).alias("point"))
     r = regions(modules)
-    inside = held_by(t, r, ["pid"]).select("pid", "at").distinct()
+    reach = r.where("lo <= last").groupBy("pid", F.col("lo").alias("at")).agg(F.max("last").alias("reach")).withColumn("point", F.lit(False))
+    hot = cuts(t.select("pid", "at").union(reach.select("pid", "at")), ["pid"])
+    outside = running(t.unionByName(reach, allowMissingColumns=True), ["pid"], {"reach": F.max}, hot).where("point and (reach is null or reach < at)")
     listed = r.select("pid").distinct().withColumn("_m", F.lit(True))
-    return (t.join(inside, ["pid", "at"], "left_anti").join(listed, "pid", "left")
+    return (outside.join(listed, "pid", "left")
             .select("pid", "tid", "start", address_text(F.col("at")).alias("start_address"), F.coalesce("_m", F.lit(False)).alias("has_modules")))
 
 

@@ -27,3 +27,14 @@ def test_pipeline_end_to_end(spark):
     assert ("process", "PATH_MASQUERADE") in alerts and ("lateral", "RECON_COMMANDS") in alerts
     assert res["worst_status"].first().worst == PL.STATUS_WARN
     assert PL.ingest_summary(res["status"]).first().ok == 2
+
+
+def test_inventory_is_taken_once(spark):
+    """What the pipeline gives does not read the case again: a table that is gone since stays in it."""
+    case = tmpdir()
+    for name in ("process", "other"):
+        write(case, f"{name}.csv", "pid,name\n4,System\n5,a,b,c\n6\n")
+    res = PL.run(spark, case, os.path.join(tmpdir(), "out"), {"process": {"pid": "int"}})
+    write(case, "other.csv", "x\n")
+    got = {r.filename: (r.headers, r.row_count, r.ingest_errors, r.anomalies) for r in res["inventory"].collect()}
+    assert got == {f"{name}.csv": (["pid", "name"], 3, 1, []) for name in ("process", "other")}
